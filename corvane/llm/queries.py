@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
