@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, html_text, line_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_html_text": html_text.op9_html_text,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
