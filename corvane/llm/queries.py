@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, packing, token_counts
+from . import exact_dedup, html_text, language_id, line_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_language_id": language_id.op6_language_id,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_html_text": html_text.op9_html_text,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
