@@ -26,9 +26,20 @@ from .common import scratch, table, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Input bytes for each state partition, and the fewest and most partitions. Each is a RocksDB instance
+#: that takes some MB of disk whatever it holds, and their number can't change later in a stream's life.
+PARTITION_BYTES, LEAST_PARTITIONS, MOST_PARTITIONS = 16 << 20, 8, 8192
+
+
+def state_partitions(rows: DataFrame) -> int:
+    held = int(rows._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return min(MOST_PARTITIONS, max(LEAST_PARTITIONS, -(-held // PARTITION_BYTES)))
+
+
 def normalised(text: str = "text") -> Column:
     """The text with each run of white space replaced by one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
@@ -52,20 +63,23 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     call goes on from the files that the former has seen; a lost driver restarts from it.
     """
     state_path = state_path or scratch(spark, "dedup-state")
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    files = spark.read.parquet(path)
+    reader = spark.readStream.schema(files.schema)
     if max_bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_batch)
     # as a pattern, the path may be one file as well as a folder of files
     keyed = _keyed(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest, text=False)
     grouped = keyed.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    settings = {PROVIDER: ROCKSDB, PARTITIONS: str(state_partitions(files))}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = grouped.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_path).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if query.lastProgress is None and not spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/state").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/state")):
         return grouped_empty(spark, keyed)
     state = spark.read.format("statestore").load(state_path)
