@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import Memo, vocabulary, word_chunks
+from .tokens import WordMemo, vocabulary, word_chunks
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -38,14 +38,14 @@ def cutter(path: str, capacity: int, end_id: int):
     """For mapInArrow: (doc_id, text) to the pieces of each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(path, "bytes", lambda ids: np.asarray(ids, "<u4").tobytes())
+        memo = WordMemo(path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
                 chunks = [word_chunks(t) if t else [] for t in part.column("text").to_pylist()]
-                held = memo.learn({c for own in chunks for c in own})
+                held = memo.learn(set().union(*chunks))
                 for doc_id, own in zip(part.column("doc_id").to_pylist(), chunks, strict=True):
                     ids = b"".join([*map(held.__getitem__, own), end])
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):

@@ -51,7 +51,7 @@ def counter(path: str):
                     counts = [len(ids) for ids in model.encode(texts, num_threads=1)]
                 else:
                     chunks = [byte_chunks(t) for t in texts]
-                    held = model.learn({c for own in chunks for c in own})
+                    held = model.learn(set().union(*chunks))
                     counts = [sum(map(held.__getitem__, own)) for own in chunks]
                 yield pa.RecordBatch.from_arrays([part.column("content_sha"), pa.array(counts, pa.int64())], names=["content_sha", "n_tokens"])
 

@@ -11,10 +11,12 @@ import os
 import re
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-#: Chunks that a worker remembers before it starts anew; bounds its memory to about 100 MB.
-MEMO_CHUNKS = 300_000
+import numpy as np
+
+#: Chunks that a worker remembers before it starts anew; bounds its memory to some 200 MB.
+MEMO_CHUNKS = 600_000
 #: White space besides single spaces inside a text: such texts go to the tokenizer whole.
 _UNSAFE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  | \n|\n ")
 
@@ -53,7 +55,7 @@ class Memo:
         """The memo, with all ``chunks`` in it."""
         if len(self.held) > MEMO_CHUNKS:
             self.held.clear()
-        new = [c for c in chunks if c not in self.held]
+        new = [*chunks.difference(self.held)]
         for start in range(0, len(new), 4096):
             part = new[start : start + 4096]
             for chunk, encoded in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -61,6 +63,61 @@ class Memo:
         return self.held
 
 
+class WordMemo:
+    """The ids of each chunk as bytes, for vocabularies whose words end in a mark of their own.
+
+    Most chunks are one word of Latin letters and perhaps a punctuation mark, each a piece of its own to
+    the pre-tokenizer. Such words are encoded many to a call and told apart by the marks in their ids.
+    """
+
+    SIMPLE = staticmethod(re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch)
+
+    def __init__(self, path: str, end: str = "</w>"):
+        self.model = tokenizer(path)
+        kept = per_process()
+        self.held, self.words = kept.setdefault(f"{path}/chunks", {}), kept.setdefault(f"{path}/words", {})
+        if f"{path}/ends" not in kept:
+            ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
+            ends[[i for token, i in self.model.get_vocab().items() if token.endswith(end)]] = True
+            kept[f"{path}/ends"] = ends
+        self.ends = kept[f"{path}/ends"]
+        self.marks = dict(zip(".,!?;:", self._encode([*".,!?;:"]), strict=True))
+
+    def _encode(self, texts: list[str]) -> Iterable[bytes]:
+        for at in range(0, len(texts), 4096):
+            for encoded in self.model.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+                yield np.asarray(encoded.ids, "<u4").tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.asarray(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):  # not one mark a word: one by one
+                self.words.update(zip(part, self._encode(part), strict=True))
+                continue
+            whole = ids.tobytes()
+            self.words.update((w, whole[a:b]) for w, a, b in zip(part, [0, *stops], stops, strict=False))
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The memo, with all ``chunks`` in it."""
+        held, words = self.held, self.words
+        if len(held) > MEMO_CHUNKS:
+            held.clear()
+        if len(words) > MEMO_CHUNKS:
+            words.clear()
+        new = chunks.difference(held)
+        simple, rest = [], []
+        for c in new:
+            word = c[:-1] if c[-1:] in self.marks else c
+            (simple if self.SIMPLE(word) else rest).append(c)
+        bare = [(c[:-1] if c[-1:] in self.marks else c).lower() for c in simple]
+        self._learn_words([*set(bare).difference(words)])
+        held.update((c, words[w] + self.marks.get(c[-1:], b"")) for c, w in zip(simple, bare, strict=True))
+        held.update(zip(rest, self._encode(rest), strict=True))
+        return held
+
+
 def word_chunks(text: str) -> list[str] | None:
     """Chunks of a text for vocabularies that drop white space."""
     return text.replace("\n", " ").split(" ")
