@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language_id, line_dedup, near_dedup, packing, secret_scan, token_counts
+from . import exact_dedup, html_text, language_id, line_dedup, near_dedup, nearest, packing, pieces, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_language_id": language_id.op6_language_id,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_nearest": nearest.op8_nearest,
     "op9_html_text": html_text.op9_html_text,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
