@@ -1,13 +1,65 @@
-"""The corpus pipeline: stages that each read what the one before has written."""
+"""The corpus pipeline: each stage reads, as a Parquet table, all that the one before has kept.
+
+Language ID drops documents without a language; line dedup removes boilerplate lines of each source;
+near-dedup keeps one document of each group; the secret scan redacts what it finds; packing lays out what
+is left as sequences of tokens. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.common import table, written
+from corvane.llm.language_id import UNDETERMINED, held_out, identify, learn
+from corvane.llm.line_dedup import line_dedup
+from corvane.llm.near_dedup import near_groups
+from corvane.llm.packing import pack_documents
+from corvane.llm.secret_scan import redact
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars as long as the text is now (null where the text is null)."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter to tell a language by; all others stay as they are."""
+    langs, prototypes = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    found = identify(docs, langs, prototypes)
+    return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+
+
+def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the lines that recur over a source; documents stay, if need be with an empty text."""
+    return _counted(line_dedup(docs).select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group; documents with an empty text stay."""
+    gone = written(near_groups(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Redacts the secrets; all documents stay."""
+    return _counted(redact(docs).select(*docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: one row per piece of a document."""
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_boilerplate),
+    ("near_dedup", near_duplicates),
+    ("secret_scan", secrets),
+    ("packing", packing),
+]
 
+#: Sketches, learnt profiles and packing are beyond SQL: the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
