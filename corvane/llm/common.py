@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch at most: bounds what a Python worker holds at a time, however long the texts are.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
+    spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -37,5 +42,6 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark.conf.set(*BATCH)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

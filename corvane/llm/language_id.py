@@ -29,14 +29,14 @@ CLASSES = 64
 DIMENSIONS = 512
 SEED = 20_260
 #: Texts that are worked on together, and the most characters of them together (longer texts are alone).
-TOGETHER, CHARACTERS = 128, 1_000_000
+TOGETHER, CHARACTERS = 64, 400_000
 
 UNDETERMINED = "und"
 
 
 def letter_classes() -> np.ndarray:
     """Class of each code point: 0 for none, 1-26 for a-z, 27-63 for other letters; case is ignored."""
-    kept = per_process()
+    kept = per_process("language_id")
     if "letter_classes" not in kept:
         classes = np.zeros(0x110000, dtype=np.uint8)
         for point in range(0x110000):
@@ -71,7 +71,7 @@ class Space:
 
     @staticmethod
     def held() -> Space:
-        kept = per_process()
+        kept = per_process("language_id")
         if "trigram_space" not in kept:
             kept["trigram_space"] = Space()
         return kept["trigram_space"]

@@ -24,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 from .components import components
 from .shingles import U64, band_keys, mix, shingle_sets, sketches
+from .tokens import per_process
 
 WORDS, PERCENT = 4, 80
 BINS, BAND_ROWS = 160, 5
@@ -39,9 +41,9 @@ BLOCK = 64
 SKETCHED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"
 
 
-def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``size`` bytes of text each."""
-    lengths = np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()])
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     start = 0
     while start < batch.num_rows:
         gone = lengths[start - 1] if start else 0
@@ -54,6 +56,7 @@ def sketcher(words: int, bins: int, band_rows: int):
     """For mapInArrow: (doc_id, text) to SKETCHED; rows of empty sets have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_process("near_dedup")
         for whole in batches:
             for batch in pieces(whole, "text"):
                 prints, bounds = shingle_sets(batch.column("text").fill_null(""), words)

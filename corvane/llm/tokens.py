@@ -21,15 +21,21 @@ MEMO_CHUNKS = 600_000
 _UNSAFE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  | \n|\n ")
 
 
-def per_process() -> dict:
-    """What this process keeps from one task to the next (this code itself comes anew with each task)."""
-    return vars(sys.modules.setdefault("_corvane_kept", types.ModuleType("_corvane_kept")))
+def per_process(owner: str) -> dict:
+    """What this process keeps from one task of ``owner`` to the next (this code itself comes anew with each task).
+
+    A worker serves one owner at a time: what another has left is dropped.
+    """
+    module = sys.modules.setdefault("_corvane_kept", types.ModuleType("_corvane_kept"))
+    if getattr(module, "owner", None) != owner:
+        module.owner, module.kept = owner, {}
+    return module.kept
 
 
 def tokenizer(path: str):
     """The ``tokenizers`` model of a file, once per process and without threads of its own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    kept = per_process()
+    kept = per_process(f"tokens {path}")
     if path not in kept:
         from tokenizers import Tokenizer
 
@@ -49,7 +55,7 @@ class Memo:
 
     def __init__(self, path: str, name: str, make: Callable):
         self.model, self.make = tokenizer(path), make
-        self.held = per_process().setdefault(f"{path}/{name}", {})
+        self.held = per_process(f"tokens {path}").setdefault(f"{path}/{name}", {})
 
     def learn(self, chunks: set) -> dict:
         """The memo, with all ``chunks`` in it."""
@@ -74,7 +80,7 @@ class WordMemo:
 
     def __init__(self, path: str, end: str = "</w>"):
         self.model = tokenizer(path)
-        kept = per_process()
+        kept = per_process(f"tokens {path}")
         self.held, self.words = kept.setdefault(f"{path}/chunks", {}), kept.setdefault(f"{path}/words", {})
         if f"{path}/ends" not in kept:
             ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
