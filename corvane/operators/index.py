@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let
+
 #: Rows of a side that is broadcast at most; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -50,7 +52,7 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     word = F.split("text", r"\s+")
     keyed = passages.where(long).select("qid", F.col("text").alias("passage"), F.array_join(F.slice(word, 2, 3), " ").alias("key"))
     keyed = broadcast_if_small(keyed)
-    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(word) - 2, F.lit(1))), lambda i: F.array_join(F.slice(word, i, F.lit(3)), " "))
+    threes = let(word, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " ")))
     found = docs.select("chunk_id", "text", F.explode(F.array_distinct(threes)).alias("key")).join(keyed, "key").where(F.contains("text", "passage"))
     short = passages.where(~long).select("qid", F.col("text").alias("passage"))
     brief = docs.join(broadcast_if_small(short), F.contains(docs["text"], F.col("passage")))
