@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: patterns and weights of citation markers
 CITATION_MARKERS = (
@@ -39,7 +40,7 @@ PAPER_ID = r"^\d{4}\.\d{4,5}$"
 NUMBER = r"\d+(?:\.\d+)?"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition, which Spark has no function for."""
     import unicodedata

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LEAST = 1e-12
 
@@ -107,7 +108,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 def edl_loss_udf(anneal: int = 10):
     """Series of (evidence, label, epoch) to the loss with the digamma data term and the annealed KL term."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def loss(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for evidence, label, epoch in parts:
             alpha = np.array(evidence.tolist(), dtype=np.float64).reshape(len(evidence), -1) + 1
