@@ -23,16 +23,26 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` as a struct ``row`` beside the columns a stage works on, so that no name can clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *needed)
+
+
+def _restored(done: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``row``, with the text that the stage has made."""
+    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter to tell a language by; all others stay as they are."""
     langs, prototypes = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    found = identify(docs, langs, prototypes)
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    found = identify(_carried(docs, "text"), langs, prototypes)
+    return _restored(found.where(F.col("lang_pred") != UNDETERMINED), docs.columns)
 
 
 def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the lines that recur over a source; documents stay, if need be with an empty text."""
-    return _counted(line_dedup(docs).select(*docs.columns))
+    return _counted(_restored(line_dedup(_carried(docs, "source", "text")), docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redacts the secrets; all documents stay."""
-    return _counted(redact(docs).select(*docs.columns))
+    return _counted(_restored(redact(_carried(docs, "doc_id", "text")), docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

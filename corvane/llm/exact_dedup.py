@@ -80,14 +80,15 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if query.lastProgress is None and not spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/state").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/state")):
-        return grouped_empty(spark, keyed)
+    held = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/state")
+    if not held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held):  # no file, no batch
+        return empty_state(spark, keyed)
     state = spark.read.format("statestore").load(state_path)
     value = state.schema["value"].dataType.names
     return state.select(F.col("key").getField(state.schema["key"].dataType.names[0]).alias("digest"), F.col("value").getField(value[0]).alias("keep"), F.col("value").getField(value[1]).alias("group_size"))
 
 
-def grouped_empty(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+def empty_state(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     locator = keyed.schema["locator"].dataType.simpleString()
     return spark.createDataFrame([], f"digest string, keep struct<doc_id:{keyed.schema['doc_id'].dataType.simpleString()},locator:{locator}>, group_size bigint")
 

@@ -12,7 +12,8 @@ pages, by broadcast if their counted size is small, else with the pages of a hos
 
 Defined cases: a null text stays null, a null host is a host of its own; blank lines are never dropped;
 hosts with fewer than ``min_pages`` pages that share a line keep it; repeated rows are pages of their own;
-an empty table gives an empty result; further columns are passed on.
+an empty table gives an empty result; further columns are passed on, but for ones named n_lines or n_dropped,
+which give way.
 """
 
 from __future__ import annotations
@@ -53,19 +54,20 @@ def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", max_r
     """``pages`` with boilerplate lines gone from ``text``, and n_lines, n_dropped."""
     drop = written(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
     by_host = drop.groupBy("_host").agg(F.collect_set("_line").alias("_drop"))
-    rest = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    keyed = pages.select(*rest, F.coalesce(F.col(host).cast("string"), F.lit(NONE)).alias("_host"))
+    # a page's columns go along as one, whatever their names
+    keyed = pages.select(F.struct(*pages.columns).alias("_row"), F.col(text).alias("_text"), F.coalesce(F.col(host).cast("string"), F.lit(NONE)).alias("_host"))
     if drop.count() <= broadcast_lines:
         joined = keyed.join(F.broadcast(by_host), "_host", "left")
     else:
-        salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
-        spread = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+        spread = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         joined = salted.join(spread, ["_host", "_salt"], "left")
-    lines = _lines(F.col(text))
+    lines = _lines(F.col("_text"))
     kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_drop"), _digest(line)))
     out = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
+    cleaned = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
     return out.select(
-        *[F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col(c) for c in rest],
+        *[cleaned.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -150,7 +150,8 @@ def fit(vectors: DataFrame, sample_rows: int = SAMPLE, target: float = RECALL) -
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas().embedding.tolist()  # bounded
     lengths = np.array([len(r) for r in rows])
     usual = np.bincount(lengths).argmax() if len(rows) else 0
-    sample = np.array([r for r in rows if len(r) == usual], dtype=np.float64).reshape(-1, usual)
+    usual_rows = [r for r in rows if len(r) == usual]
+    sample = np.array(usual_rows, dtype=np.float64) if usual_rows else np.zeros((0, 0))
     return Router(sample, vectors.count(), target)
 
 

@@ -12,7 +12,7 @@ the driver.
 Defined cases: null and empty texts have no spans and the digest of an empty string; overlapping spans of
 different kinds all stay, ordered by start and then kind; of added strings, those that overlap a span of the
 patterns are dropped; repeated rows give repeated rows; an empty table gives an empty result (the word list
-still trains the model); further columns are ignored.
+still trains the model); further columns are passed on, but for ones named base_spans or all_spans, which give way.
 """
 
 from __future__ import annotations
@@ -107,10 +107,12 @@ def train(docs: DataFrame) -> list[float]:
 def ratio(string: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio a character of a string over ALPHABET."""
     held = F.split(F.lit(",".join(f"{x:.5f}" for x in model)), ",").cast("array<double>")
-    led = F.concat(F.lit("^"), string)
-    place = lambda i: F.call_function("locate", F.substring(led, i, F.lit(1)), F.lit(ALPHABET))
-    terms = F.transform(F.sequence(F.lit(1), F.length(string)), lambda i: F.element_at(held, (place(i) - 1) * len(ALPHABET) + place(i + 1)))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.length(string)
+    chars = F.regexp_extract_all(F.concat(F.lit("^"), string), F.lit("(?s)."), F.lit(0))
+    places = F.transform(chars, lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    n = F.length(string)
+    # the places are worked out once: bound as the only element of an array
+    terms = F.flatten(F.transform(F.array(places), lambda p: F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.element_at(held, (a - 1) * len(ALPHABET) + b))))
+    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / n
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, text: str = "text") -> DataFrame:
