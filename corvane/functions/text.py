@@ -327,3 +327,27 @@ def grid_reason(grid: Column, least_rows: int = 3, least_columns: int = 2, least
         .when(F.size(hollow) > 0, F.concat(F.lit("column "), (F.get(hollow, F.lit(0)) + 1).cast("string"), F.lit(" is empty in every row")))
         .otherwise("")
     )
+
+
+TABLES_JSON = "struct<tables:array<struct<caption:string,description:string,markdown:string>>>"
+
+
+def reply_tables(reply: Column) -> Column:
+    """The tables of a model's reply, structs of caption, description and markdown; null if it follows no format.
+
+    Blocks are parted at their marker lines (emphasised or numbered as may be); fields without a marker are one
+    block; JSON is taken as well; a reply that says there are no tables has none.
+    """
+    bare = F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?m)^\s*```.*$", "")
+    parts = F.split(bare, r"(?im)^[\W_]*(?:TABLE(?:\s*\d+)?|END)[\W_]*$")
+    field = lambda part, name, more: one_spaced(F.regexp_extract(part, rf"(?ims)^[\W_]*{name}[\W_]*:[ *_]*(.*?){more}", 1))
+    ends = r"(?=^[\W_]*(?:CAPTION|DESCRIPTION|GRID)[\W_]*:|^\s*\||\z)"
+
+    def block(part: Column) -> Column:
+        grid = F.array_join(F.transform(F.regexp_extract_all(part, F.lit(r"(?m)^\s*(\|.*)$"), F.lit(1)), strip), "\n")
+        return F.struct(field(part, "CAPTION", r"$").alias("caption"), field(part, "DESCRIPTION", ends).alias("description"), grid.alias("markdown"))
+
+    filled = F.filter(F.transform(parts, block), lambda b: (b["caption"] != "") | (b["description"] != "") | (b["markdown"] != ""))
+    from_json = F.from_json(json_object(bare), TABLES_JSON)["tables"]
+    none = F.array().cast("array<struct<caption:string,description:string,markdown:string>>")
+    return F.when(from_json.isNotNull(), from_json).when(F.size(filled) > 0, filled).when(F.upper(bare).contains("NO TABLES"), none)

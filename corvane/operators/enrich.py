@@ -84,3 +84,16 @@ def answered_by_all(rows: DataFrame, unit: str, group: str) -> DataFrame:
     return per.crossJoin(F.broadcast(groups)).where("_n = _groups").select(unit)  # one row
 
 
+
+
+def closest_model(listed: DataFrame, wanted: str, family: str = "flash", variant: str = "lite") -> DataFrame:
+    """The listed model (name) nearest to one that is gone: of its variant, else its family, else any.
+
+    Previews and experiments come last, higher version numbers first, then the name.
+    """
+    name = F.col("name")
+    kin = F.when(~name.contains(family), 2).when(name.contains(variant) == F.lit(variant in wanted), 0).otherwise(1)
+    trial = name.contains("preview") | name.contains("exp")
+    versions = F.transform(F.regexp_extract_all(name, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: -x.cast("double"))
+    versions = F.when(F.size(versions) > 0, versions).otherwise(F.array(F.lit(-0.0)))
+    return listed.select("name").orderBy(kin, trial, versions, "name").limit(1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import query
 from corvane.functions import text as T
+from corvane.operators.enrich import closest_model
 from corvane.session import Fixture, table
 
 STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -372,3 +373,31 @@ def grid_to_markdown(spark, sf_dir):
     grid = T.markdown_rows(F.col("markdown"))
     rows = GRIDS.frame(spark).where("markdown like '|%'")
     return rows.select("id", T.grid_markdown(T.merged_header(grid)).alias("markdown"), T.grid_reason(grid).alias("reason"))
+
+
+TABLE_REPLIES = Fixture(
+    "id long, reply string",
+    [
+        (1, "TABLE\nCAPTION: Errors\nDESCRIPTION: Compares\nall methods\nGRID:\n| a | b |\n|---|---|\n| x | 1 |\nEND\n**TABLE 2**\nCAPTION: Other\nGRID: none\nEND"),
+        (2, "```\nCAPTION: Alone\n| a | b |\n```"),
+        (3, '{"tables": [{"caption": "J", "description": "d", "markdown": "| a |"}]}'),
+        (4, "NO TABLES"),
+        (5, "I cannot do that."),
+        (6, None),
+    ],
+)
+
+
+@query("parse_tables")
+def parse_tables(spark, sf_dir):
+    """Tables of model replies; a reply that follows no format has one row without a table."""
+    rows = TABLE_REPLIES.frame(spark).withColumn("_t", T.reply_tables(F.col("reply")))
+    return rows.select("id", F.col("_t").isNull().alias("failed"), F.inline_outer("_t"))
+
+
+MODELS = Fixture("name string", [("gem-2.0-flash",), ("gem-2.5-flash",), ("gem-3.0-flash-preview",), ("gem-2.5-flash-lite",), ("gem-9-pro",)])
+
+
+@query("pick_model", f"SELECT name FROM {MODELS.sql} WHERE contains(name, 'flash') AND NOT contains(name, 'lite') ORDER BY contains(name, 'preview') OR contains(name, 'exp'), -CAST(regexp_extract(name, '\\d+(?:\\.\\d+)?') AS DOUBLE), name LIMIT 1")
+def pick_model(spark, sf_dir):
+    return closest_model(MODELS.frame(spark), "gem-1.5-flash")

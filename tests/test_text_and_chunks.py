@@ -59,3 +59,17 @@ def test_grid(spark):
     rows = [(1, 1, 0.0, 5.0, "m"), (1, 1, 10.0, 15.0, "e"), (1, 2, 1.0, 4.0, "x"), (1, 2, 11.0, 14.0, "7"), (1, 2, 20.0, 25.0, "+")]
     df = spark.createDataFrame(rows, "page int, line int, x0 double, x1 double, text string")
     assert [list(r) for r in C.to_grid(df, ["page"]).first().grid] == [["m", "e", ""], ["x", "7", "+"]]
+
+
+def test_tables_of_replies(spark):
+    from corvane import catalog
+
+    catalog.load()
+    rows = catalog.QUERIES["parse_tables"](spark, "").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, []).append((r.failed, r.caption, r.description, r.markdown))
+    assert got[1] == [(False, "Errors", "Compares all methods", "| a | b |\n|---|---|\n| x | 1 |"), (False, "Other", "", "")]
+    assert got[2] == [(False, "Alone", "", "| a | b |")]
+    assert got[3] == [(False, "J", "d", "| a |")]
+    assert got[4] == [(False, None, None, None)] and got[5] == got[6] == [(True, None, None, None)]
