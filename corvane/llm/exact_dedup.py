@@ -35,6 +35,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PARTITION_BYTES, LEAST_PARTITIONS, MOST_PARTITIONS = 16 << 20, 8, 8192
 
 
+#: Digests hit again that are broadcast at most, so that only texts with such a digest are shuffled (some 100 bytes each).
+BROADCAST_DIGESTS = 100_000
+
+
 def state_partitions(rows: DataFrame) -> int:
     held = int(rows._jdf.queryExecution().analyzed().stats().sizeInBytes())
     return min(MOST_PARTITIONS, max(LEAST_PARTITIONS, -(-held // PARTITION_BYTES)))
@@ -104,15 +108,17 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     sha = F.col("digest") if own else F.col("text_sha256")
 
     # full bytes of every digest that was hit again; combined before the shuffle
-    hits = _keyed(rows, digest, text=True).join(state.where("group_size > 1").select("digest"), "digest")
-    texts = hits.groupBy("digest", "norm").agg(F.min(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    again = state.where("group_size > 1").select("digest")
+    few = again.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    hits = _keyed(rows, digest, text=True).join(F.broadcast(again) if few else again, "digest")
+    texts = hits.select("digest", "norm").distinct()
     clash = written(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1").select("digest"), "dedup-clash")
     out = light.join(state, "digest")
     if clash.isEmpty():
         return _verdict(out, sha)
     apart = _keyed(rows, digest, text=True).withColumn("text_sha256", sha256(F.col("norm"))).join(clash, "digest", "left_semi")
-    again = apart.groupBy("digest", "norm").agg(F.min(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    regrouped = apart.join(again, ["digest", "norm"])
+    apart_groups = apart.groupBy("digest", "norm").agg(F.min(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    regrouped = apart.join(apart_groups, ["digest", "norm"])
     return _verdict(out.join(clash, "digest", "left_anti"), sha).unionByName(_verdict(regrouped, F.col("text_sha256")))
 
 
