@@ -119,9 +119,9 @@ def upsert_latest(spark, sf_dir):
     f"WITH {DOCS}, items AS (SELECT chunk_id AS qid, paper AS own, list_distinct(w)[1:0] || w[1:30] AS w FROM docs WHERE chunk_id % 25 = 0), {STATS}, {sql_bm25()}, other AS (SELECT b.qid, b.chunk_id, b.score FROM bm25 b JOIN docs d USING (chunk_id) JOIN items i ON i.qid = b.qid WHERE d.paper <> i.own) SELECT qid, chunk_id, round(score, 6) AS score FROM other QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) = 1",
 )
 def cross_doc_nearest(spark, sf_dir):
-    """The lexically nearest chunk of another paper (asked for: one chunk in 25, by its first 30 tokens)."""
+    """The lexically nearest chunk of another paper, of every chunk by all its tokens."""
     chunks = corpus(spark, sf_dir).chunks
-    asked = chunks.where("chunk_id % 25 = 0").select(F.col("chunk_id").alias("qid"), F.col("paper").alias("own"), F.slice("tokens", 1, 30).alias("tokens"))
+    asked = chunks.select(F.col("chunk_id").alias("qid"), F.col("paper").alias("own"), "tokens")
     met = bm25(chunks.select("chunk_id", "tokens"), asked.select("qid", "tokens")).join(chunks.select("chunk_id", "paper"), "chunk_id").join(asked.select("qid", "own"), "qid")
     return R.ranked(met.where("paper <> own"), ["qid"], 1).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
