@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.index import broadcast_if_small
+
 BUCKETS = 256
 
 
@@ -118,25 +120,28 @@ def selective(curve: DataFrame, by: list[str], coverages: tuple[float, ...] = (0
     return curve.groupBy(*by).agg(F.avg("risk").alias("aurc"), *[F.max(F.when(F.col("n") == at(c), 1 - F.col("risk"))).alias(f"acc_at_{round(100 * c)}") for c in coverages])
 
 
-def bootstrap(pairs: DataFrame, by: list[str], delta: str, key: str, resamples: int = 2000, least: int = 8, seed: int = 0) -> DataFrame:
+def bootstrap(pairs: DataFrame, by: list[str], delta: str, key: str, resamples: int = 2000, least: int = 8, seed: int = 0, block: int = 4096) -> DataFrame:
     """by, n, delta, ci_low, ci_high, significant: a 95 % interval of the mean difference by resampled means.
 
-    The draws of a resample are hashes of its number, the draw's and the seed, so any engine finds the same. A key's
-    differences are an array beside its resamples; keys are few and their rows are queries.
+    The draws of a resample are hashes of its number, the draw's and the seed, so any engine finds the same. Pairs are
+    numbered in the order of ``key`` (a number); a task draws ``block`` of a resample's draws, and only sums of draws meet.
     """
-    held = pairs.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(key, delta))), lambda x: x[delta]).alias("_d"))
-    n = F.size("_d")
-    boots = held.select(*by, "_d", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_boot"))
-    draw = lambda i: F.get(F.col("_d"), draw_index(F.col("_boot"), i, n, seed))
-    mean = F.aggregate(F.transform(F.sequence(F.lit(1), n), draw), F.lit(0.0), lambda a, x: a + x) / n
-    order = Window.partitionBy(*by).orderBy("_mean")
-    sorted_ = boots.select(*by, mean.alias("_mean")).withColumn("_rank", F.row_number().over(order))
+    ones = pairs.select(*by, key, F.col(delta).cast("double").alias("_x"), F.lit(1).alias("one"))
+    placed = prefix_sums(ones, by, key, ["one"], ("_x",)).select(*by, F.col("one_to").alias("_at"), "_x")
+    plain = ones.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("delta"))
+    boots = plain.where("n > 0").select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_boot"))
+    blocks = boots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))).alias("_block"))
+    # few and small rows that stand for many draws: a given number of partitions, else they are put together into one
+    dealt = blocks.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_boot", "_block")
+    draws = dealt.select(*by, "n", "_boot", F.explode(F.sequence(F.col("_block") * block + 1, F.least((F.col("_block") + 1) * block, F.col("n")))).alias("_draw"))
+    drawn = draws.select(*by, "n", "_boot", (draw_index(F.col("_boot"), F.col("_draw"), F.col("n"), seed) + 1).cast("long").alias("_at"))
+    means = drawn.join(broadcast_if_small(placed, 1_000_000), [*by, "_at"]).groupBy(*by, "_boot").agg((F.sum("_x") / F.first("n")).alias("_mean"))
+    sorted_ = means.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_mean")))  # `resamples` rows a key
     low, high = int(0.025 * resamples) + 1, int(0.975 * resamples)
     ends = sorted_.groupBy(*by).agg(F.max(F.when(F.col("_rank") == low, F.col("_mean"))).alias("_low"), F.max(F.when(F.col("_rank") == high, F.col("_mean"))).alias("_high"))
-    plain = held.select(*by, n.cast("long").alias("n"), (F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / n).alias("delta"))
     met = plain.join(ends, by) if by else plain.crossJoin(F.broadcast(ends))  # one row
     wide = F.col("n") >= least
-    return met.select(*by, "n", "delta", F.when(wide, F.col("_low")).alias("ci_low"), F.when(wide, F.col("_high")).alias("ci_high"), F.when(wide, (F.col("_low") > 0) | (F.col("_high") < 0)).alias("significant"))
+    return met.select(*by, "n", "delta", F.when(wide, F.col("_low")).alias("ci_low"), F.when(wide, F.col("_high")).alias("ci_high"), F.when(wide, (F.round("_low", 12) > 0) | (F.round("_high", 12) < 0)).alias("significant"))
 
 
 def draw_index(boot: Column, draw: Column, n: Column, seed: int) -> Column:

@@ -199,7 +199,7 @@ e AS (SELECT max(mean) FILTER (WHERE n = 51) AS low, max(mean) FILTER (WHERE n =
 SELECT len(d) AS n, round(list_sum(d) / len(d), 9) AS delta, round(low, 9) AS ci_low, round(high, 9) AS ci_high, low > 0 OR high < 0 AS significant FROM d, e""",
 )
 def paired_bootstrap(spark, sf_dir):
-    rows = scored(spark, sf_dir).where("doc_id % 5 = 0").withColumn("delta", F.col("score") / 97 - F.col("answerable").cast("int"))
+    rows = scored(spark, sf_dir).withColumn("delta", F.col("score") / 97 - F.col("answerable").cast("int"))
     return rounded(S.bootstrap(rows, [], "delta", "doc_id"), ["delta", "ci_low", "ci_high"])
 
 

@@ -3,8 +3,14 @@
 import math
 import os
 from collections import Counter
+from hashlib import md5
+
+import oracle
+from pyspark.sql import functions as F
 
 from corvane import catalog
+from corvane.operators import statistics as S
+from corvane.plans import evaluation
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 catalog.load()
@@ -50,3 +56,35 @@ def test_cross_doc_nearest_asks_with_whole_texts(spark, tmp_path):
     got, want = sorted((r.qid, r.chunk_id, r.score) for r in rows), nearest_elsewhere(docs)
     assert [r[:2] for r in got] == [r[:2] for r in want] and dict((r[0], r[1]) for r in got)[1] == 2
     assert all(math.isclose(g[2], w[2], abs_tol=2e-6) for g, w in zip(got, want))
+
+
+def interval(values, resamples=2000):
+    """n, delta, ci_low, ci_high of differences in the order of their keys, one draw at a time."""
+    n = len(values)
+    means = sorted(sum(values[int(md5(f"0:{b}:{i}".encode()).hexdigest()[:8], 16) % n] for i in range(1, n + 1)) / n for b in range(1, resamples + 1))
+    return n, sum(values) / n, means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
+
+
+def delta_rows(spark):
+    return evaluation.scored(spark, SF).select("doc_id", (F.col("score") / 97 - F.col("answerable").cast("int")).alias("delta"))
+
+
+def test_paired_bootstrap_takes_every_pair(spark):
+    want = interval([r.delta for r in delta_rows(spark).orderBy("doc_id").collect()])
+    got = catalog.QUERIES["paired_bootstrap"](spark, SF).first()
+    assert got.n == want[0] == spark.read.parquet(f"{SF}/labels.parquet").count()
+    assert all(math.isclose(g, w, abs_tol=2e-9) for g, w in zip(got[1:4], want[1:]))
+    assert got.significant == (want[2] > 0 or want[3] < 0)
+
+
+def test_bootstrap_in_blocks_and_by_keys(spark):
+    rows = delta_rows(spark).withColumn("k", F.col("doc_id") % 2)
+    got = {r.k: r for r in S.bootstrap(rows, ["k"], "delta", "doc_id", resamples=200, block=7).collect()}
+    for k in (0, 1):
+        want = interval([r.delta for r in rows.where(F.col("k") == k).orderBy("doc_id").collect()], 200)
+        assert got[k].n == want[0] and all(math.isclose(g, w, abs_tol=1e-9) for g, w in zip(got[k][2:5], want[1:]))
+
+
+def test_bootstrap_agrees_with_sql_on_the_rows_of_the_sql(spark):
+    got = evaluation.rounded(S.bootstrap(delta_rows(spark).where("doc_id % 5 = 0"), [], "delta", "doc_id"), ["delta", "ci_low", "ci_high"])
+    assert oracle.differences(got, catalog.ORACLE_SQL["paired_bootstrap"], oracle.connect(SF)) == []
