@@ -285,8 +285,8 @@ def hash_embed(spark, sf_dir):
 
 @query("to_documents", f"{sql_search(CONFIGS['bm25'], 3)} SELECT qid, rank, concat('paper=', source, ';chunk=', chunk_id, ';score=', printf('%.4f', score)) AS metadata, left(text, 40) AS page_content FROM final JOIN documents ON doc_id = chunk_id")
 def to_documents(spark, sf_dir):
-    """Results as documents for another framework: content and metadata."""
+    """Results as documents for another framework: whole content and metadata."""
     rows = search(corpus(spark, sf_dir), CONFIGS["bm25"], 3)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
     meta = F.concat(F.lit("paper="), "source", F.lit(";chunk="), F.col("chunk_id").cast("string"), F.lit(";score="), F.format_string("%.4f", "score"))
-    return rows.join(docs, "chunk_id").select("qid", F.col("rank").cast("long").alias("rank"), meta.alias("metadata"), F.substring("text", 1, 40).alias("page_content"))
+    return rows.join(docs, "chunk_id").select("qid", F.col("rank").cast("long").alias("rank"), meta.alias("metadata"), F.col("text").alias("page_content"))

@@ -88,3 +88,12 @@ def test_bootstrap_in_blocks_and_by_keys(spark):
 def test_bootstrap_agrees_with_sql_on_the_rows_of_the_sql(spark):
     got = evaluation.rounded(S.bootstrap(delta_rows(spark).where("doc_id % 5 = 0"), [], "delta", "doc_id"), ["delta", "ci_low", "ci_high"])
     assert oracle.differences(got, catalog.ORACLE_SQL["paired_bootstrap"], oracle.connect(SF)) == []
+
+
+def test_to_documents_keeps_whole_texts(spark):
+    rows = catalog.QUERIES["to_documents"](spark, SF)
+    assert oracle.differences(rows.withColumn("page_content", F.substring("page_content", 1, 40)), catalog.ORACLE_SQL["to_documents"], oracle.connect(SF)) == []
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = rows.collect()
+    assert got and any(len(r.page_content) > 40 for r in got)
+    assert all(r.page_content == texts[int(r.metadata.split("chunk=")[1].split(";")[0])] for r in got)
