@@ -79,8 +79,8 @@ def validate_labels(spark, sf_dir):
 @query("attach_evidence", "SELECT item_id AS qid, coalesce(CASE WHEN item_id % 3 = 0 THEN left(b.text, 20) END, CASE WHEN regexp_matches(d.text, '\\S') THEN left(d.text, 30) END) AS evidence FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id AND d.doc_id % 2 = 0")
 def attach_evidence(spark, sf_dir):
     """Evidence of the candidates fills what a query lacks (each third query has its own)."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 3 == 0, F.substring("text", 1, 20)).alias("evidence"))
-    found = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("qid"), F.substring("text", 1, 30).alias("evidence"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 3 == 0, F.col("text")).alias("evidence"))
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("evidence"))
     return E.fill_from(queries, found, ["qid"], ["evidence"], lambda c: F.when(c.rlike(r"\S"), c))
 
 

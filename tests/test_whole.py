@@ -97,3 +97,12 @@ def test_to_documents_keeps_whole_texts(spark):
     got = rows.collect()
     assert got and any(len(r.page_content) > 40 for r in got)
     assert all(r.page_content == texts[int(r.metadata.split("chunk=")[1].split(";")[0])] for r in got)
+
+
+def test_attach_evidence_fills_from_every_document(spark, tmp_path):
+    long = "evidence of a query that goes on " * 4
+    docs = [(0, "unused"), (1, f"odd {long}"), (2, f"even {long}"), (3, "for a blank one"), (4, " \n"), (7, "seven")]
+    items = [(0, f"own {long}"), (1, "a"), (2, "b"), (3, " "), (4, "c"), (5, "d"), (7, "e")]
+    sf = folder(tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.qid: r.evidence for r in catalog.QUERIES["attach_evidence"](spark, sf).collect()}
+    assert got == {0: f"own {long}", 1: f"odd {long}", 2: f"even {long}", 3: "for a blank one", 4: None, 5: None, 7: "seven"}
