@@ -45,6 +45,12 @@ CELLS = Fixture(
 )
 
 
+def with_documents(fixture, spark, sf_dir):
+    """id and text of the fixture and of all documents, whose ids are negative."""
+    docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), "text")
+    return fixture.frame(spark).select("id", "text").unionByName(docs)
+
+
 @query(
     "clean_page_text",
     f"""
@@ -62,7 +68,7 @@ _DENSITY = "(" + " + ".join(f"len(regexp_extract_all(text, {QUOTE(p)})) * {w}" f
 
 @query("citation_density", f"SELECT id, round({_DENSITY}, 9) AS density FROM {CITED.sql}")
 def citation_density(spark, sf_dir):
-    return CITED.frame(spark).select("id", F.round(T.citation_density(F.col("text")), 9).alias("density"))
+    return with_documents(CITED, spark, sf_dir).select("id", F.round(T.citation_density(F.col("text")), 9).alias("density"))
 
 
 @query("is_reference", f"SELECT doc_id, {_DENSITY} >= 0.25 AS is_reference FROM documents UNION ALL SELECT -id, {_DENSITY} >= 0.25 FROM {CITED.sql}")
@@ -80,7 +86,7 @@ _HAS_TABLE = f"CASE WHEN len(w) < 20 THEN {_table_like('w')} ELSE len(list_filte
 
 @query("table_like", f"WITH t AS (SELECT id, {WORDS('text')} AS w FROM {CELLS.sql}) SELECT id, {_table_like('w')} AS table_like FROM t")
 def table_like(spark, sf_dir):
-    return CELLS.frame(spark).select("id", T.table_like(T.words(F.col("text"))).alias("table_like"))
+    return with_documents(CELLS, spark, sf_dir).select("id", T.table_like(T.words(F.col("text"))).alias("table_like"))
 
 
 @query("has_table", f"WITH t AS (SELECT id, {WORDS('text')} AS w FROM {CELLS.sql} UNION ALL SELECT -1 - doc_id, {WORDS('text')} FROM documents) SELECT id, {_HAS_TABLE} AS has_table FROM t")
@@ -91,7 +97,9 @@ def has_table(spark, sf_dir):
 
 @query("table_chunks", f"WITH t AS (SELECT id, ref, {WORDS('text')} AS w FROM {CELLS.sql}) SELECT id FROM t WHERE NOT ref AND {_HAS_TABLE}")
 def table_chunks(spark, sf_dir):
-    return CELLS.frame(spark).where(~F.col("ref") & T.has_table(F.col("text"))).select("id")
+    """The chunks with a table that are no references (documents: each seventh is one, as in corpus())."""
+    docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), "text", (F.col("doc_id") % 7 == 0).alias("ref"))
+    return CELLS.frame(spark).unionByName(docs).where(~F.col("ref") & T.has_table(F.col("text"))).select("id")
 
 
 @query("is_prose", f"WITH t AS (SELECT doc_id, {WORDS('text')} AS w FROM documents) SELECT doc_id, len(w) >= 80 AND coalesce(len(list_filter(w, lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z\\-]{{2,}}$'))) / nullif(len(w), 0), 0) > 0.55 AS is_prose FROM t")
@@ -114,7 +122,7 @@ TOKENS = lambda x: f"list_transform(regexp_extract_all(regexp_replace(lower({x})
 
 @query("bm25_tokens", f"SELECT id, array_to_string({TOKENS('text')}, ' ') AS tokens FROM {NAMES.sql}")
 def bm25_tokens(spark, sf_dir):
-    return NAMES.frame(spark).select("id", F.array_join(T.search_tokens(F.col("text")), " ").alias("tokens"))
+    return with_documents(NAMES, spark, sf_dir).select("id", F.array_join(T.search_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("plain_tokens", "SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS tokens, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM benchmark")

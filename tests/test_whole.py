@@ -6,11 +6,13 @@ from collections import Counter
 from hashlib import md5
 
 import oracle
+import pytest
 from pyspark.sql import functions as F
 
 from corvane import catalog
 from corvane.operators import statistics as S
 from corvane.plans import evaluation
+from corvane.plans import text as P
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 catalog.load()
@@ -106,3 +108,25 @@ def test_attach_evidence_fills_from_every_document(spark, tmp_path):
     sf = folder(tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     got = {r.qid: r.evidence for r in catalog.QUERIES["attach_evidence"](spark, sf).collect()}
     assert got == {0: f"own {long}", 1: f"odd {long}", 2: f"even {long}", 3: "for a blank one", 4: None, 5: None, 7: "seven"}
+
+
+TEXT_SQL = {
+    "citation_density": (f"SELECT -1 - doc_id AS id, round({P._DENSITY}, 9) AS density FROM documents", 200),
+    "table_like": (f"SELECT -1 - doc_id AS id, {P._table_like('w')} AS table_like FROM (SELECT doc_id, {P.WORDS('text')} AS w FROM documents)", 200),
+    "table_chunks": (f"SELECT -1 - doc_id AS id FROM (SELECT doc_id, {P.WORDS('text')} AS w FROM documents) WHERE doc_id % 7 <> 0 AND {P._HAS_TABLE}", 3),
+    "bm25_tokens": (f"SELECT -1 - doc_id AS id, array_to_string({P.TOKENS('text')}, ' ') AS tokens FROM documents", 200),
+}
+
+
+@pytest.mark.parametrize("key", sorted(TEXT_SQL))
+def test_text_queries_take_every_document(spark, tmp_path, key):
+    cells = " ".join(["76", "84", "9.1"] * 10)
+    docs = [(i, f"Words of {i} before CIFAR-10 [1] et al. " * 40 + (cells if i in (3, 7, 150, 199) else "") + " and after. " * (i % 9)) for i in range(200)]
+    sf = folder(tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"))
+    rows, con = catalog.QUERIES[key](spark, sf), oracle.connect(sf)
+    sql, least = TEXT_SQL[key]
+    assert rows.where("id < 0").count() >= least
+    assert oracle.differences(rows.where("id < 0"), sql, con) == []
+    assert oracle.differences(rows.where("id > 0"), catalog.ORACLE_SQL[key], con) == []
+    con = oracle.connect(SF)
+    assert oracle.differences(catalog.QUERIES[key](spark, SF).where("id < 0"), sql, con) == []
