@@ -139,7 +139,7 @@ def encode_words(words: DataFrame, pieces: DataFrame, of_byte: dict[int, int], l
     return folded.select("word", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
 
 
-def encoder(pattern: str, names: dict[int, bytes]):
+def encoder(pattern: str):
     """For cogroup: a block's texts and its words' ids to the encoded texts."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -149,8 +149,8 @@ def encoder(pattern: str, names: dict[int, bytes]):
         flat, ends = np.asarray(lists.flatten(), dtype="<u4").tobytes(), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]) * 4
         held = {w: flat[a:b] for w, a, b in zip(words.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
         cut = re.compile(pattern)
-        rows: dict[str, list] = {"doc_id": texts.column("doc_id").to_pylist(), "n_words": [], "n_tokens": [], "ids": [], "ids_crc32": [], "round_trip": []}
-        for text in texts.column("text").to_pylist():
+        rows: dict[str, list] = {"doc_id": texts.column("doc_id").to_pylist(), "n_words": [], "n_tokens": [], "ids": [], "ids_crc32": [], "text": texts.column("text").to_pylist()}
+        for text in rows["text"]:
             own = cut.split((SPACE + text).replace(" ", SPACE)) if text else []
             whole = b"".join(map(held.__getitem__, own))
             ids = np.frombuffer(whole, dtype="<u4")
@@ -158,9 +158,7 @@ def encoder(pattern: str, names: dict[int, bytes]):
             rows["n_tokens"].append(len(ids))
             rows["ids"].append(ids)
             rows["ids_crc32"].append(zlib.crc32(whole))
-            back = b"".join(map(names.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
-            rows["round_trip"].append(back == (text or "").replace(SPACE, " "))
-        kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
+        kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "text": pa.string()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
     return run
@@ -182,7 +180,6 @@ def encode(docs: DataFrame, vocabulary_path: str, fold: str = "merge", block_byt
     listed, of_byte = load_pieces(vocabulary_path)
     longest, pattern = max(len(p) for p, *_ in listed), word_pattern(listed)
     pieces = spark.createDataFrame(listed, PIECES)
-    names = {i: p.encode() for p, i, _ in listed} | {i: bytes([b]) for b, i in of_byte.items()}
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
@@ -191,11 +188,13 @@ def encode(docs: DataFrame, vocabulary_path: str, fold: str = "merge", block_byt
     used = written(used, "words")
     encoded = encode_words(used.select("word").distinct(), pieces, of_byte, longest, fold)
     dictionary = used.join(encoded, "word")
-    out = "doc_id bigint, n_words bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, round_trip boolean"
-    return dealt.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(encoder(pattern, names), out)
+    out = "doc_id bigint, n_words bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, text string"
+    encoded = dealt.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(encoder(pattern), out)
+    spelt = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
+    return decode(encoded, vocabulary_path).select("doc_id", "n_words", "n_tokens", "ids", "ids_crc32", spelt.alias("round_trip"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every whole text of ``documents``, and whether they decode to it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, vocabulary(VOCABULARY)).drop("ids")
+    return encode(docs, vocabulary(VOCABULARY))

@@ -130,3 +130,17 @@ def test_text_queries_take_every_document(spark, tmp_path, key):
     assert oracle.differences(rows.where("id > 0"), catalog.ORACLE_SQL[key], con) == []
     con = oracle.connect(SF)
     assert oracle.differences(catalog.QUERIES[key](spark, SF).where("id < 0"), sql, con) == []
+
+
+def test_sentencepiece_returns_ids_that_decode_spells(spark, tmp_path, monkeypatch):
+    from corvane.llm import pieces
+    from corvane.llm.tokens import vocabulary
+
+    docs = spark.createDataFrame([(1, "Some words, ünï 漢字 twice twice"), (2, ""), (3, None), (4, f"a{pieces.SPACE}b  c\n")], "doc_id long, text string")
+    sf, decode = folder(tmp_path, documents=docs), pieces.decode
+    rows = pieces.op5_sentencepiece(spark, sf)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert all(len(r.ids) == r.n_tokens and r.round_trip for r in got.values()) and got[1].n_tokens > 5
+    assert {r.doc_id: r.decoded for r in decode(rows, vocabulary(pieces.VOCABULARY)).collect()} == {1: "Some words, ünï 漢字 twice twice", 2: "", 3: "", 4: "a b  c\n"}
+    monkeypatch.setattr(pieces, "decode", lambda *a: decode(*a).withColumn("decoded", F.lit("x")))
+    assert not any(r.round_trip for r in pieces.op5_sentencepiece(spark, sf).collect())
