@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,27 +23,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is used.
+    Only where driver and executors are one process (``local`` masters, as in tests) a temporary folder
+    stands in for it; on a cluster without the setting this raises an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if context.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
+_OWN: set[str] = set()
+
+
+def _home(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver ends."""
+    home = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
+    if home not in _OWN:
+        _OWN.add(home)
+        atexit.register(_leave, spark, home)
+    return home
+
+
+def _leave(spark: SparkSession, home: str) -> None:
+    try:
+        remove(spark, home)
+    except Exception:  # the session is gone already; the folder bears the application's name
+        pass
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own for a table or a stream's state in the shared folder."""
-    return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     spark.conf.set(*BATCH)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
+    return _write(df, scratch(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables that are needed until the block ends, and then deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        self.clear()
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function of this name."""
+        self.paths.append(scratch(self.spark, name))
+        return _write(df, self.paths[-1])
+
+    def drop(self, at: int) -> None:
+        """Delete the table that was written at this place."""
+        remove(self.spark, self.paths.pop(at))
+
+    def clear(self) -> None:
+        while self.paths:
+            self.drop(-1)

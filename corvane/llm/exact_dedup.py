@@ -7,12 +7,14 @@ has caught up, the state is read back as a table and joined to the rows. Digests
 have their full normalised texts compared; should two texts share a digest, its rows are regrouped
 by the text itself.
 
-Only DataFrame operations run on the rows. A hot group is combined before the shuffle, and the join
-back is a plain equi-join, whose skewed partitions Spark splits.
+Only DataFrame operations run on the rows. A hot group is combined before the shuffle, in the stream as in
+the comparison of texts: each task sends a text once, however many copies it has read. If a count finds the
+digests that were hit again few, a broadcast keeps all other texts out of that shuffle. The join back is a
+plain equi-join of short rows, whose skewed partitions Spark splits.
 
 Defined cases: null text equals empty text; a null doc_id sorts before all others; rows that repeat a
 doc_id are separate rows, told apart by their locator (file, row in the file), the smaller of which
-stays; an empty table gives an empty result; further columns are ignored.
+stays; an empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import scratch, table, written
+from .common import remove, scratch, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -35,7 +38,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PARTITION_BYTES, LEAST_PARTITIONS, MOST_PARTITIONS = 16 << 20, 8, 8192
 
 
-#: Digests hit again that are broadcast at most, so that only texts with such a digest are shuffled (some 100 bytes each).
+#: Digests hit again that are broadcast at most (some 100 bytes each); beyond it, all distinct texts are shuffled.
 BROADCAST_DIGESTS = 100_000
 
 
@@ -60,6 +63,12 @@ def _keyed(rows: DataFrame, digest: Callable[[Column], Column], text: bool) -> D
     return rows.select(*kept, *([norm.alias("norm")] if text else []))
 
 
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """The columns that are read; no other column of the table can take the name of the files' metadata."""
+    held = spark.read.parquet(path).schema
+    return StructType([held["doc_id"], held["text"]])
+
+
 def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, state_path: str | None = None, max_bytes_per_batch: str | None = None) -> DataFrame:
     """Run the stream over the Parquet files at ``path`` until it has caught up; returns its state.
 
@@ -67,7 +76,7 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     call goes on from the files that the former has seen; a lost driver restarts from it.
     """
     state_path = state_path or scratch(spark, "dedup-state")
-    files = spark.read.parquet(path)
+    files = spark.read.schema(_schema(spark, path)).parquet(path)
     reader = spark.readStream.schema(files.schema)
     if max_bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_batch)
@@ -97,10 +106,13 @@ def empty_state(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     return spark.createDataFrame([], f"digest string, keep struct<doc_id:{keyed.schema['doc_id'].dataType.simpleString()},locator:{locator}>, group_size bigint")
 
 
-def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, state_path: str | None = None, max_bytes_per_batch: str | None = None) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, state_path: str | None = None, max_bytes_per_batch: str | None = None, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """One row per row of the Parquet table at ``path``: doc_id, keep_id, group_size, kept, text_sha256, locator."""
-    state = written(stream_state(spark, path, digest, state_path, max_bytes_per_batch), "dedup-groups")
-    rows = spark.read.parquet(path)
+    held = state_path or scratch(spark, "dedup-state")
+    state = written(stream_state(spark, path, digest, held, max_bytes_per_batch), "dedup-groups")
+    if state_path is None:
+        remove(spark, held)
+    rows = spark.read.schema(_schema(spark, path)).parquet(path)
     own = digest is sha256
     light = _keyed(rows, digest, text=False)
     if not own:
@@ -109,9 +121,10 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
 
     # full bytes of every digest that was hit again; combined before the shuffle
     again = state.where("group_size > 1").select("digest")
-    few = again.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    hits = _keyed(rows, digest, text=True).join(F.broadcast(again) if few else again, "digest")
-    texts = hits.select("digest", "norm").distinct()
+    texts = _keyed(rows, digest, text=True).select("digest", "norm")
+    if again.limit(broadcast_digests + 1).count() <= broadcast_digests:
+        texts = texts.join(F.broadcast(again), "digest", "left_semi")
+    texts = texts.distinct()
     clash = written(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1").select("digest"), "dedup-clash")
     out = light.join(state, "digest")
     if clash.isEmpty():

@@ -3,12 +3,18 @@
 1. Each text's set of word shingles gets a fast similarity sketch (rounds of hashed bin placement until every
    bin is filled), whose bands are hashed to keys. Texts with equal sets are one class; its smallest
    doc_id stands for it from here on.
-2. Classes that share a key are candidates. In each bucket they are held against one hub, those of a
-   class's hubs first with which it shares the most keys; links are confirmed on the full sets.
-3. In buckets whose classes are not yet all in one component, the ones outside the hub's component are held
-   against all others of the bucket, exactly and in blocks: tasks see two blocks of bounded size, and emit
-   one link for two components, not all pairs.
-4. Components of the links; each document gets the smallest doc_id of its component.
+2. Classes that share a key are candidates. In a round of hubs, each bucket's most central class outside the
+   components found so far (the one that shares its keys with the most others) is held against all the bucket
+   that is not in its component, and components are formed anew.
+3. What no hub has settled is compared exactly and in blocks: in each bucket, the members outside its
+   commonest component with one another and with those inside it. Two blocks of bounded size meet in a
+   task, which gives out a spanning forest of the links found, less than one link a member. A hot
+   bucket's pairs of blocks are dealt out by cells, so that no task has to take a whole key.
+4. Links join components to components; each document gets the smallest doc_id of its component.
+
+Links are confirmed on the full sets. No pairs of a group are listed, but where many members of a bucket
+lie just below the similarity, so that no hub settles them, step 3 compares them with all the bucket: its work
+(not its output) grows with the number of such members times the bucket's.
 
 With 160 bins in 32 bands of 5, two sets of similarity 0.8 share no band with a probability of 3e-6
 (less above it). Nothing else can lose a link.
@@ -25,18 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table, written
 from .components import components
 from .shingles import U64, band_keys, mix, shingle_sets, sketches
 from .tokens import per_process
 
 WORDS, PERCENT = 4, 80
 BINS, BAND_ROWS = 160, 5
-HUBS = 3
-BLOCK = 64
+#: Rounds of hubs; members of a block, and about how many shingles; blocks along a side of a cell.
+ROUNDS, BLOCK, BLOCK_SHINGLES, GRID = 2, 256, 250_000, 16
 
 SKETCHED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"
 
@@ -73,31 +79,9 @@ def sketcher(words: int, bins: int, band_rows: int):
     return run
 
 
-def pair_verifier(words: int, percent: int):
-    """For mapInArrow: (a, b, text_a, text_b) to the (a, b) that are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                (pa_, ba), (pb_, bb) = (shingle_sets(batch.column(c).fill_null(""), words) for c in ("text_a", "text_b"))
-                keep = []
-                for i in range(batch.num_rows):
-                    x, y = pa_[ba[i] : ba[i + 1]], pb_[bb[i] : bb[i + 1]]
-                    small, large = min(len(x), len(y)), max(len(x), len(y))
-                    if not small or 100 * small < percent * large:
-                        continue
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
-
-    return run
-
-
 def common_counts(x: np.ndarray, bx: np.ndarray, y: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of all sets of x with all sets of y."""
-    out = np.zeros((len(bx) - 1, len(by) - 1), dtype=np.float32)
+    out = np.zeros((len(bx) - 1, len(by) - 1), dtype=np.int64)
     shared = np.intersect1d(x, y)
     rows = [np.repeat(np.arange(len(b) - 1), np.diff(b)) for b in (bx, by)]
     for start in range(0, len(shared), 20_000):
@@ -109,64 +93,140 @@ def common_counts(x: np.ndarray, bx: np.ndarray, y: np.ndarray, by: np.ndarray)
             side = np.zeros((n, len(part)), dtype=np.float32)
             side[own[use], place[use]] = 1
             sides.append(side)
-        out += sides[0] @ sides[1].T
+        out += (sides[0] @ sides[1].T).astype(np.int64)  # each part is exact, being below 2^24
     return out
 
 
+def forest(left: list[int], right: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between two lists of components, as many as join what they join, and no more."""
+    parent = {c: c for c in (*left, *right)}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    kept = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(linked)), strict=True):
+        p, q = root(left[i]), root(right[j])
+        if p != q:
+            parent[p] = q
+            kept.append((left[i], right[j]))
+    return kept
+
+
 def block_verifier(words: int, percent: int):
-    """For mapInArrow: two blocks (lists of node, component, text) to one link for two components that have one."""
+    """For mapInArrow: band and two blocks (lists of comp, text, keys) to links (a, b) between their components.
+
+    All members are held against each other on their full sets, but for pairs that share the key of an earlier
+    band than ``band``, which meet in that key's bucket; of the links found, a spanning forest is given
+    out, less than one link for each member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(whole.num_rows):
-                nodes, comps, sets = [], [], []
+                comps, texts, keys = [], [], []
                 for side in ("left", "right"):
                     block = whole.column(side).slice(at, 1).flatten()
-                    nodes.append(block.field("node").to_numpy(zero_copy_only=False))
                     comps.append(block.field("comp").to_numpy(zero_copy_only=False))
-                    sets.append(shingle_sets(block.field("text").fill_null(""), words))
-                common = common_counts(*sets[0], *sets[1])
-                sizes = [np.diff(b) for _, b in sets]
-                linked = (100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)) & (common > 0)
-                linked &= comps[0][:, None] != comps[1][None, :]
-                found = {}
-                for i, j in zip(*map(np.ndarray.tolist, np.nonzero(linked)), strict=True):
-                    found.setdefault((comps[0][i], comps[1][j]), (nodes[0][i], nodes[1][j]))
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found.values()], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    texts.append(block.field("text"))
+                    keys.append(np.asarray(block.field("keys").flatten()).reshape(len(block), -1))
+                apart = comps[0][:, None] != comps[1][None, :]
+                for band in range(whole.column("band")[at].as_py()):
+                    apart &= keys[0][:, None, band] != keys[1][None, :, band]
+                found: list[tuple[int, int]] = []
+                if apart.any():
+                    use = [np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))]
+                    sets = [shingle_sets(t.take(pa.array(u)).fill_null(""), words) for t, u in zip(texts, use, strict=True)]
+                    common = common_counts(*sets[0], *sets[1])
+                    sizes = [np.diff(b) for _, b in sets]
+                    linked = apart[np.ix_(*use)] & (common > 0) & (100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
+                    found = forest(comps[0][use[0]].tolist(), comps[1][use[1]].tolist(), linked)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough to tell the components."""
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    hubs = written(keyed.groupBy("key").agg(F.min_by("node", F.struct(F.xxhash64("node", "key"), F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = written(keyed.join(hubs, "key"), "members")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
-    texts = written(texts, "candidates")
-
-    shared = members.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("node").orderBy(F.desc("n"), "hub")  # a class has at most one hub a band
-    pairs = shared.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HUBS).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    stars = written(both.mapInArrow(pair_verifier(words, percent), "a bigint, b bigint"), "star-links")
-
-    grouped = components(stars)
-    comp = lambda k: grouped.select(F.col("node").alias(k), F.col("component").alias(f"{k}_comp"))
-    placed = members.join(comp("node"), "node", "left").join(comp("hub"), "hub", "left").select("key", "node", "n", F.coalesce("node_comp", "node").alias("comp"), (F.coalesce("node_comp", "node") == F.coalesce("hub_comp", "hub")).alias("main"))
-    placed = written(placed, "placed")
-    rest = placed.groupBy("key").agg(F.count_if(~F.col("main")).alias("outside"), F.count_if("main").alias("inside")).where("outside > 0")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    of = placed.select("key", "node", "comp", "main").join(rest, "key")
-    of = of.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), blocks("inside")).otherwise(blocks("outside"))).cast("int"))
-    held = of.join(texts, "node").groupBy("key", "main", "block").agg(F.collect_list(F.struct("node", "comp", "text")).alias("members"))
-    held = written(held, "blocks")
-    outside = held.where(~F.col("main")).select("key", F.col("block").alias("i"), F.col("members").alias("left"))
-    other = held.select("key", "main", F.col("block").alias("j"), F.col("members").alias("right"))
-    # the blocks outside the hub's component with one another (once) and with those inside it
-    two = outside.join(other, "key").where(F.col("main") | (F.col("i") <= F.col("j"))).select("left", "right")
-    return stars.unionByName(two.mapInArrow(block_verifier(words, percent), "a bigint, b bigint"))
+def _blocks(n: Column, size: Column) -> Column:
+    """Blocks for n members that have so many shingles together."""
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+
+def star_links(own: Scratch, members: DataFrame, hubs: DataFrame, texts: DataFrame, check) -> DataFrame:
+    """Links (a, b) between the components of hubs and of members held against them.
+
+    ``members``: key, node, size, comp; ``hubs``: key, hub, hub_comp. A hub meets its members in blocks.
+    """
+    pairs = members.join(hubs, "key").where("comp <> hub_comp").select("hub", "hub_comp", "node", "comp", "size").distinct()
+    pairs = own.written(pairs, "star-pairs")
+    many = pairs.groupBy("hub").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
+    dealt = pairs.join(many, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = dealt.join(texts, "node").groupBy("hub", "hub_comp", "block").agg(F.collect_list(F.struct("comp", "text", "keys")).alias("right"))
+    left = texts.select(F.col("node").alias("hub"), "text", "keys")
+    two = blocks.join(left, "hub").select(F.lit(0).alias("band"), F.array(F.struct(F.col("hub_comp").alias("comp"), "text", "keys")).alias("left"), "right")
+    return own.written(two.mapInArrow(check, "a bigint, b bigint"), "star-links")
+
+
+def rest_links(own: Scratch, members: DataFrame, texts: DataFrame, check) -> DataFrame:
+    """Links (a, b) between the components of ``members`` (key, node, size, comp) that share a bucket.
+
+    In each bucket, the members outside its commonest component meet one another and those inside it, in
+    blocks. A bucket's blocks form a square, cut into cells of GRID x GRID blocks with a key each.
+    """
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    most = F.max_by(F.struct("comp", "n", "size"), F.struct("n", "comp")).alias("most")
+    buckets = sizes.groupBy("key").agg(most, F.sum("n").alias("n"), F.sum("size").alias("all")).where("n > most.n")
+    buckets = buckets.select("key", F.col("most.comp").alias("main"), _blocks(F.col("most.n"), F.col("most.size")).alias("inside"), _blocks(F.col("n") - F.col("most.n"), F.col("all") - F.col("most.size")).alias("outside"))
+    of = members.join(buckets, "key").withColumn("in_main", F.col("comp") == F.col("main"))
+    of = of.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    of = of.join(texts, "node").withColumn("band", F.array_position("keys", F.col("key")).cast("int") - 1).where("band >= 0")
+    held = of.groupBy("key", "band", "in_main", "block", "inside", "outside").agg(F.collect_list(F.struct("comp", "text", "keys")).alias("members"))
+    held = own.written(held, "blocks")
+    cells = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / GRID).cast("int") - 1)
+    cell = F.floor(F.col("block") / GRID).cast("int")
+    left = held.where("not in_main").select("key", "band", F.col("block").alias("i"), cell.alias("row"), F.explode(F.array_distinct(F.concat(cells("inside"), cells("outside")))).alias("column"), F.col("members").alias("left"))
+    right = held.select("key", "in_main", F.col("block").alias("j"), F.explode(cells("outside")).alias("row"), cell.alias("column"), F.col("members").alias("right"))
+    two = left.join(right, ["key", "row", "column"]).where("in_main or i <= j").select("band", "left", "right")
+    return own.written(two.mapInArrow(check, "a bigint, b bigint"), "rest-links")
+
+
+def joined(classes: DataFrame, same: DataFrame, words: int, percent: int, docs: DataFrame) -> DataFrame:
+    """node, comp (the least node of its component) of every class; ``same``: links (a, b) beside those found."""
+    check = block_verifier(words, percent)
+    with Scratch(docs.sparkSession) as own:
+        keyed = classes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = own.written(keyed.join(sizes, "key"), "members")
+        # a class that shares keys with many others lies amid them: it makes a good hub
+        centre = members.groupBy("node").agg(F.sum("n").alias("score"))
+        members = own.written(members.join(centre, "node").select("key", "node", "size", "score"), "scored")
+        held = classes.select("node", "keys").join(centre.select("node"), "node")
+        texts = own.written(docs.select(F.col("doc_id").alias("node"), "text").join(held, "node"), "candidates")
+
+        comps = centre.select("node", F.col("node").alias("comp"))
+        # tested: hubs so far, which have met all of their bucket that is not in their component
+        tested, outside = None, members.withColumn("comp", F.col("node"))
+        for at in range(ROUNDS):
+            hubs = outside.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("score", -F.col("node"))).alias("h"))
+            hubs = own.written(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
+            comps = own.written(_again(comps, components(star_links(own, members.join(comps, "node"), hubs, texts, check), own)), "comps")
+            met = hubs.select("key", "hub")
+            tested = met if tested is None else tested.unionByName(met)
+            # the members whose component holds no hub of their bucket
+            placed = tested.join(comps, F.col("hub") == F.col("node")).select("key", "comp").distinct()
+            outside = members.join(comps, "node").join(placed, ["key", "comp"], "left_anti")
+        left = members.join(tested.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").join(comps, "node").select("key", "node", "size", "comp")
+        comp = lambda k: comps.select(F.col("node").alias(k), F.col("comp").alias(f"{k}_comp"))
+        same = same.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+        grouped = components(rest_links(own, own.written(left, "left"), texts, check).unionByName(same), own)
+        comps = classes.select("node").distinct().join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+        return written(_again(comps, grouped), "joined")
+
+
+def _again(comps: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``comps`` after links between them have grouped some."""
+    return comps.join(grouped.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -174,12 +234,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text")
     sketched = written(docs.mapInArrow(sketcher(words, BINS, BAND_ROWS), SKETCHED), "sketches")
     real = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("d1", "d2", F.col("least.doc_id").alias("node"), F.col("least.keys").alias("keys")), "classes")
+    classes = written(real.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("least")).select("d1", "d2", F.col("least.doc_id").alias("node"), "least.n_shingles", "least.keys"), "classes")
     # rows that share a doc_id are one document: their classes are linked
     again = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    repeated = real.join(again, "doc_id").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    grouped = components(links(docs, sketched, classes, words, percent).unionByName(repeated))
-    labels = classes.select("d1", "d2", "node").join(grouped, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    repeated = real.join(again, "doc_id").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node").distinct()
+    same = repeated.join(repeated.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+    comps = joined(classes, same, words, percent, docs)
+    labels = classes.select("d1", "d2", "node").join(comps, "node").select("d1", "d2", F.col("comp").alias("component"))
     placed = sketched.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

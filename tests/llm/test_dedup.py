@@ -1,13 +1,18 @@
 """Exact, line and near deduplication against brute force."""
 
 import collections
+import os
+import random
 import re
 
+import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import exact_dedup, line_dedup, near_dedup
+from corvane.llm.common import Scratch
 from corvane.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +41,15 @@ def test_exact_dedup_even_where_digests_collide(spark, tmp_path, digest):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_exact_dedup_beyond_the_broadcast_and_with_clashing_names(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    rows = [(i, "copy" if i % 3 else f"own {i}", "m", i) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, _metadata string, row bigint").repartition(3).write.parquet(path)
+    for bound in (0, 1000):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, path, broadcast_digests=bound).collect()}
+        assert got == {i: (1, 26, i == 1) if i % 3 else (i, 1, True) for i in range(40)}
+
+
 def test_exact_dedup_goes_on_and_takes_an_empty_table(spark, tmp_path):
     path, state = str(tmp_path / "d.parquet"), str(tmp_path / "state")
     spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string").write.parquet(path)
@@ -94,13 +108,57 @@ def test_near_groups_on_cases(spark):
     assert near_dedup.near_groups(df.limit(0)).collect() == []
 
 
+def test_near_groups_of_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "GRID", 2)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):  # most pairs lie about the similarity
+        own = base.copy()
+        for k in rng.sample(range(80), rng.randint(0, 5)):
+            own[k] = f"e{i}_{k}"
+        rows.append((1000 - i, " ".join(own)))
+    rows += [(i, "copy of one text that many have " * 3) for i in range(50)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_blocks_give_a_forest_of_links():
+    texts = ["one text that all of them have in common"] * 64
+    block = lambda first: [{"comp": first + i, "text": t, "keys": [i, 7]} for i, t in enumerate(texts)]
+    kind = pa.list_(pa.struct([("comp", pa.int64()), ("text", pa.string()), ("keys", pa.list_(pa.int64()))]))
+    def links(band):
+        batch = pa.RecordBatch.from_arrays([pa.array([band], pa.int32()), pa.array([block(0)], kind), pa.array([block(100)], kind)], names=["band", "left", "right"])
+        return pa.Table.from_batches([*near_dedup.block_verifier(4, 80)(iter([batch]))]).to_pydict()
+
+    found = links(0)
+    assert len(found["a"]) == 127 and set(found["a"]) == set(range(64)) and set(found["b"]) == set(range(100, 164))
+    assert len(links(1)["a"]) == 127  # but pairs that share band 0
+    assert links(2)["a"] == []  # all share band 1
+
+
+def test_counts_of_common_shingles_are_exact():
+    x = np.arange(100_000, dtype=np.uint64)
+    got = near_dedup.common_counts(x, np.array([0, 100_000]), x, np.array([0, 100_000]))
+    assert got.dtype == np.int64 and got[0, 0] == 100_000
+
+
 def test_near_groups_on_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.op3_near_dedup(spark, SF).collect()}
     assert got == brute_groups(rows)
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    with Scratch(spark) as own:
+        rows = own.written(spark.range(3), "x")
+        assert rows.count() == 3 and os.path.isdir(own.paths[0].removeprefix("file:"))
+        path = own.paths[0].removeprefix("file:")
+    assert not os.path.exists(path)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(200, 200)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark)).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 120), 100)}
