@@ -5,11 +5,11 @@ where depends on the pieces' lengths alone, so the plan is made on their histogr
 ``capacity`` entries however many documents there are: a bin is filled greedily, largest fitting length
 first; then its smallest document gives way to the two unpacked ones that fit the expanded gap most
 tightly, if they fill more of it. A pattern of lengths found so is used as often as the histogram allows.
-The pieces are numbered within their length (in buckets, so that no length meets in one task) and each
-number is looked up in the plan.
+The pieces are numbered within their length (in buckets by a number of the row, so that no length and no
+repeated row meets in one task) and each number is looked up in the plan.
 
-Defined cases: null and empty texts are the one token that ends a document; ties between pieces of one
-length go by bucket, doc_id and piece; rows that repeat a doc_id are packed as documents of their own; an
+Defined cases: null and empty texts are the one token that ends a document; which of the pieces of one length
+goes where is left open; rows that repeat a doc_id are packed as documents of their own; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -121,16 +121,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...; a stable table) with sequence_id and offset."""
+    """``pieces`` (length, ``_row``: a number of the row's own, and others; a stable table) with sequence_id and offset."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     buckets = max(buckets, sum(histogram.values()) // BUCKET_ROWS)
     runs = spark.createDataFrame(plan(histogram, capacity), "length bigint, run_from bigint, run_to bigint, per_bin bigint, run_sequence bigint, run_offset bigint")
 
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     sums = dealt.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("bucket", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("_row")) - 1
     numbered = dealt.withColumn("own", own).join(before, ["bucket", "length"]).withColumn("number", F.col("before") + F.col("own"))
     at = F.col("number") - F.col("run_from")
     return (
@@ -138,7 +138,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
         .where((F.col("number") >= F.col("run_from")) & (F.col("number") < F.col("run_to")))
         .withColumn("sequence_id", F.col("run_sequence") + F.floor(at / F.col("per_bin")))
         .withColumn("offset", F.col("run_offset") + F.pmod(at, F.col("per_bin")) * F.col("length"))
-        .select(*pieces.columns, "sequence_id", "offset")
+        .select(*[c for c in pieces.columns if c != "_row"], "sequence_id", "offset")
     )
 
 
@@ -149,7 +149,8 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACIT
 
 def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Tokenise, cut and pack: one row per piece."""
-    return pack(written(cut_documents(docs, vocabulary_path or vocabulary(VOCABULARY), capacity, end_id), "pieces"), capacity)
+    cut = cut_documents(docs, vocabulary_path or vocabulary(VOCABULARY), capacity, end_id)
+    return pack(written(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,16 @@
 A text is known by the SHA-256 of its content (null counts as empty; nothing else is normalised, as
 any change could change the count), a tokenizer version by the SHA-256 of its file. Contents whose
 pair of digests is in the cache are not encoded. Of the others one copy each is encoded, and the new
-counts are appended to the cache, a Parquet table.
+counts are appended to the cache, a Parquet table in partitions by tokenizer version, of which a run reads
+its own.
 
 Copies are combined before the shuffle, so a hot content costs one row a task. Appending is atomic
-(Spark's commit); one writer at a time keeps the pairs unique.
+(Spark's commit); should two writers, or a job that ran twice, have left a pair more than once, it counts
+as one on reading.
 
 Defined cases: null and empty text have 0 tokens; special strings inside texts count as the library's
-default has it; repeated rows give repeated rows; an empty table gives an empty result.
+default has it; texts of any length count whole; repeated rows give repeated rows; an empty table gives an
+empty result; further columns are passed on, but for ones named n_bytes, n_tokens or over_limit, which give way.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 from .tokens import Memo, byte_chunks, vocabulary
 
-CACHE = "content_sha string, tokenizer_sha string, n_tokens bigint"
+CACHE = "content_sha string, n_tokens bigint, tokenizer_sha string"
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -53,7 +56,7 @@ def counter(path: str):
                     chunks = [byte_chunks(t) for t in texts]
                     held = model.learn(set().union(*chunks))
                     counts = [sum(map(held.__getitem__, own)) for own in chunks]
-                yield pa.RecordBatch.from_arrays([part.column("content_sha"), pa.array(counts, pa.int64())], names=["content_sha", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("_sha"), pa.array(counts, pa.int64())], names=["content_sha", "n_tokens"])
 
     return count
 
@@ -70,16 +73,20 @@ def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str, limit:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         cached = spark.createDataFrame([], CACHE)
-    known = cached.where(F.col("tokenizer_sha") == version).select("content_sha")
-    contents = docs.select(sha.alias("content_sha"), content.alias("text")).groupBy("content_sha").agg(F.first("text").alias("text"))
-    misses = contents.join(known, "content_sha", "left_anti")
+    def known(cache: DataFrame) -> DataFrame:
+        own = cache.where(F.col("tokenizer_sha") == version)  # prunes the other versions' partitions
+        return own.groupBy(F.col("content_sha").alias("_sha")).agg(F.max("n_tokens").alias("_tokens"))
+
+    contents = docs.select(sha.alias("_sha"), content.alias("text")).groupBy("_sha").agg(F.first("text").alias("text"))
+    misses = contents.join(known(cached), "_sha", "left_anti")
     counted = misses.mapInArrow(counter(vocabulary_path), "content_sha string, n_tokens bigint")
-    counted.select("content_sha", F.lit(version).alias("tokenizer_sha"), "n_tokens").write.mode("append").parquet(cache_path)
+    counted.withColumn("tokenizer_sha", F.lit(version)).write.mode("append").partitionBy("tokenizer_sha").parquet(cache_path)
 
-    known = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer_sha") == version).select("content_sha", "n_tokens")
-    rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit", "content_sha")]
-    keyed = docs.select(*rest, sha.alias("content_sha"), F.octet_length(content).cast("long").alias("n_bytes"))
-    return keyed.join(known, "content_sha").select(*rest, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
+    # the columns go along as one, whatever their names
+    keyed = docs.select(F.struct(*rest, F.octet_length(content).cast("long").alias("n_bytes")).alias("_row"), sha.alias("_sha"))
+    counts = keyed.join(known(spark.read.schema(CACHE).parquet(cache_path)), "_sha")
+    return counts.select(*[F.col("_row").getField(c).alias(c) for c in (*rest, "n_bytes")], F.col("_tokens").alias("n_tokens"), (F.col("_tokens") > limit).alias("over_limit"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,13 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Chunks that a worker remembers before it starts anew; bounds its memory to some 200 MB.
-MEMO_CHUNKS = 600_000
-#: White space besides single spaces inside a text: such texts go to the tokenizer whole.
+#: Chunks that a worker remembers before it starts anew, and the longest of them in characters; longer ones
+#: are encoded each time. An entry is of 450 bytes at most (150 as a rule), so a memo is below 180 MB.
+MEMO_CHUNKS, LONGEST = 400_000, 48
+#: White space besides single spaces and line ends inside a text.
 _UNSAFE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  | \n|\n ")
+#: A single space between characters that are no white space.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def per_process(owner: str) -> dict:
@@ -50,17 +53,36 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Kept(dict):
+    """What is known of chunks: short ones are kept, up to MEMO_CHUNKS; long ones until the next call of ``renew``."""
+
+    def __init__(self):
+        super().__init__()
+        self.passing: list[str] = []
+
+    def renew(self) -> None:
+        for chunk in self.passing:
+            self.pop(chunk, None)
+        self.passing = []
+        if len(self) > MEMO_CHUNKS:
+            self.clear()
+
+    def __setitem__(self, chunk: str, value: object) -> None:
+        super().__setitem__(chunk, value)
+        if len(chunk) > LONGEST:
+            self.passing.append(chunk)
+
+
 class Memo:
-    """``make(ids)`` of each chunk, for about MEMO_CHUNKS chunks at a time; kept under ``name``."""
+    """``make(ids)`` of each chunk; kept under ``name``."""
 
     def __init__(self, path: str, name: str, make: Callable):
         self.model, self.make = tokenizer(path), make
-        self.held = per_process(f"tokens {path}").setdefault(f"{path}/{name}", {})
+        self.held = per_process(f"tokens {path}").setdefault(f"{path}/{name}", Kept())
 
     def learn(self, chunks: set) -> dict:
         """The memo, with all ``chunks`` in it."""
-        if len(self.held) > MEMO_CHUNKS:
-            self.held.clear()
+        self.held.renew()
         new = [*chunks.difference(self.held)]
         for start in range(0, len(new), 4096):
             part = new[start : start + 4096]
@@ -81,7 +103,7 @@ class WordMemo:
     def __init__(self, path: str, end: str = "</w>"):
         self.model = tokenizer(path)
         kept = per_process(f"tokens {path}")
-        self.held, self.words = kept.setdefault(f"{path}/chunks", {}), kept.setdefault(f"{path}/words", {})
+        self.held, self.words = kept.setdefault(f"{path}/chunks", Kept()), kept.setdefault(f"{path}/words", Kept())
         if f"{path}/ends" not in kept:
             ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
             ends[[i for token, i in self.model.get_vocab().items() if token.endswith(end)]] = True
@@ -108,30 +130,29 @@ class WordMemo:
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The memo, with all ``chunks`` in it."""
         held, words = self.held, self.words
-        if len(held) > MEMO_CHUNKS:
-            held.clear()
-        if len(words) > MEMO_CHUNKS:
-            words.clear()
+        held.renew()
+        words.renew()
         new = chunks.difference(held)
         simple, rest = [], []
         for c in new:
             word = c[:-1] if c[-1:] in self.marks else c
-            (simple if self.SIMPLE(word) else rest).append(c)
+            (simple if len(c) <= LONGEST and self.SIMPLE(word) else rest).append(c)
         bare = [(c[:-1] if c[-1:] in self.marks else c).lower() for c in simple]
         self._learn_words([*set(bare).difference(words)])
         held.update((c, words[w] + self.marks.get(c[-1:], b"")) for c, w in zip(simple, bare, strict=True))
-        held.update(zip(rest, self._encode(rest), strict=True))
+        for c, ids in zip(rest, self._encode(rest), strict=True):
+            held[c] = ids
         return held
 
 
-def word_chunks(text: str) -> list[str] | None:
+def word_chunks(text: str) -> list[str]:
     """Chunks of a text for vocabularies that drop white space."""
     return text.replace("\n", " ").split(" ")
 
 
-def byte_chunks(text: str) -> list[str] | None:
+def byte_chunks(text: str) -> list[str]:
     """Chunks of a text for byte-level vocabularies, where a space belongs to the word behind it."""
     if _UNSAFE.search(text):
-        return [text]
+        return _CUT.split(text)
     first, *rest = text.split(" ")
     return [first, *[" " + x for x in rest]]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import packing, pieces, token_counts
-from corvane.llm.tokens import Memo, WordMemo, byte_chunks, vocabulary, word_chunks
+from corvane.llm.tokens import LONGEST, Memo, WordMemo, byte_chunks, vocabulary, word_chunks
 
 TEXTS = [None, "", " ", "a", "The end. The End, so<|endoftext|>it is", "é́x Σσ ΑΣ\n\n\tb  c 漢字 12'34 don't", "word " * 5000, "x" * 60_000, "same", "same"]
 
@@ -104,6 +104,36 @@ def test_counts_and_cache(spark, docs, tmp_path):
     assert token_counts.token_counts(docs.limit(0), vocabulary("byte_bpe_50k.json"), str(tmp_path / "new")).collect() == []
 
 
+def test_a_pair_that_is_cached_twice_counts_once(spark, docs, tmp_path):
+    cache = str(tmp_path / "cache")
+    first = token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"), cache).collect()
+    spark.read.parquet(cache).write.mode("append").partitionBy("tokenizer_sha").parquet(cache)
+    assert sorted(token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"), cache).collect()) == sorted(first)
+
+
+def test_columns_go_along(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id bigint, text string, content_sha string, _sha string")
+    got = token_counts.token_counts(rows, vocabulary("byte_bpe_50k.json"), str(tmp_path / "cache")).first().asDict()
+    assert got == {"doc_id": 1, "content_sha": "x", "_sha": "y", "n_bytes": 3, "n_tokens": 2, "over_limit": False}
+
+
+def test_memos_are_bounded():
+    rng = random.Random(3)
+    byte, word = Memo(vocabulary("byte_bpe_50k.json"), "bound", len), WordMemo(vocabulary("word_bpe_49k.json"))
+    models = model("byte_bpe_50k.json"), model("word_bpe_49k.json")
+    texts = ["".join(rng.choice("ab\t  c") for _ in range(100_000)), "z" * 100_000, "x\ty " * 25_000]
+    for text in texts:
+        own = byte_chunks(text)
+        held = byte.learn(set(own))
+        assert sum(held[c] for c in own) == len(models[0].encode(text, add_special_tokens=False).ids)
+        own = word_chunks(text)
+        held = word.learn(set(own))
+        assert b"".join(held[c] for c in own) == np.asarray(models[1].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for memo in (byte, word):
+        memo.learn({"end"})
+        assert max(map(len, memo.held)) <= LONGEST
+
+
 def test_pieces_equal_the_library_and_decode(spark):
     import sentencepiece
 
