@@ -10,7 +10,9 @@ driver is one count for each language and trigram (at most 64^3 a language), and
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with nothing to learn from
 every text is ``und``; ties go to the first language in alphabetical order; a null doc_id is neither
-held out nor learnt from; an empty table gives an empty result; further columns are ignored.
+held out nor learnt from; texts of any length are read whole, very long ones one at a time; repeated rows give
+repeated rows; an empty table gives an empty result; further columns are passed on, but for ones named lang_pred or
+score, which give way.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ CLASSES = 64
 DIMENSIONS = 512
 SEED = 20_260
 #: Texts that are worked on together, and the most characters of them together (longer texts are alone).
-TOGETHER, CHARACTERS = 64, 400_000
+TOGETHER, CHARACTERS = 64, 200_000
 
 UNDETERMINED = "und"
 
@@ -61,13 +63,16 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Space:
-    """The vectors of the trigrams met so far."""
+    """The vectors of trigrams; of the first HELD that are met they are kept (64 MB), others are bound when needed."""
+
+    HELD, AT_ONCE = 32_768, 8_192
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
         letters = np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.float32), (CLASSES, dimensions))
         self.places = [np.roll(letters, shift, axis=1) for shift in (2, 1, 0)]
         self.row = np.full(CLASSES**3, -1, dtype=np.int32)
-        self.vectors = np.zeros((0, dimensions), dtype=np.float32)
+        self.vectors = np.empty((self.HELD, dimensions), dtype=np.float32)
+        self.used = 0
 
     @staticmethod
     def held() -> Space:
@@ -76,13 +81,23 @@ class Space:
             kept["trigram_space"] = Space()
         return kept["trigram_space"]
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        new = codes[self.row[codes] < 0]
-        if len(new):
-            bound = self.places[0][new // CLASSES**2] * self.places[1][new // CLASSES % CLASSES] * self.places[2][new % CLASSES]
-            self.row[new] = len(self.vectors) + np.arange(len(new))
-            self.vectors = np.concatenate([self.vectors, bound])
-        return self.vectors[self.row[codes]]
+    def bind(self, codes: np.ndarray) -> np.ndarray:
+        return self.places[0][codes // CLASSES**2] * self.places[1][codes // CLASSES % CLASSES] * self.places[2][codes % CLASSES]
+
+    def bundle(self, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The sums of the codes' vectors, each row of ``counts`` times."""
+        new = codes[self.row[codes] < 0][: self.HELD - self.used]
+        for start in range(0, len(new), self.AT_ONCE):
+            part = new[start : start + self.AT_ONCE]
+            self.row[part] = self.used + np.arange(len(part))
+            self.vectors[self.used : self.used + len(part)] = self.bind(part)
+            self.used += len(part)
+        out = np.zeros((len(counts), self.vectors.shape[1]), dtype=counts.dtype)
+        for start in range(0, len(codes), self.AT_ONCE):
+            part = codes[start : start + self.AT_ONCE]
+            rows = self.row[part]
+            out += counts[:, start : start + self.AT_ONCE] @ (self.vectors[rows] if (rows >= 0).all() else self.bind(part))
+        return out
 
 
 def bundles(texts: list[str], space: Space) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +110,7 @@ def bundles(texts: list[str], space: Space) -> tuple[np.ndarray, np.ndarray]:
     place[distinct] = np.arange(len(distinct))
     counts = np.bincount(own * max(1, len(distinct)) + place[codes], minlength=len(texts) * max(1, len(distinct)))
     lettered = np.bincount(own[(codes // CLASSES % CLASSES) > 0], minlength=len(texts)) > 0
-    return counts.reshape(len(texts), -1).astype(np.float32)[:, : len(distinct)] @ space.of(distinct), lettered
+    return space.bundle(counts.reshape(len(texts), -1).astype(np.float32)[:, : len(distinct)], distinct), lettered
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -144,7 +159,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     space, langs, vectors = Space(), [], []
     for lang, own in rows.groupby("lang", sort=True):
         codes = own.code.to_numpy()
-        vector = own.n.to_numpy(np.float64) @ space.of(codes)
+        vector = space.bundle(own.n.to_numpy(np.float64)[None, :], codes)[0]
         if (norm := np.linalg.norm(vector)) > 0:
             langs.append(str(lang))
             vectors.append(vector / norm)

@@ -11,13 +11,15 @@ the driver.
 
 Defined cases: null and empty texts have no spans and the digest of an empty string; overlapping spans of
 different kinds all stay, ordered by start and then kind; of added strings, those that overlap a span of the
-patterns are dropped; repeated rows give repeated rows; an empty table gives an empty result (the word list
+patterns are dropped; texts with very many matches take time in proportion to them (but for the search of
+characters' places in ``redact``); repeated rows give repeated rows; an empty table gives an empty result (the word list
 still trains the model); further columns are passed on, but for ones named base_spans or all_spans, which give way.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,25 +42,75 @@ SAMPLE_STRINGS, SAMPLE_DOCS, SAMPLE_NAMES = 4_000, 400, 4_000
 WORDS = "get set add list value name user item count index file path read write open close start stop node tree map key data table row column query plan merge sort hash page line text word token block buffer stream event state time date size length width height color image model view control service client server request response handler manager factory builder config option default error message test case result output input source target parent child first last next previous max min sum total average update delete insert create remove find search filter group order limit offset join left right inner outer main help version build deploy release branch commit change issue review license copyright".split()
 
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
+SAID = "array<struct<start:bigint,kind:int,stop:bigint,said:string>>"
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of all matches whose group is long enough, from what lies between the matches."""
-    gaps = F.split(text, pattern, -1)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once: lambdas work out anew what stands outside of them."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column], run: int = 128) -> Column:
+    """For each of the longs, ``join`` of all before it, from ``zero``.
+
+    Appending to an array copies it, so this goes by runs of elements: first over the runs, then within each.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def before(own: Column, start: Column) -> Column:
+        return F.aggregate(own, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def cut(whole: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(whole) / run).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * run + 1, run))
+
+    def over(runs: Column) -> Column:
+        totals = F.transform(runs, lambda own: F.aggregate(own, zero, lambda a, x: join(a, x)))
+        return F.flatten(F.zip_with(runs, before(totals, zero), before))
+
+    return _let(values, lambda whole: _let(cut(whole), over))
+
+
+def _spans(text: Column, kind: int, pattern: str, group: int, least: int, said: bool = False) -> Column:
+    """Spans of all matches whose group is long enough, from what lies between the matches; with ``said``, their strings too."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.zip_with(F.slice(gaps, 1, F.size(found)), F.arrays_zip(found.alias("m"), judged.alias("g")), lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m["m"]).cast("long").alias("size"), F.length(m["g"]).alias("judged")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-    walked = F.aggregate(
-        rows,
-        start,
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + m["size"]).alias("at"),
-            F.when(m["judged"] >= least, F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + m["gap"] + m["size"]).alias("stop"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return walked
+    gaps = F.split(text, pattern, -1)
+    rows = F.zip_with(F.arrays_zip(found.alias("m"), judged.alias("g")), gaps, lambda m, gap: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m["m"]).cast("long").alias("size"), F.length(m["g"]).alias("judged"), m["m"].alias("said")))
+
+    def placed(rows: Column) -> Column:
+        starts = running(F.transform(rows, lambda r: F.coalesce(r["gap"] + r["size"], F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+        def span(r: Column, at: Column) -> Column:
+            start = at + r["gap"]
+            told = [start.alias("start"), F.lit(kind).alias("kind"), (start + r["size"]).alias("stop")]
+            return F.struct(*told, *([r["said"].alias("said")] if said else [r["judged"].alias("judged")]))
+
+        spans = F.zip_with(rows, starts, span)
+        if said:
+            return F.filter(spans, lambda s: F.length(s["said"]) >= least)
+        long = F.filter(spans, lambda s: s["judged"] >= least)  # what follows the last match has no length
+        return F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+
+    return _let(rows, placed)
+
+
+def apart(base: Column, others: Column) -> Column:
+    """Those of ``others`` (start, kind, stop, said) that overlap no span of ``base``."""
+    far = F.lit(1 << 60)
+    zero = F.lit(0).cast("long")
+    as_base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(None).cast("string").alias("said")))
+
+    def judged(spans: Column) -> Column:
+        stops = running(F.transform(spans, lambda s: F.when(s["said"].isNull(), s["stop"]).otherwise(zero)), zero, F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(s["said"].isNull(), s["start"]).otherwise(far))), far, F.least))
+        around = F.zip_with(spans, F.arrays_zip(stops.alias("a"), starts.alias("b")), lambda s, r: F.struct(s.alias("s"), (s["said"].isNotNull() & (r["a"] <= s["start"]) & (s["stop"] <= r["b"])).alias("free")))
+        return F.transform(F.filter(around, lambda x: x["free"]), lambda x: x["s"])
+
+    return _let(F.array_sort(F.concat(as_base, others)), judged)
 
 
 def spans_of(text: Column, kind: int, pattern: str, group: int, least: int, hint: str) -> Column:
@@ -121,13 +173,10 @@ def scan(docs: DataFrame, model: list[float] | None = None, text: str = "text")
     whole = F.coalesce(F.col(text), F.lit(""))
     base = [spans_of(whole, k, pattern, group, least, hint) for k, (_, pattern, group, least, hint) in enumerate(BASE)]
     with_base = docs.withColumn("base_spans", F.array_sort(F.concat(*base)))
-    candidates = spans_of(whole, len(BASE), CANDIDATE, 0, 20, CANDIDATE)
-    kept = F.filter(
-        F.col("_candidates"),
-        lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-        & (ratio(F.substring(whole, (c["start"] + 1).cast("int"), (c["stop"] - c["start"]).cast("int")), model) > MARGIN),
-    )
-    return with_base.withColumn("_candidates", candidates).withColumn("all_spans", F.array_sort(F.concat("base_spans", kept))).drop("_candidates")
+    found = F.when(whole.rlike(CANDIDATE), _spans(whole, len(BASE), CANDIDATE, 0, 20, said=True)).otherwise(F.array().cast(SAID))
+    random = F.filter(found, lambda c: ratio(c["said"], model) > MARGIN)
+    kept = F.transform(F.when(F.size("_random") > 0, apart(F.col("base_spans"), F.col("_random"))).otherwise(F.array().cast(SAID)), lambda s: s.dropFields("said"))
+    return with_base.withColumn("_random", random).withColumn("all_spans", F.array_sort(F.concat("base_spans", kept))).drop("_random")
 
 
 def _joined(spans: str) -> Column:
@@ -138,18 +187,17 @@ def _joined(spans: str) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of the scan replaced by ``mark``; overlapping spans are replaced as one."""
     scanned = scan(docs, text=text)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     whole = F.col(text)
-    walked = F.aggregate(
-        "all_spans",
-        zero,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    return scanned.withColumn(text, F.when(F.size("all_spans") > 0, walked).otherwise(whole)).drop("base_spans", "all_spans")
+    spans = F.col("all_spans")
+    tops = running(F.transform(spans, lambda s: s["stop"]), F.lit(0).cast("long"), F.greatest)
+
+    def piece(s: Column, top: Column) -> Column:
+        before = F.substring(whole, (top + 1).cast("int"), (s["start"] - top).cast("int"))
+        return F.when(s["start"] < top, F.lit("")).otherwise(F.concat(before, F.lit(mark)))
+
+    rest = F.substring(whole, (F.array_max(F.transform(spans, lambda s: s["stop"])) + 1).cast("int"), F.lit(2147483647))
+    clean = F.concat(F.array_join(F.zip_with(spans, tops, piece), ""), rest)
+    return scanned.withColumn(text, F.when(F.size("all_spans") > 0, clean).otherwise(whole)).drop("base_spans", "all_spans")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

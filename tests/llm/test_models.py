@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import html_text, language_id, nearest, secret_scan
@@ -32,6 +33,49 @@ def test_language_on_cases(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_languages_against_a_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    letters = np.random.default_rng(language_id.SEED).choice([-1, 1], (language_id.CLASSES, language_id.DIMENSIONS))
+    classes = language_id.letter_classes()
+
+    def vector(text):
+        own = [int(classes[ord(c)]) for c in f" {text} "]
+        own = [c for i, c in enumerate(own) if c or i == 0 or own[i - 1]]
+        out, lettered = np.zeros(language_id.DIMENSIONS), False
+        for a, b, c in zip(own, own[1:], own[2:]):
+            lettered |= b > 0
+            out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] if b else 0
+        return out, lettered
+
+    def whole(text):
+        own = [int(classes[ord(c)]) for c in f" {text} "]
+        own = [c for i, c in enumerate(own) if c or i == 0 or own[i - 1]]
+        return sum((np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(own, own[1:], own[2:])), np.zeros(language_id.DIMENSIONS))
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    sums = {}
+    for r in rows:
+        if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5:
+            sums[r.lang] = sums.get(r.lang, 0) + vector(r.text)[0]
+    got = {r.doc_id: r for r in language_id.op6_language_id(spark, sf).collect()}
+    for r in rows[:60]:
+        own = whole(r.text or "")
+        if not vector(r.text or "")[1]:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        cosines = {k: float(own @ v / np.linalg.norm(own) / np.linalg.norm(v)) for k, v in sums.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert abs(got[r.doc_id].score - max(0.0, cosines[best])) < 1e-4 and abs(cosines[got[r.doc_id].lang_pred] - cosines[best]) < 1e-4
+
+
+def test_vectors_beyond_those_held_are_the_same(monkeypatch):
+    texts = ["the quick brown fox", "über den Fluß", "ñandú y ñoño " * 9]
+    want = language_id.bundles(texts, language_id.Space())[0]
+    monkeypatch.setattr(language_id.Space, "HELD", 7)
+    monkeypatch.setattr(language_id.Space, "AT_ONCE", 5)
+    assert np.array_equal(want, language_id.bundles(texts, language_id.Space())[0])
+
+
 BASE = (
     (re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
     (re.compile("AKIA[A-Z0-9]+"), 0, 18),
@@ -63,6 +107,38 @@ def test_secret_query_columns(spark):
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest() and row.n_hex == 0
 
 
+def test_added_spans_find_random_strings_and_leave_names(spark):
+    rng = np.random.default_rng(11)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    keys = ["".join(rng.choice(list(alphabets[i % 3]), 24 + i % 20)) for i in range(300)]
+    parts = "load user account history table customer address delivery window remote session handler background worker queue message".split()
+    names = ["_".join(rng.choice(parts, 4)) for _ in range(150)] + ["".join(w.capitalize() for w in rng.choice(parts, 4)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, f"key {k} and") for i, k in enumerate(keys)] + [(1000 + i, f"call {n} here") for i, n in enumerate(names)], "doc_id bigint, text string")
+    model = secret_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    found = {r.doc_id: [(s.start, s.stop) for s in r.all_spans] for r in secret_scan.scan(docs, model).collect()}
+    recall = np.mean([(4, 4 + len(k)) in found[i] for i, k in enumerate(keys)])
+    wrong = np.mean([bool(found[1000 + i]) for i in range(len(names))])
+    assert recall >= 0.95 and wrong <= 0.02, (recall, wrong)
+
+
+def test_secrets_of_texts_with_very_many_matches(spark):
+    digests = [hashlib.sha256(str(i).encode()).hexdigest()[: 20 + i % 30] for i in range(4000)]
+    text = "\n".join(digests) + " password=abcdefghijklmnop" * 50
+    rows = [(1, text), (1, text)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), [0.0] * 68 * 68).collect()
+    assert len(got) == 2
+    for r in got:
+        assert [(s.start, s.kind, s.stop) for s in r.base_spans] == base_spans(text) and r.all_spans == r.base_spans
+    clean = secret_scan.redact(spark.createDataFrame(rows[:1], "doc_id bigint, text string")).first().text
+    assert clean == "\n".join(["[secret]"] * 4000) + " [secret]" * 50
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        row = spark.range(1).select(secret_scan.running(F.lit(list(range(n))).cast("array<bigint>"), F.lit(0).cast("long"), lambda a, x: a + x).alias("sums")).first()
+        assert row.sums == [i * (i - 1) // 2 for i in range(n)]
+
+
 def brute_nearest(ids, x, q, k):
     i = int(np.flatnonzero(ids == q)[0])
     scores = (x * x[i]).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (x[i] @ x[i]))
@@ -93,13 +169,45 @@ def test_nearest_recall_and_scores(spark):
 
 
 def test_nearest_on_cases(spark):
-    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0, 1.0]), (0, [1.0, 0.0]), (100, None)]
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0, 1.0]), (0, [1.0, 0.0]), (100, None), (150, [1.0, 0.0, 1.0])]
     frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, part string")
     got = [(r.query_id, r.rank, r.vec_id) for r in nearest.nearest(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
+    # every row but the query's own is a candidate, so rows that repeat a vec_id are found and ask like any other
+    assert got == [(0, 1, 0)] * 2 + [(0, 2, 50)] * 2 + [(0, 3, 1)] * 2 + [(50, 1, 0), (50, 2, 0), (50, 3, 1), (150, 1, 7)]
     assert nearest.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_nearest_on_the_table(spark, sf):
+    path = f"/root/testdata/{sf}"
+    table = spark.read.parquet(f"{path}/embeddings.parquet").where("vec_id is not null").where(nearest.usable()).select("vec_id", "embedding")
+    rows = table.toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), dtype=np.float64)
+    assert nearest.fit(table).parts > 1
+    got = {}
+    for r in nearest.op8_nearest(spark, path).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    asked = ids[ids % 50 == 0].tolist()
+    assert set(got) == set(asked)
+    hits = sum(len({v for _, v in got[q]} & {v for v, _ in brute_nearest(ids, x, q, 5)}) for q in asked)
+    assert all(sorted(r for r, _ in g) == [1, 2, 3, 4, 5] for g in got.values()) and hits >= 0.9 * 5 * len(asked)
+
+
+def test_partitions_that_are_cut_again(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 12))
+    x = centres[rng.integers(0, 60, 5000)] + 0.3 * rng.normal(size=(5000, 12))
+    ids = np.arange(5000)
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>").repartition(4)
+    router = nearest.fit(frame, sample_rows=1000, partition_rows=20)
+    assert router.parts > len(router.subs) and router.probes < router.parts / 2
+    got = {}
+    for r in nearest.nearest(frame, F.col("vec_id") % 50 == 0, router=router).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {v for v, _ in brute_nearest(ids, x, q, 5)}) for q in range(0, 5000, 50))
+    assert hits >= 0.9 * 500
+
+
 def test_html_on_the_table(spark):
     import html
 
@@ -128,6 +236,65 @@ def test_html_on_cases(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+PROBES = {
+    "<article><p data-x=it's>First paragraph here.</p><p>Second, don't stop.</p><p>Third.</p></article>": "First paragraph here.\nSecond, don't stop.\nThird.",
+    '<article><p title="a"">First paragraph.</p></article>': "First paragraph.",
+    "<!--><article><p>A b.</p></article><!-- x -->": "A b.",
+    "<!---><article><p>A b.</p><!-- x --!><p>c</p></article>": "A b.\nc",
+    "<article><div class='tag-line'>Whole text of this.</div><div class='search-results-study'><p>Study text here.</p></div></article>": "Whole text of this.\nStudy text here.",
+    "<article><p>x</p><svg><text>no</text></svg><p>y<script/>z</p></script>w <a href=/>l</a> a < b</article>": "x\ny w l a < b",
+    "<article><p title=a=\"b>One</p><p>Two \"quoted\" words</p></article>": 'One\nTwo "quoted" words',
+}
+
+
+def test_html_by_its_rules():
+    tree = html_text.train(*html_text.labelled())
+    for page, want in PROBES.items():
+        assert html_text.main_text(page, tree) == want, page
+    long = "<p>" + "word " * 200_000 + "</p>"
+    assert html_text.main_text(f"<article>{long}</article>", tree) == ("word " * 200_000).strip()
+    assert html_text.main_text('<article>' + '<p x="' * 3000, tree) is not None  # quotes that never close
+
+
+# pages the tree has not seen, with other class names, some without article
+HELD_OUT = (
+    ("<body><div class='topnav'><a href=/>Home</a> | <a href=/a>About us</a></div><div class='post-content'><h1>Walking the old wall</h1><p>We set out at dawn with more food than we could carry, and by noon had eaten most of it.</p><p>Then it rained.</p><p>The wall runs for twelve miles over open ground, and there is not one tree to hide under.</p></div><div class='footer-links'><a href=1>Privacy</a> <a href=2>Terms</a></div></body>", "0 1111 0"),
+    ("<nav><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></nav><article><header><h1>Clay</h1><p>By a potter</p></header><p>Good clay is dug in autumn and left out over winter, so that the frost can break it up.</p><p>Then it is trodden.</p></article><aside><p>Subscribe to our letter to get one such piece each week in your mail box.</p></aside><footer><p>Copyright by us</p></footer>", "00 1111 0 0"),
+    ("<div id='menu'><a href=1>A</a><a href=2>B</a></div><div id='content'><h2>Notes on ferns</h2><p>Ferns have no flowers, which puzzled those who first wrote about them, since all plants were held to have seed.</p><ul><li>They like shade</li><li>They like water</li></ul></div><div id='comments'><h3>Comments</h3><p>Very useful, I had been looking for something like this for my garden for a long time.</p></div>", "0 1111 00"),
+    ("<div><a href=1>Back</a></div><div>The market opens at six, and by eight the best of the fish is gone, so that those who come late buy eggs.</div><div>Eggs are cheap.</div><div>On feast days there is music, and the stalls stay open until the lamps are lit on the square.</div><div><a href=2>Older</a></div><div><a href=3>Newer</a></div>", "0 111 00"),
+    ("<main role=main><h1>Opening</h1><p>The hall will open again in May.</p><form><p>Tell us what you think of it</p></form><p>It has been closed for three years, in which the roof was taken off and put back on.</p></main><div class='cookie-consent'>We use cookies on this site to make it better for all of you, by all means say yes</div>", "11 0 1 0"),
+    ("<table><tr><td><a href=1>Index</a></td><td><a href=2>Search the site</a></td></tr><tr><td><p>The comet was seen for nine nights in a row, each night a little lower over the hills, and then it was gone.</p><p>Few wrote of it.</p></td></tr></table>", "00 11"),
+    ("<article class='legal-notes-on-water'><p>Water that falls on a roof belongs to the house, but water that leaves the yard does not.</p><p>So it was ruled.</p><div class='related-links'><a href=1>Rules of the road</a></div></article>", "11 0"),
+    ("<div class=wrapper><div class=banner>Spring sale: all coats at half price until the end of the month</div><div class=article-body><p>A coat was made to last for life, and was handed down when that life was over.</p><p>Buttons were of horn.</p><p>They were cut by a man who came round once a year with his own saw and bench.</p></div></div>", "0 111"),
+)
+
+
+def test_tree_on_pages_it_has_not_seen():
+    tree = html_text.train(*html_text.labelled())
+    rows, labels = html_text.labelled(HELD_OUT)
+    right = [(html_text.score(tree, r) >= 0.5) == bool(y) for r, y in zip(rows, labels)]
+    assert sum(right) >= 41 and len(right) == 43
+
+
+def test_tree_splits_on_neighbours():
+    used = set()
+
+    def walk(tree):
+        if isinstance(tree, tuple):
+            used.add(html_text.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(html_text.train(*html_text.labelled()))
+    assert {"links", "links_after", "words", "words_before"} <= used
+
+
+def test_html_keeps_rows_and_columns(spark):
+    rows = [(1, "u", "<article><p>Same text.</p></article>", "x")] * 2
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, kind string"), ("page_id", "kind")).collect()
+    assert [tuple(r) for r in got] == [(1, "x", "Same text.", 10)] * 2
+
+
 def test_tree_fits_its_table():
     rows, labels = html_text.labelled()
     tree = html_text.train(rows, labels)
