@@ -42,7 +42,7 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     learnt = learn(docs.where(~held_out()))
-    spoken = {r.doc_id for r in identify(docs, *learnt).where(f"lang_pred <> '{UNDETERMINED}'").collect()}
+    spoken = {r.doc_id for r in identify(docs, *learnt).where(f"lang_pred <> '{UNDETERMINED}' and (score >= {corpus_pipeline.MIN_SCORE} or length(text) < {corpus_pipeline.JUDGED_FROM})").collect()}
     left = plain([(r.doc_id, r.text, r.source) for r in docs.orderBy("doc_id").collect() if r.doc_id in spoken])
     got = corpus_pipeline.run(spark, SF).toPandas()
     tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
@@ -66,3 +66,12 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
     assert re
+
+
+def test_language_stage_rejects_what_is_like_no_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = spark.createDataFrame([(9000, "Жили-были дед да баба, и была у них курочка ряба, и снесла она яичко не простое"), (9001, "zqxj vkqz xjqk wvzx qqzj kxvw jzqx vvkq"), (9002, "12 34")], "doc_id bigint, text string")
+    rows = docs.unionByName(other, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, rows, SF).collect()}
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept == lettered
