@@ -41,8 +41,8 @@ from .tokens import per_process
 
 WORDS, PERCENT = 4, 80
 BINS, BAND_ROWS = 160, 5
-#: Rounds of hubs; members of a block, and about how many shingles; blocks along a side of a cell.
-ROUNDS, BLOCK, BLOCK_SHINGLES, GRID = 2, 256, 250_000, 16
+#: Rounds of hubs; members of a block, and about how many shingles; blocks along a side of a cell; salts of a hub.
+ROUNDS, BLOCK, BLOCK_SHINGLES, GRID, SALTS = 2, 256, 250_000, 16, 32
 
 SKETCHED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"
 
@@ -161,7 +161,9 @@ def star_links(own: Scratch, members: DataFrame, hubs: DataFrame, texts: DataFra
     pairs = members.join(hubs, "key").where("comp <> hub_comp").select("hub", "hub_comp", "node", "comp", "size").distinct()
     pairs = own.written(pairs, "star-pairs")
     many = pairs.groupBy("hub").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
-    dealt = pairs.join(many, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hub may have very many members
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(many, ["hub", "salt"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = dealt.join(texts, "node").groupBy("hub", "hub_comp", "block").agg(F.collect_list(F.struct("comp", "text", "keys")).alias("right"))
     left = texts.select(F.col("node").alias("hub"), "text", "keys")
     two = blocks.join(left, "hub").select(F.lit(0).alias("band"), F.array(F.struct(F.col("hub_comp").alias("comp"), "text", "keys")).alias("left"), "right")
