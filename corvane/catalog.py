@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("text", "chunks", "retrieval", "joins", "evaluation", "answers", "uncertainty", "sessions")
+MODULES = ("text", "chunks", "layout", "retrieval", "joins", "evaluation", "answers", "uncertainty", "sessions")
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -228,6 +228,25 @@ def history_text(answer: Column, most: int = 700) -> Column:
     return F.when(F.length(bare) > most, F.concat(cut, F.lit(" ..."))).otherwise(bare)
 
 
+def chunk_name(doc: Column, index: Column) -> Column:
+    """The id of a document's chunk: its number in four digits at least."""
+    return F.format_string("%s__%04d", doc, index)
+
+
+#: fixed values: names of files that may be asked for
+FIGURE_FILE, RESULT_FILE = r"^[A-Za-z0-9._:-]+\.png$", r"^[a-z0-9_]+\.png$"
+
+
+def safe_file(name: Column, allowed: str = FIGURE_FILE) -> Column:
+    """Whether a name is one of the allowed form, so that it leads to no other folder."""
+    return F.coalesce(name.rlike(allowed) & ~name.rlike(r"[\r\n]"), F.lit(False))
+
+
+def set_filename(name: Column) -> Column:
+    """The file name of a data set's name."""
+    return F.replace(name, F.lit("/"), F.lit("__"))
+
+
 def overlap_merged(first: Column, second: Column, least: int = 20) -> Column:
     """Two texts joined over the longest end of the one that begins the other, or by a space."""
     most = F.least(F.length(first), F.length(second))

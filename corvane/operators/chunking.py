@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,23 +67,27 @@ def pack_plan(sizes: list[int], sentence: list[int], size: int, overlap: int, br
 
     A chunk takes whole units while they fit; it ends early behind a sentence in ``breaks`` once it has ``least``
     tokens. The next begins there, or else with trailing units of at most ``overlap`` tokens; it always gets on.
+
+    Where a chunk ends, and where the next begins, follows from its first unit alone: both are looked up in the running
+    sums of the sizes, for all units at once, and the chunks are the walk from the first unit on.
     """
-    plan, first = [], 0
-    while first < len(sizes):
-        held, stop = sizes[first], first + 1
-        closes = lambda k: sentence[k] in breaks and (k + 1 == len(sizes) or sentence[k + 1] != sentence[k])
-        while stop < len(sizes) and held + sizes[stop] <= size and not (closes(stop - 1) and held >= least):
-            held += sizes[stop]
-            stop += 1
-        plan.append((first, stop - 1))
-        if stop == len(sizes):
-            break
-        nxt, room = stop, overlap
-        if sentence[stop - 1] not in breaks:
-            while nxt - 1 > first and sizes[nxt - 1] <= room:
-                nxt -= 1
-                room -= sizes[nxt]
-        first = nxt
+    n = len(sizes)
+    if not n:
+        return []
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    at, owner = np.arange(n), np.asarray(sentence)
+    topic = np.isin(owner, list(breaks))
+    # the last unit that fits; the first unit at the end of a topic with enough tokens before it
+    fits = np.maximum(at, np.searchsorted(sums, sums[:-1] + size, side="right") - 2)
+    ends = np.append(np.flatnonzero(topic & np.append(owner[1:] != owner[:-1], True)), n - 1)
+    enough = np.maximum(at, np.searchsorted(sums, sums[:-1] + least, side="left") - 1)
+    last = np.minimum(np.minimum(fits, ends[np.minimum(np.searchsorted(ends, enough), len(ends) - 1)]), n - 1)
+    trailing = np.searchsorted(sums, sums[last + 1] - overlap, side="left")
+    following = np.where(topic[last], last + 1, np.clip(trailing, at + 1, last + 1))
+    plan = [(0, int(last[0]))]
+    while plan[-1][1] < n - 1:
+        first = int(following[plan[-1][0]])
+        plan.append((first, int(last[first])))
     return plan
 
 
@@ -121,21 +126,6 @@ def semantic_breaks(sents: DataFrame, doc: str = "doc_id", at: str = "sentence",
     return gaps.join(limit, doc).where((F.col("distance") > F.col("_limit")) & (F.col("_n") >= 2)).select(doc, at, "distance")
 
 
-def union_rect(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """The least rectangle around the boxes (x0, y0, x1, y1) of each key."""
-    return boxes.groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
-
-
-def split_cells(found: DataFrame, keys: list[str], threshold: float = 6.0) -> DataFrame:
-    """keys, cell, x0, x1, text: a line's words (x0, x1, text) parted wherever the gap reaches ``threshold``."""
-    order = Window.partitionBy(*keys).orderBy("x0", "x1")
-    gap = F.col("x0") - F.lag("x1").over(order)
-    marked = found.withColumn("_new", F.coalesce((gap >= threshold).cast("int"), F.lit(0)))
-    celled = marked.withColumn("cell", F.sum("_new").over(order).cast("long"))
-    words_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))), lambda w: w["text"]), " ")
-    return celled.groupBy(*keys, "cell").agg(F.min("x0").alias("x0"), F.max_by("x1", "x0").alias("x1"), words_.alias("text"))
-
-
 def page_lines(found: DataFrame, keys: list[str], tolerance: float = 0.6) -> DataFrame:
     """keys, line, and the words' columns: words whose centres are near that of a line's first word share it.
 
@@ -155,32 +145,3 @@ def page_lines(found: DataFrame, keys: list[str], tolerance: float = 0.6) -> Dat
         return page.drop(columns="_c").assign(line=numbers)
 
     return found.groupBy(*keys).applyInPandas(lines, schema)
-
-
-def to_grid(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, grid: the cells of a table's lines laid out in columns.
-
-    The line with most cells gives the columns; another's cell goes to the column it overlaps most, or to
-    one of its own between them. ``rows`` has keys, line, x0, x1, text.
-    """
-
-    def lay(table: pd.DataFrame) -> pd.DataFrame:
-        lines = [list(g.sort_values("x0")[["x0", "x1", "text"]].itertuples(index=False, name=None)) for _, g in table.groupby("line", sort=True)]
-        columns = [[a, b] for a, b, _ in max(lines, key=len)]
-        placed = []
-        for line in lines:
-            own: dict[int, list[str]] = {}
-            for a, b, text in line:
-                shared = [min(b, d) - max(a, c) for c, d in columns]
-                best = max(range(len(columns)), key=shared.__getitem__)
-                if shared[best] <= 0:
-                    columns.append([a, b])
-                    best = len(columns) - 1
-                own.setdefault(best, []).append(text)
-            placed.append(own)
-        order = sorted(range(len(columns)), key=lambda j: columns[j][0])
-        first = table[keys].iloc[0].tolist()
-        return pd.DataFrame([[*first, [[" ".join(own.get(j, [])) for j in order] for own in placed]]], columns=[*keys, "grid"])
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(lay, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", grid array<array<string>>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import text as T
 from corvane.functions.text import grid_values, present, text_hash
 
 
@@ -97,3 +98,40 @@ def closest_model(listed: DataFrame, wanted: str, family: str = "flash", variant
     versions = F.transform(F.regexp_extract_all(name, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: -x.cast("double"))
     versions = F.when(F.size(versions) > 0, versions).otherwise(F.array(F.lit(-0.0)))
     return listed.select("name").orderBy(kin, trial, versions, "name").limit(1)
+
+
+def expand_split_tables(hits: DataFrame, chunks: DataFrame, by: list[str], most: int = 2, window: int = 30) -> DataFrame:
+    """``hits`` with text and pages widened where a hit begins or ends within a table, and expanded_with.
+
+    A hit whose first (last) ``window`` tokens look like a table's takes the chunk before (behind) it along, unless that
+    is a hit itself; a chunk that two hits ask for goes to the first of them, and only the first ``most`` hits of a
+    query that get one are widened. ``hits``: by, rank, paper, idx, text, page_start, page_end; ``chunks`` likewise
+    without by and rank. Grids (``table_markdown``), if both have them, go along, each once.
+    """
+    tokens = T.words(F.col("text"))
+    long = F.size(tokens) >= window
+    sides = F.filter(F.array(F.when(T.table_like(F.slice(tokens, 1, window)), -1), F.when(T.table_like(F.slice(tokens, -window, window)), 1)), lambda s: s.isNotNull())
+    asked = hits.where(long).select(*by, "rank", "paper", F.explode(sides).alias("side"), "idx").withColumn("_idx", F.col("idx") + F.col("side")).drop("idx")
+    new = asked.join(hits.select(*by, "paper", F.col("idx").alias("_idx")), [*by, "paper", "_idx"], "left_anti")
+    grids = "table_markdown" in hits.columns and "table_markdown" in chunks.columns
+    part = F.struct(F.col("idx").alias("idx"), "text", "page_start", "page_end", *(["table_markdown"] if grids else [])).alias("_part")
+    found = new.join(chunks.select("paper", F.col("idx").alias("_idx"), part), ["paper", "_idx"])
+    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "paper", "_idx").orderBy("rank", "side"))).where("_n = 1")
+    taken = first.withColumn("_n", F.dense_rank().over(Window.partitionBy(*by).orderBy("rank"))).where(F.col("_n") <= most)
+    beside = taken.groupBy(*by, "rank").agg(F.first(F.when(F.col("side") < 0, F.col("_part")), ignorenulls=True).alias("_before"), F.first(F.when(F.col("side") > 0, F.col("_part")), ignorenulls=True).alias("_after"))
+    met = hits.join(beside, [*by, "rank"], "left")
+    before, after = F.col("_before.text"), F.col("_after.text")
+    led = F.when(before.isNull(), F.col("text")).otherwise(T.overlap_merged(before, F.col("text")))
+    whole = F.when(after.isNull(), F.col("_led")).otherwise(T.overlap_merged(F.col("_led"), after))
+    out = met.withColumn("_led", led).withColumns(
+        {
+            "text": whole,
+            "page_start": F.least("page_start", "_before.page_start"),
+            "page_end": F.greatest("page_end", "_after.page_end"),
+            "expanded_with": F.array_compact(F.array("_before.idx", "_after.idx")),
+        }
+    )
+    if grids:
+        each = F.split(F.concat_ws("\n\n", "_before.table_markdown", "table_markdown", "_after.table_markdown"), "\n\n")
+        out = out.withColumn("table_markdown", F.array_join(F.array_distinct(F.filter(each, lambda g: F.trim(g) != "")), "\n\n"))
+    return out.drop("_before", "_after", "_led")

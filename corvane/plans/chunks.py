@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corvane.catalog import query
 from corvane.functions import text as T
 from corvane.operators import chunking as C
-from corvane.plans.text import STRIP, WORDS
+from corvane.operators import enrich as E
+from corvane.plans.text import QUOTE, STRIP, WORDS
 from corvane.session import Fixture, table
 
 PAGES = "(SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_no, text FROM conversations)"
@@ -81,41 +82,6 @@ def semantic_breaks(spark, sf_dir):
     return C.semantic_breaks(rows).withColumn("distance", F.round("distance", 6))
 
 
-BOXES = Fixture("page int, figure int, x0 double, y0 double, x1 double, y1 double", [(1, 1, 10.0, 20.0, 30.0, 40.0), (1, 1, 5.0, 25.0, 20.0, 60.0), (1, 2, 0.0, 0.0, 1.0, 1.0)])
-
-
-@query("union_rect", f"SELECT page, figure, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {BOXES.sql} GROUP BY page, figure")
-def union_rect(spark, sf_dir):
-    return C.union_rect(BOXES.frame(spark), ["page", "figure"])
-
-
-LINE_WORDS = Fixture(
-    "line int, x0 double, x1 double, text string, y0 double, y1 double",
-    [(1, 10.0, 30.0, "Method", 0.0, 10.0), (1, 50.0, 60.0, "C10", 1.0, 11.0), (1, 62.0, 70.0, "err", 0.0, 10.0), (2, 10.0, 20.0, "ours", 20.0, 30.0), (2, 50.0, 58.0, "7.3", 21.0, 31.0), (3, 10.0, 90.0, "prose", 40.0, 50.0)],
-)
-
-
-@query(
-    "split_cells",
-    f"""WITH g AS (SELECT *, coalesce(x0 - lag(x1) OVER w >= 6, false) AS fresh FROM {LINE_WORDS.sql} WINDOW w AS (PARTITION BY line ORDER BY x0, x1)),
-c AS (SELECT *, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY line ORDER BY x0, x1) AS BIGINT) AS cell FROM g)
-SELECT line, cell, min(x0) AS x0, max(x1) AS x1, string_agg(text, ' ' ORDER BY x0) AS text FROM c GROUP BY line, cell""",
-)
-def split_cells(spark, sf_dir):
-    return C.split_cells(LINE_WORDS.frame(spark).select("line", "x0", "x1", "text"), ["line"])
-
-
-@query("page_lines")
-def page_lines(spark, sf_dir):
-    return C.page_lines(LINE_WORDS.frame(spark).drop("line").withColumn("page", F.lit(1)), ["page"])
-
-
-@query("to_grid")
-def to_grid(spark, sf_dir):
-    cells = C.split_cells(LINE_WORDS.frame(spark).where("line < 3").select("line", "x0", "x1", "text"), ["line"]).withColumn("page", F.lit(1))
-    return C.to_grid(cells, ["page"]).select("page", T.grid_markdown(F.col("grid")).alias("markdown"))
-
-
 HITS = Fixture(
     "qid string, n int, arxiv_id string, title string, year string, page_start int, page_end int, text string, grid string, figure_note string",
     [("q1", 1, "a", "T a", "2017", 1, 1, "one  two", "| g |", None), ("q1", 2, "b", "", "", 2, 3, "three", "| g |", "Figure 1: x"), ("q1", 3, "c", "T c", "2020", 4, 4, "four\nfive", "", None), ("q2", 1, "a", "T a", "2017", 1, 1, "one", None, None)],
@@ -140,37 +106,52 @@ def build_prompt(spark, sf_dir):
     return parts.groupBy("qid").agg(joined.alias("_j")).select("qid", F.concat(F.lit("Sources:\n\n"), "_j", F.lit("\n\nQuestion: "), "qid").alias("prompt"))
 
 
-SPLIT_HITS = Fixture(
-    "doc string, idx int, text string, page_start int, page_end int",
+SPLIT_CHUNKS = Fixture(
+    "paper string, idx int, text string, page_start int, page_end int",
     [
         ("a", 0, "In the table below we give all results of the methods on both data sets " + " ".join(str(i) for i in range(40)), 1, 1),
-        ("a", 1, " ".join(str(i) for i in range(25, 70)) + " and so the table ends and the text goes on for thirty words or more " + "word " * 30, 2, 2),
+        ("a", 1, " ".join(str(i) for i in range(25, 70)) + " and so the table ends and the text goes on for thirty words or more " + "word " * 30 + " ".join(str(i) for i in range(30)), 2, 2),
+        ("a", 2, " ".join(str(i) for i in range(30)) + " closes the second table", 3, 3),
+        ("a", 3, "then " * 40, 3, 4),
         ("b", 0, "prose " * 40, 1, 1),
-        ("b", 1, "more prose " * 30, 2, 2),
+        ("b", 1, " ".join(str(i) for i in range(100, 140)), 2, 2),
+        ("b", 2, "more prose " * 30, 2, 3),
+        ("c", 0, " ".join(str(i) for i in range(200, 240)), 5, 5),
+        ("c", 1, "1 2 3", 6, 6),
     ],
 )
+SPLIT_HITS = Fixture("qid string, paper string, idx int, rank int", [("q1", "a", 0, 1), ("q1", "a", 2, 2), ("q1", "b", 0, 3), ("q1", "b", 1, 4), ("q2", "b", 1, 1), ("q2", "a", 1, 2), ("q2", "c", 0, 3), ("q2", "c", 1, 4), ("q3", "a", 3, 1), ("q3", "c", 0, 2)])
+_CELLS = lambda w: f"len(list_filter({w}, lambda t: regexp_matches(t, {QUOTE(T.TABLE_TOKEN)}))) / 30 >= 0.5"
+_JOINED = lambda a, b: f"CASE WHEN {b} IS NULL OR {a} IS NULL THEN coalesce({a}, {b}) ELSE coalesce({a} || substring({b}, 1 + list_max(list_filter(range(20, least(length({a}), length({b})) + 1), lambda k: right({a}, k) = left({b}, k)))), concat({a}, ' ', {b})) END"
 
 
 @query(
     "expand_split_tables",
-    f"""WITH c AS (SELECT *, {WORDS('text')} AS w FROM {SPLIT_HITS.sql}),
-h AS (SELECT c.*, n.text AS after, n.page_end AS after_end FROM c LEFT JOIN c n ON n.doc = c.doc AND n.idx = c.idx + 1 AND len(list_filter(c.w[-30:], lambda t: regexp_matches(t, '^(?:[±+\\-]?\\d+(?:\\.\\d+)?%?|±|NA|N/A|-|–)$'))) / 30 >= 0.5 AND len(c.w) >= 30 WHERE c.idx = 0),
-m AS (SELECT *, list_max(list_filter(range(20, greatest(20, least(length(text), length(coalesce(after, '')))) + 1), lambda k: k <= least(length(text), length(coalesce(after, ''))) AND right(text, k) = left(after, k))) AS n FROM h)
-SELECT doc, idx, page_start, CASE WHEN after IS NULL THEN page_end ELSE greatest(page_end, after_end) END AS page_end, CASE WHEN after IS NULL THEN text WHEN n IS NULL THEN concat(text, ' ', after) ELSE concat(text, substring(after, n + 1)) END AS text FROM m""",
+    f"""WITH h AS (SELECT h.*, c.text, c.page_start, c.page_end, {WORDS('text')} AS w FROM {SPLIT_HITS.sql} h JOIN {SPLIT_CHUNKS.sql} c USING (paper, idx)),
+e AS (SELECT qid, paper, idx, rank, unnest([-1, 1]) AS side, w FROM h WHERE len(w) >= 30),
+f AS (SELECT e.* FROM e JOIN {SPLIT_CHUNKS.sql} c ON c.paper = e.paper AND c.idx = e.idx + side WHERE CASE WHEN side < 0 THEN {_CELLS('w[:30]')} ELSE {_CELLS('w[-30:]')} END AND NOT EXISTS (SELECT 1 FROM h o WHERE o.qid = e.qid AND o.paper = e.paper AND o.idx = e.idx + side)),
+o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qid, paper, idx + side ORDER BY rank) = 1),
+t AS (SELECT * FROM o QUALIFY dense_rank() OVER (PARTITION BY qid ORDER BY rank) <= 2),
+m AS (SELECT h.*, p.text AS pt, p.page_start AS ps, n.text AS nt, n.page_end AS ne, CASE WHEN p.idx IS NOT NULL THEN p.idx END AS pi, n.idx AS ni FROM h LEFT JOIN (t JOIN {SPLIT_CHUNKS.sql} c ON c.paper = t.paper AND c.idx = t.idx - 1 AND t.side = -1) AS p(qid, tp, ti, rank, side, w, paper, idx, text, page_start, page_end) ON p.qid = h.qid AND p.rank = h.rank
+LEFT JOIN (t JOIN {SPLIT_CHUNKS.sql} c ON c.paper = t.paper AND c.idx = t.idx + 1 AND t.side = 1) AS n(qid, tp, ti, rank, side, w, paper, idx, text, page_start, page_end) ON n.qid = h.qid AND n.rank = h.rank),
+j AS (SELECT *, {_JOINED('pt', 'text')} AS led FROM m)
+SELECT qid, rank, paper, idx, least(page_start, coalesce(ps, page_start)) AS page_start, greatest(page_end, coalesce(ne, page_end)) AS page_end, {_JOINED('led', 'nt')} AS text, nullif(concat_ws(',', CASE WHEN pi IS NOT NULL THEN concat(paper, '__', lpad(CAST(pi AS VARCHAR), 4, '0')) END, CASE WHEN ni IS NOT NULL THEN concat(paper, '__', lpad(CAST(ni AS VARCHAR), 4, '0')) END), '') AS expanded_with FROM j""",
 )
 def expand_split_tables(spark, sf_dir):
-    """Hits that end within a table take the next chunk along (the hits: each document's first chunk)."""
-    rows = SPLIT_HITS.frame(spark)
-    tokens = T.words(F.col("text"))
-    ends = (F.size(tokens) >= 30) & T.table_like(F.slice(tokens, -30, 30))
-    hits = rows.where("idx = 0").withColumn("_ends", F.when(F.size(tokens) >= 30, ends).otherwise(F.lit(False))).withColumn("_next", F.col("idx") + 1)
-    after = rows.select("doc", F.col("idx").alias("_next"), F.col("text").alias("_after"), F.col("page_end").alias("_after_end"))
-    met = hits.join(after, ["doc", "_next"], "left").withColumn("_after", F.when(F.col("_ends"), F.col("_after")))
-    return met.select(
-        "doc", "idx", "page_start",
-        F.when(F.col("_after").isNull(), F.col("page_end")).otherwise(F.greatest("page_end", "_after_end")).alias("page_end"),
-        F.when(F.col("_after").isNull(), F.col("text")).otherwise(T.overlap_merged(F.col("text"), F.col("_after"))).alias("text"),
-    )
+    """Hits that begin or end within a table take the chunk before or behind along."""
+    chunks = SPLIT_CHUNKS.frame(spark)
+    hits = SPLIT_HITS.frame(spark).join(chunks, ["paper", "idx"])
+    out = E.expand_split_tables(hits, chunks, ["qid"])
+    return out.select("qid", "rank", "paper", "idx", "page_start", "page_end", "text", T.present(F.array_join(F.transform("expanded_with", lambda i: T.chunk_name(F.col("paper"), i)), ",")).alias("expanded_with"))
+
+
+@query("upload_chunk_ids", f"""WITH t AS (SELECT doc_id, source, {WORDS('text')} AS w FROM documents), s AS (SELECT doc_id, source, unnest(list_filter(range(0, greatest(len(w), 1), 462), lambda s: s = 0 OR s - 462 + 512 < len(w))) AS pos FROM t WHERE len(w) > 0)
+SELECT concat('upload:', source, '-', doc_id, '__', lpad(CAST(pos // 462 AS VARCHAR), 4, '0')) AS chunk_id, concat('upload:', source, '-', doc_id) AS arxiv_id, '' AS year, CAST(pos // 462 AS INTEGER) AS chunk_index FROM s""")
+def upload_chunk_ids(spark, sf_dir):
+    """Chunks of uploads, in the corpus' form (documents stand in for uploaded files)."""
+    name = F.concat(F.lit("upload:"), "source", F.lit("-"), F.col("doc_id").cast("string"))
+    chunks = C.chunk_fixed(table(spark, sf_dir, "documents").withColumn("doc_id", name))
+    return chunks.select(T.chunk_name(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("arxiv_id"), F.lit("").alias("year"), "chunk_index")
 
 
 UPLOADS = Fixture("seq int, name string, found boolean, mb double, pages int", [(1, "a.pdf", True, 1.0, 5), (2, "a.pdf", True, 1.0, 5), (3, "b.txt", True, 1.0, 1), (4, "c.pdf", True, 31.0, 5), (5, "d.pdf", True, 2.0, 81), (6, "e.pdf", False, None, None), (7, "f.pdf", True, 3.0, None), (8, "a.pdf", True, 2.0, 3)])

@@ -192,7 +192,7 @@ def best_threshold(spark, sf_dir):
 
 @query(
     "paired_bootstrap",
-    f"""WITH {SCORED}, d AS (SELECT list(x ORDER BY doc_id) AS d FROM (SELECT doc_id, score / 97 - CAST(answerable AS INT) AS x FROM s WHERE doc_id % 5 = 0)),
+    f"""WITH {SCORED}, d AS (SELECT list(x ORDER BY doc_id) AS d FROM (SELECT doc_id, score / 97 - CAST(answerable AS INT) AS x FROM s)),
 b AS (SELECT boot, d, list_transform(range(1, len(d) + 1), lambda i: d[1 + CAST(('0x' || left(md5('0:' || boot || ':' || i), 8)) AS BIGINT) % len(d)]) AS draws FROM d, range(1, 2001) AS r(boot)),
 m AS (SELECT list_sum(draws) / len(d) AS mean FROM b), o AS (SELECT mean, row_number() OVER (ORDER BY mean) AS n FROM m),
 e AS (SELECT max(mean) FILTER (WHERE n = 51) AS low, max(mean) FILTER (WHERE n = 1950) AS high FROM o)

@@ -76,7 +76,7 @@ def validate_labels(spark, sf_dir):
     return E.label_problems(LABELS.frame(spark), CHUNKS.frame(spark))
 
 
-@query("attach_evidence", "SELECT item_id AS qid, coalesce(CASE WHEN item_id % 3 = 0 THEN left(b.text, 20) END, CASE WHEN regexp_matches(d.text, '\\S') THEN left(d.text, 30) END) AS evidence FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id AND d.doc_id % 2 = 0")
+@query("attach_evidence", "SELECT item_id AS qid, coalesce(CASE WHEN item_id % 3 = 0 AND regexp_matches(b.text, '\\S') THEN b.text END, CASE WHEN regexp_matches(d.text, '\\S') THEN d.text END) AS evidence FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id")
 def attach_evidence(spark, sf_dir):
     """Evidence of the candidates fills what a query lacks (each third query has its own)."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 3 == 0, F.col("text")).alias("evidence"))
@@ -116,7 +116,7 @@ def upsert_latest(spark, sf_dir):
 
 @query(
     "cross_doc_nearest",
-    f"WITH {DOCS}, items AS (SELECT chunk_id AS qid, paper AS own, list_distinct(w)[1:0] || w[1:30] AS w FROM docs WHERE chunk_id % 25 = 0), {STATS}, {sql_bm25()}, other AS (SELECT b.qid, b.chunk_id, b.score FROM bm25 b JOIN docs d USING (chunk_id) JOIN items i ON i.qid = b.qid WHERE d.paper <> i.own) SELECT qid, chunk_id, round(score, 6) AS score FROM other QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) = 1",
+    f"WITH {DOCS}, items AS (SELECT chunk_id AS qid, paper AS own, w FROM docs), {STATS}, {sql_bm25()}, other AS (SELECT b.qid, b.chunk_id, b.score FROM bm25 b JOIN docs d USING (chunk_id) JOIN items i ON i.qid = b.qid WHERE d.paper <> i.own) SELECT qid, chunk_id, round(score, 6) AS score FROM other QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) = 1",
 )
 def cross_doc_nearest(spark, sf_dir):
     """The lexically nearest chunk of another paper, of every chunk by all its tokens."""

@@ -283,7 +283,7 @@ def hash_embed(spark, sf_dir):
     return placed.select("id", "bucket", F.round(F.col("n") / norm, 9).alias("weight"))
 
 
-@query("to_documents", f"{sql_search(CONFIGS['bm25'], 3)} SELECT qid, rank, concat('paper=', source, ';chunk=', chunk_id, ';score=', printf('%.4f', score)) AS metadata, left(text, 40) AS page_content FROM final JOIN documents ON doc_id = chunk_id")
+@query("to_documents", f"{sql_search(CONFIGS['bm25'], 3)} SELECT qid, rank, concat('paper=', source, ';chunk=', chunk_id, ';score=', printf('%.4f', score)) AS metadata, text AS page_content FROM final JOIN documents ON doc_id = chunk_id")
 def to_documents(spark, sf_dir):
     """Results as documents for another framework: whole content and metadata."""
     rows = search(corpus(spark, sf_dir), CONFIGS["bm25"], 3)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import search_tokens
@@ -48,13 +49,16 @@ CONFIGS |= {f"rerank_mmr{w}": replace(_RERANK, mmr_weight=w) for w in (0.7, 0.5)
 class Corpus:
     """chunks: chunk_id, paper, is_reference, tokens. vectors: chunk_id, vector. queries: qid, tokens, vector.
 
-    variants: qid, variant, tokens, vector, if queries have rephrasings.
+    variants: qid, variant, tokens, vector, if queries have rephrasings. ``scorer`` reranks: of a chunk's and a query's
+    column named ``scored`` it makes a score; chunks and queries have that column.
     """
 
     chunks: DataFrame
     vectors: DataFrame
     queries: DataFrame
     variants: DataFrame | None = None
+    scorer: Callable[[Column, Column], Column] = R.shared_tokens
+    scored: str = "tokens"
 
 
 def lexical(corpus: Corpus, queries: DataFrame, most: int | None) -> DataFrame:
@@ -89,14 +93,14 @@ def search(corpus: Corpus, config: Config, k: int = 10) -> DataFrame:
     else:
         stage = first_stage(corpus, corpus.queries, config, fetch)
     penalty = 1.0 if config.include_refs else config.ref_penalty
-    known = stage.join(corpus.chunks.select("chunk_id", "paper", "is_reference", *(["tokens"] if config.mode == "hybrid_rerank" else [])), "chunk_id")
+    known = stage.join(corpus.chunks.select("chunk_id", "paper", "is_reference", *([F.col(corpus.scored).alias("_told")] if config.mode == "hybrid_rerank" else [])), "chunk_id")
     if penalty <= 0:
         known = known.where(~F.col("is_reference"))
     pool = R.ranked(known.withColumnRenamed("rank", "_stage"), ["qid"], config.candidates, ties=("_stage",)).drop("_stage")
     if config.mode == "hybrid_rerank":
-        asked = corpus.queries.select("qid", F.col("tokens").alias("_asked"))
-        scored = pool.join(asked, "qid").withColumn("first_stage_score", F.col("score")).withColumn("score", R.shared_tokens(F.col("tokens"), F.col("_asked")))
-        pool = R.ranked(scored.withColumnRenamed("rank", "_pool"), ["qid"], ties=("_pool",)).drop("_pool", "tokens", "_asked")
+        asked = corpus.queries.select("qid", F.col(corpus.scored).alias("_asked"))
+        scored = pool.join(asked, "qid").withColumn("first_stage_score", F.col("score")).withColumn("score", corpus.scorer(F.col("_told"), F.col("_asked")))
+        pool = R.ranked(scored.withColumnRenamed("rank", "_pool"), ["qid"], ties=("_pool",)).drop("_pool", "_told", "_asked")
     if penalty > 0:
         pool = R.demote(pool, ["qid"], penalty)
     return select(corpus, pool, config, k)

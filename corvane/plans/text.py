@@ -45,6 +45,10 @@ CELLS = Fixture(
 )
 
 
+#: (id, text) of a fixture and of all documents, as with_documents() has them.
+ALL = lambda fixture: f"(SELECT id, text FROM {fixture.sql} UNION ALL SELECT -1 - doc_id, text FROM documents)"
+
+
 def with_documents(fixture, spark, sf_dir):
     """id and text of the fixture and of all documents, whose ids are negative."""
     docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), "text")
@@ -66,7 +70,7 @@ def clean_page_text(spark, sf_dir):
 _DENSITY = "(" + " + ".join(f"len(regexp_extract_all(text, {QUOTE(p)})) * {w}" for p, w in T.CITATION_MARKERS) + f") / greatest(1, len({WORDS('text')}))"
 
 
-@query("citation_density", f"SELECT id, round({_DENSITY}, 9) AS density FROM {CITED.sql}")
+@query("citation_density", f"SELECT id, round({_DENSITY}, 9) AS density FROM {ALL(CITED)}")
 def citation_density(spark, sf_dir):
     return with_documents(CITED, spark, sf_dir).select("id", F.round(T.citation_density(F.col("text")), 9).alias("density"))
 
@@ -84,7 +88,7 @@ def _table_like(tokens: str) -> str:
 _HAS_TABLE = f"CASE WHEN len(w) < 20 THEN {_table_like('w')} ELSE len(list_filter(range(0, greatest(len(w) - 20, 0) + 1, 5), lambda i: {_table_like('w[i + 1:i + 20]')})) > 0 END"
 
 
-@query("table_like", f"WITH t AS (SELECT id, {WORDS('text')} AS w FROM {CELLS.sql}) SELECT id, {_table_like('w')} AS table_like FROM t")
+@query("table_like", f"WITH t AS (SELECT id, {WORDS('text')} AS w FROM {ALL(CELLS)}) SELECT id, {_table_like('w')} AS table_like FROM t")
 def table_like(spark, sf_dir):
     return with_documents(CELLS, spark, sf_dir).select("id", T.table_like(T.words(F.col("text"))).alias("table_like"))
 
@@ -95,7 +99,7 @@ def has_table(spark, sf_dir):
     return CELLS.frame(spark).select("id", "text").unionByName(docs).select("id", T.has_table(F.col("text")).alias("has_table"))
 
 
-@query("table_chunks", f"WITH t AS (SELECT id, ref, {WORDS('text')} AS w FROM {CELLS.sql}) SELECT id FROM t WHERE NOT ref AND {_HAS_TABLE}")
+@query("table_chunks", f"WITH t AS (SELECT id, ref, {WORDS('text')} AS w FROM (SELECT * FROM {CELLS.sql} UNION ALL SELECT -1 - doc_id, text, doc_id % 7 = 0 FROM documents)) SELECT id FROM t WHERE NOT ref AND {_HAS_TABLE}")
 def table_chunks(spark, sf_dir):
     """The chunks with a table that are no references (documents: each seventh is one, as in corpus())."""
     docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), "text", (F.col("doc_id") % 7 == 0).alias("ref"))
@@ -120,7 +124,7 @@ NAMES = Fixture("id long, text string", [(1, "CIFAR-10 and C10, C100; EnDD vs. R
 TOKENS = lambda x: f"list_transform(regexp_extract_all(regexp_replace(lower({x}), '\\b([a-z]+)-(\\d+)\\b', '\\1\\2', 'g'), '[a-z0-9]+'), lambda t: CASE t WHEN 'c10' THEN 'cifar10' WHEN 'c100' THEN 'cifar100' WHEN 'endd' THEN 'end2' ELSE t END)"
 
 
-@query("bm25_tokens", f"SELECT id, array_to_string({TOKENS('text')}, ' ') AS tokens FROM {NAMES.sql}")
+@query("bm25_tokens", f"SELECT id, array_to_string({TOKENS('text')}, ' ') AS tokens FROM {ALL(NAMES)}")
 def bm25_tokens(spark, sf_dir):
     return with_documents(NAMES, spark, sf_dir).select("id", F.array_join(T.search_tokens(F.col("text")), " ").alias("tokens"))
 
