@@ -164,3 +164,15 @@ def test_viterbi_finds_the_best_sum(spark):
     for r in rows:
         assert np.isclose(sum(score.get(r.word[a:b], -100.0) for a, b in zip(r.cuts, r.cuts[1:])), best(r.word))
     assert F is not None
+
+
+def test_sentencepiece_returns_ids_that_decode_spells(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "Some words, ünï 漢字 twice twice"), (2, ""), (3, None), (4, f"a{pieces.SPACE}b  c\n")], "doc_id long, text string")
+    sf, decode = str(tmp_path), pieces.decode
+    docs.coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    rows = pieces.op5_sentencepiece(spark, sf)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert all(len(r.ids) == r.n_tokens and r.round_trip for r in got.values()) and got[1].n_tokens > 5
+    assert {r.doc_id: r.decoded for r in decode(rows, vocabulary(pieces.VOCABULARY)).collect()} == {1: "Some words, ünï 漢字 twice twice", 2: "", 3: "", 4: "a b  c\n"}
+    monkeypatch.setattr(pieces, "decode", lambda *a: decode(*a).withColumn("decoded", F.lit("x")))
+    assert not any(r.round_trip for r in pieces.op5_sentencepiece(spark, sf).collect())
