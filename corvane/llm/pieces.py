@@ -10,8 +10,9 @@ off the same edges. Characters without a piece become their bytes' pieces.
 Texts are put together again in blocks of bounded size: each block meets the dictionary of its own words.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text; the model's normalisation is
-the identity with a leading space (models with other rules are refused); repeated rows give repeated rows; an
-empty table gives an empty result; further columns are ignored.
+the identity with a leading space (models with other rules are refused); very long texts and words are
+encoded whole; repeated rows give repeated rows, and rows that repeat a doc_id are texts of their own; an empty table
+gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .tokens import vocabulary
 
 SPACE = "▁"
 VOCABULARY = "piece_bpe_32k.model"
+#: Characters of a window of a long word, and from one window to the next: two windows share half of their text.
+WINDOW, STEP = 64, 32
 #: Bytes of text in a block that is put together at once.
 BLOCK_BYTES = 32 << 20
 PIECES = "piece string, id int, score double"
@@ -81,7 +84,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 def merge_fold(longest: int) -> Column:
     """Ends of the segments of a BPE word: the best-scoring merge of neighbours is done, leftmost first, until none is left."""
     n, edges = F.col("n"), F.col("edges")
-    score = lambda a, b: F.element_at(edges, a * (longest + 1) + (b - a))["score"]
+    score = lambda a, b: F.when(b - a <= longest, F.element_at(edges, a * (longest + 1) + (b - a))["score"])
 
     def merge(cuts: Column, _: Column) -> Column:
         choices = F.transform(F.sequence(F.lit(1), F.size(cuts) - 2), lambda i: F.struct(score(F.element_at(cuts, i), F.element_at(cuts, i + 2)).alias("score"), (-i).alias("i")))
@@ -122,21 +125,75 @@ def viterbi_fold(longest: int, unknown: float = -100.0) -> Column:
     )
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, of_byte: dict[int, int], longest: int, fold: str = "merge") -> DataFrame:
-    """word, ids of every row of ``words``; the fold is ``merge`` (BPE) or ``viterbi`` (unigram)."""
+def segment_words(words: DataFrame, pieces: DataFrame, of_byte: dict[int, int], longest: int, fold: str = "merge") -> DataFrame:
+    """word, segments (start, stop, ids) of every row of ``words``; the fold is ``merge`` (BPE) or ``viterbi`` (unigram)."""
     cuts = merge_fold(longest) if fold == "merge" else viterbi_fold(longest)
     folded = lattice(words, pieces, longest).withColumn("cuts", cuts)
     hexed = F.array(*[F.lit(of_byte.get(b, 0)) for b in range(256)])
 
-    def ids(i: Column) -> Column:
+    def segment(i: Column) -> Column:
         start, end = F.element_at("cuts", i), F.element_at("cuts", i + 1)
         edge = F.element_at("edges", start * (longest + 1) + (end - start))
         own = F.substring(F.col("word"), start + 1, end - start)
         byte = lambda k: F.conv(F.substring(F.hex(own.cast("binary")), 2 * k + 1, F.lit(2)), 16, 10).cast("int")
         spelt = F.transform(F.sequence(F.lit(0), F.octet_length(own) - 1), lambda k: F.element_at(hexed, byte(k) + 1))
-        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(spelt)
+        ids = F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(spelt)
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("stop"), ids.alias("ids"))
+
+    return folded.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), segment).alias("segments"))
+
+
+def _ids(segments: Column) -> Column:
+    return F.flatten(F.transform(segments, lambda s: s["ids"]))
+
+
+def _windowed(long: DataFrame) -> DataFrame:
+    """key, k, last, word: the windows of long words (key, word), each STEP behind the one before."""
+    last = F.ceil((F.length("word") - WINDOW) / STEP).cast("int")
+    dealt = long.select("key", "word", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    return dealt.select("key", "k", "last", F.col("word").substr(F.col("k") * STEP + 1, F.lit(WINDOW)).alias("word"))
+
 
-    return folded.select("word", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
+def _stitched(windows: DataFrame) -> DataFrame:
+    """key, whole, ids of long words, from their windows (key, k, last, segments).
+
+    A sequence of pieces is what the merges of its text give if each two neighbours of it are what the merges of their own
+    text give. In a window all neighbours are. So two windows may be joined in a piece that both of them have; where
+    they overlap, the first such piece is taken. ``whole`` tells whether there was one in each overlap.
+    """
+    shift = lambda s: F.struct((s["start"] + F.col("k") * STEP).alias("start"), (s["stop"] + F.col("k") * STEP).alias("stop"), s["ids"].alias("ids"))
+    spans = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    placed = windows.select("key", "k", "last", F.transform("segments", shift).alias("own"))
+    after = placed.select("key", (F.col("k") - 1).alias("k"), F.col("own").alias("after"))
+    met = placed.join(after, ["key", "k"], "left")
+    common = F.array_min(F.array_intersect(spans(F.col("own")), spans(F.col("after"))))["stop"]
+    ends = met.select("key", "k", "own", F.when(F.col("k") == F.col("last"), F.lit(2147483647)).otherwise(common).alias("stop"))
+    rows = F.array_sort(F.collect_list(F.struct("k", "stop", "own")))
+    gathered = ends.groupBy("key").agg(rows.alias("rows"), F.every(F.col("stop").isNotNull()).alias("whole"))
+    froms = F.concat(F.array(F.lit(0)), F.transform("rows", lambda r: r["stop"]))
+    kept = F.zip_with("rows", froms, lambda r, begin: F.filter(r["own"], lambda s: (s["start"] >= begin) & (s["stop"] <= r["stop"])))
+    own = F.flatten(F.filter(kept, lambda x: x.isNotNull()))
+    return gathered.select("key", "whole", _ids(own).alias("ids"))
+
+
+def encode_words(words: DataFrame, pieces: DataFrame, of_byte: dict[int, int], longest: int, fold: str = "merge") -> DataFrame:
+    """word, ids of every row of ``words`` (distinct words).
+
+    With merges, words beyond WINDOW characters go through the lattice in overlapping windows, which are stitched
+    again, so that the work grows with their length; a word whose windows have nothing in common somewhere goes whole.
+    """
+    if fold != "merge":
+        return segment_words(words, pieces, of_byte, longest, fold).select("word", _ids(F.col("segments")).alias("ids"))
+    is_long = F.length("word") > WINDOW
+    long = words.where(is_long).select(F.sha2(F.col("word").cast("binary"), 256).alias("key"), "word")
+    windows = _windowed(long)
+    parts = words.where(~is_long).unionByName(windows.select("word").distinct()).distinct()
+    segments = written(segment_words(parts, pieces, of_byte, longest), "segments")
+    short = words.where(~is_long).join(segments, "word").select("word", _ids(F.col("segments")).alias("ids"))
+    stitched = written(_stitched(windows.join(segments, "word")), "stitched")
+    done = stitched.where("whole").join(long, "key").select("word", "ids")
+    rest = segment_words(long.join(stitched.where("not whole"), "key", "left_semi").select("word"), pieces, of_byte, longest)
+    return short.unionByName(done).unionByName(rest.select("word", _ids(F.col("segments")).alias("ids")))
 
 
 def encoder(pattern: str):
@@ -183,7 +240,7 @@ def encode(docs: DataFrame, vocabulary_path: str, fold: str = "merge", block_byt
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"))
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
     used = dealt.select("block", F.explode(split_words(F.col("text"), pattern)).alias("word")).distinct()
     used = written(used, "words")
     encoded = encode_words(used.select("word").distinct(), pieces, of_byte, longest, fold)

@@ -147,6 +147,30 @@ def test_pieces_equal_the_library_and_decode(spark):
     assert pieces.encode(docs.limit(0), vocabulary(pieces.VOCABULARY)).collect() == []
 
 
+def test_long_words_equal_the_library(spark):
+    import sentencepiece
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (64, 65, 96, 97, 500, 60_000)]
+    texts += ["a" * 1000, "=" * 333, "abc" * 300, "Ünïcödé漢字" * 40, "-" * 65 + " short " + "the" * 50, "".join(rng.choice("ab") for _ in range(700)), "xyzzy" * 200]
+    docs = spark.createDataFrame([(i, t, "w", 1) for i, t in enumerate(texts)] + [(0, texts[0], "w", 1)], "doc_id bigint, text string, word string, block int")
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary(pieces.VOCABULARY))
+    out = pieces.encode(docs, vocabulary(pieces.VOCABULARY)).collect()
+    assert len(out) == len(texts) + 1
+    for r in out:
+        assert list(r.ids) == lib.encode(texts[r.doc_id]) and r.round_trip, r.doc_id
+
+
+def test_pieces_of_the_table_equal_the_library(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary(pieces.VOCABULARY))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: lib.encode(r.text or "") for r in docs.collect()}
+    got = {r.doc_id: list(r.ids) for r in pieces.op5_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
 def test_viterbi_finds_the_best_sum(spark):
     listed = [("▁", 1, -3.0), ("a", 2, -2.0), ("b", 3, -2.5), ("ab", 4, -3.1), ("▁a", 5, -4.0), ("ba", 6, -3.0), ("aba", 7, -5.5), ("bab", 8, -4.9)]
     score = {p: s for p, _, s in listed}
