@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import let
+from corvane.session import written
 
 #: Rows of a side that is broadcast at most; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
@@ -16,29 +19,44 @@ def broadcast_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def inverse_frequencies(tokens: DataFrame, floor: float = 0.25) -> DataFrame:
-    """term, idf of (chunk, tokens): ln((N - df + 0.5) / (df + 0.5)); negative ones become ``floor`` x the mean."""
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = tokens.agg(F.count(F.lit(1)).alias("n"))
-    raw = df.crossJoin(F.broadcast(total)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
+@dataclass(frozen=True)
+class Index:
+    """postings: chunk_id, length, term, tf. terms: term, idf. stats: one row of chunks, mean_length."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def build_index(tokens: DataFrame, floor: float = 0.25) -> Index:
+    """The index of (chunk_id, tokens), as tables in the shared folder: texts are read and split once for all searches.
+
+    idf is ln((N - df + 0.5) / (df + 0.5)); negative ones become ``floor`` x the mean.
+    """
+    rows = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    postings = written(rows.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions("term"), "postings")
+    chunks = tokens.agg(F.count(F.lit(1)).alias("chunks"))  # reads no text
+    stats = written(postings.agg(F.sum("tf").alias("_n")).crossJoin(F.broadcast(chunks)).select("chunks", (F.col("_n") / F.col("chunks")).alias("mean_length")), "index-stats")  # one row
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.crossJoin(F.broadcast(stats.select("chunks"))).select("term", F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
+    raw = written(raw, "terms")
     mean = raw.agg(F.avg("idf").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))  # one row
+    terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))  # one row
+    return Index(postings, terms, stats)
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(index: Index | DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """qid, chunk_id, score (> 0) of every chunk that shares a term with a query.
 
-    ``tokens`` has chunk_id and tokens, ``queries`` qid and tokens; repeated query terms count each time.
-    Only postings of query terms are ever shuffled.
+    ``index`` may be (chunk_id, tokens), of which an index is then built; ``queries`` has qid and tokens, and repeated
+    terms count each time. Of the postings, only those of query terms are shuffled.
     """
+    index = index if isinstance(index, Index) else build_index(index)
     asked = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("asked"))
-    terms = broadcast_if_small(asked.select("term").distinct())
-    total = tokens.agg(F.avg(F.size("tokens")).alias("mean_length"))
-    postings = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(terms, "term").groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = inverse_frequencies(tokens).join(terms, "term")
+    weights = broadcast_if_small(asked).join(index.terms, "term")
     tf, length = F.col("tf"), F.col("length") / F.col("mean_length")
     weight = F.col("idf") * F.col("asked") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
-    met = postings.join(asked.join(weights, "term"), "term").crossJoin(F.broadcast(total))  # one row
+    met = index.postings.join(broadcast_if_small(weights), "term").crossJoin(F.broadcast(index.stats))  # one row
     return met.groupBy("qid", "chunk_id").agg(F.sum(weight).alias("score")).where("score > 0")
 
 
@@ -46,7 +64,7 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(qid, chunk_id) of every passage (qid, text) that stands verbatim in a text (chunk_id, text).
 
     The second to fourth word of a passage stand whole in whatever contains it, so passages meet texts by an
-    equi-join on them; passages of fewer than five words are few and short and go by their first character.
+    equi-join on them; passages of fewer than five words have no such words, and each is looked for in every text.
     """
     long = F.size(F.split("text", r"\s+")) >= 5
     word = F.split("text", r"\s+")

@@ -1,7 +1,7 @@
 """Rank statistics of scores: AUROC, average precision, thresholds, risk and coverage, paired intervals.
 
-All are built on prefix sums over distinct scores. These are worked out in buckets of the score's range, so
-that no task has to see a whole key, however many rows it has. Results are null where a class is empty.
+All are built on prefix sums over distinct scores. These are worked out in buckets between quantiles of the scores,
+so that no task has to see a whole key, however many rows it has. Results are null where a class is empty.
 """
 
 from __future__ import annotations
@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 
 from corvane.operators.index import broadcast_if_small
 
-BUCKETS = 256
+#: Buckets of a key; each STRIDE-th cut is looked at first.
+BUCKETS, STRIDE = 256, 16
 
 
 def prefix_sums(rows: DataFrame, by: list[str], order: str, values: list[str], ties: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with ``{value}_to``, the sum of each value up to and with the row, in the order of a finite number."""
-    span = rows.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    placed = rows.join(span, by) if by else rows.crossJoin(F.broadcast(span))  # one row
-    share = (F.col(order) - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low"))
-    placed = placed.withColumn("_bucket", F.coalesce(F.floor(share * buckets), F.lit(0)).cast("int")).drop("_low", "_high")
+    """``rows`` with ``{value}_to``, the sum of each value up to and with the row, in the order of a finite number.
+
+    The buckets are parted at approximate quantiles of the order, so that each has about as many rows, however the numbers lie.
+    """
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = rows.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx(order, shares, 16 * buckets))).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % STRIDE == 0))
+    placed = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))  # one row
+    # how many cuts lie below: first among every STRIDE-th, then among those that follow it
+    below = lambda some: F.size(F.filter(some, lambda c: c < F.col(order)))
+    placed = placed.withColumn("_run", F.greatest(below(F.col("_coarse")) - 1, F.lit(0)))
+    placed = placed.withColumn("_bucket", F.col("_run") * STRIDE + below(F.slice("_cuts", F.col("_run") * STRIDE + 1, F.lit(STRIDE)))).drop("_cuts", "_coarse", "_run")
     sums = placed.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows a key
     before = sums.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}_before") for v in values])

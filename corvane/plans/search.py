@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import search_tokens
 from corvane.operators import ranking as R
-from corvane.operators.index import bm25
+from corvane.operators.index import Index, bm25, build_index
 from corvane.session import table
 
 
@@ -59,10 +59,18 @@ class Corpus:
     variants: DataFrame | None = None
     scorer: Callable[[Column, Column], Column] = R.shared_tokens
     scored: str = "tokens"
+    _index: Index | None = field(default=None, init=False, repr=False)
+
+    @property
+    def index(self) -> Index:
+        """The lexical index of the chunks, built when it is first asked for."""
+        if self._index is None:
+            self._index = build_index(self.chunks.select("chunk_id", "tokens"))
+        return self._index
 
 
 def lexical(corpus: Corpus, queries: DataFrame, most: int | None) -> DataFrame:
-    return R.ranked(bm25(corpus.chunks.select("chunk_id", "tokens"), queries.select("qid", "tokens")), ["qid"], most)
+    return R.ranked(bm25(corpus.index, queries.select("qid", "tokens")), ["qid"], most)
 
 
 def dense(corpus: Corpus, queries: DataFrame, most: int) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from corvane.catalog import query
 from corvane.operators import sessions as S
-from corvane.session import Fixture, table
+from corvane.session import Fixture, scratch, table
 from corvane.streaming import sessions as G
 
 
@@ -69,14 +66,9 @@ def _stream(spark, sf_dir: str, name: str):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def _place(spark, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-")
-    return f"{root.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
-
-
 def _drained(spark, stream, name: str):
     """What a stream puts out until it has read all there is."""
-    path = _place(spark, name)
+    path = scratch(spark, name)
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -95,7 +87,7 @@ def stream_dedup(spark, sf_dir):
 @query("stream_index", "SELECT count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS tokens FROM (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(regexp_replace(lower(text), '\\b([a-z]+)-(\\d+)\\b', '\\1\\2', 'g'), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL)")
 def stream_index(spark, sf_dir):
     """Postings of a stream of chunks."""
-    path = _place(spark, "stream-index")
+    path = scratch(spark, "stream-index")
     chunks = _stream(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
     G.index_chunks(chunks, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("tokens"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where driver and executors are one process (``local`` masters, as in tests) a temporary folder
+    stands in for it; on a cluster without the setting this raises an error.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if context.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
+_OWN: set[str] = set()
+
+
+def _home(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver ends."""
+    home = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
+    if home not in _OWN:
+        _OWN.add(home)
+        atexit.register(_leave, spark, home)
+    return home
+
+
+def _leave(spark: SparkSession, home: str) -> None:
+    try:
+        remove(spark, home)
+    except Exception:  # the session is gone already; the folder bears the application's name
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table or a stream's state in the shared folder."""
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"
