@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, written
 from .tokens import Memo, byte_chunks, vocabulary
 
 CACHE = "content_sha string, n_tokens bigint, tokenizer_sha string"
@@ -85,7 +85,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str, limit:
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     # the columns go along as one, whatever their names
     keyed = docs.select(F.struct(*rest, F.octet_length(content).cast("long").alias("n_bytes")).alias("_row"), sha.alias("_sha"))
-    counts = keyed.join(known(spark.read.schema(CACHE).parquet(cache_path)), "_sha")
+    # as a table of its own, so that the join's skewed partitions (copies of a hot content) can be split
+    counted = written(known(spark.read.schema(CACHE).parquet(cache_path)), "token-counts")
+    counts = keyed.join(counted, "_sha")
     return counts.select(*[F.col("_row").getField(c).alias(c) for c in (*rest, "n_bytes")], F.col("_tokens").alias("n_tokens"), (F.col("_tokens") > limit).alias("over_limit"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import let
@@ -19,6 +19,20 @@ def broadcast_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def term_counts(tokens: Column) -> Column:
+    """Structs (term, tf) of the distinct tokens: the runs of the sorted array, so that counting needs no shuffle."""
+
+    def counted(own: Column, starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(own))
+        return F.transform(starts, lambda i, k: F.struct(F.get(own, i).alias("term"), (end(k) - i).cast("long").alias("tf")))
+
+    def runs(own: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+        return let(fresh, lambda starts: counted(own, starts))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+
+
 @dataclass(frozen=True)
 class Index:
     """postings: chunk_id, length, term, tf. terms: term, idf. stats: one row of chunks, mean_length."""
@@ -33,8 +47,9 @@ def build_index(tokens: DataFrame, floor: float = 0.25) -> Index:
 
     idf is ln((N - df + 0.5) / (df + 0.5)); negative ones become ``floor`` x the mean.
     """
-    rows = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    postings = written(rows.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions("term"), "postings")
+    rows = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode_outer(term_counts(F.col("tokens"))).alias("_t"))
+    rows = rows.select("chunk_id", "length", "_t.term", "_t.tf").where(F.col("term").isNotNull())
+    postings = written(rows, "postings")
     chunks = tokens.agg(F.count(F.lit(1)).alias("chunks"))  # reads no text
     stats = written(postings.agg(F.sum("tf").alias("_n")).crossJoin(F.broadcast(chunks)).select("chunks", (F.col("_n") / F.col("chunks")).alias("mean_length")), "index-stats")  # one row
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

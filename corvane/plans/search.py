@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import search_tokens
 from corvane.operators import ranking as R
 from corvane.operators.index import Index, bm25, build_index
-from corvane.session import table
+from corvane.session import table, written
 
 
 @dataclass(frozen=True)
@@ -60,12 +60,20 @@ class Corpus:
     scorer: Callable[[Column, Column], Column] = R.shared_tokens
     scored: str = "tokens"
     _index: Index | None = field(default=None, init=False, repr=False)
+    _split: DataFrame | None = field(default=None, init=False, repr=False)
+
+    @property
+    def split(self) -> DataFrame:
+        """chunk_id, tokens, paper, is_reference of the chunks, as a table: texts are split into tokens once."""
+        if self._split is None:
+            self._split = written(self.chunks.select("chunk_id", "tokens", "paper", "is_reference"), "chunk-tokens")
+        return self._split
 
     @property
     def index(self) -> Index:
         """The lexical index of the chunks, built when it is first asked for."""
         if self._index is None:
-            self._index = build_index(self.chunks.select("chunk_id", "tokens"))
+            self._index = build_index(self.split.select("chunk_id", "tokens"))
         return self._index
 
 
@@ -101,11 +109,13 @@ def search(corpus: Corpus, config: Config, k: int = 10) -> DataFrame:
     else:
         stage = first_stage(corpus, corpus.queries, config, fetch)
     penalty = 1.0 if config.include_refs else config.ref_penalty
-    known = stage.join(corpus.chunks.select("chunk_id", "paper", "is_reference", *([F.col(corpus.scored).alias("_told")] if config.mode == "hybrid_rerank" else [])), "chunk_id")
+    reranked = config.mode == "hybrid_rerank"
+    chunks = corpus.split if reranked and corpus.scored == "tokens" else corpus.chunks
+    known = stage.join(chunks.select("chunk_id", "paper", "is_reference", *([F.col(corpus.scored).alias("_told")] if reranked else [])), "chunk_id")
     if penalty <= 0:
         known = known.where(~F.col("is_reference"))
     pool = R.ranked(known.withColumnRenamed("rank", "_stage"), ["qid"], config.candidates, ties=("_stage",)).drop("_stage")
-    if config.mode == "hybrid_rerank":
+    if reranked:
         asked = corpus.queries.select("qid", F.col(corpus.scored).alias("_asked"))
         scored = pool.join(asked, "qid").withColumn("first_stage_score", F.col("score")).withColumn("score", corpus.scorer(F.col("_told"), F.col("_asked")))
         pool = R.ranked(scored.withColumnRenamed("rank", "_pool"), ["qid"], ties=("_pool",)).drop("_pool", "_told", "_asked")
