@@ -8,6 +8,7 @@ import uuid
 from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch at most: bounds what a Python worker holds at a time, however long the texts are.
@@ -105,3 +106,38 @@ class Scratch:
     def clear(self) -> None:
         while self.paths:
             self.drop(-1)
+
+
+def salted_join(rows: DataFrame, values: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``values``, which has each key (nulls too) of ``rows`` once and, as ``n``, how many rows have it.
+
+    Keys of more than a quarter of a mean shuffle partition are split: their values stand there once for each share, and their rows
+    are dealt out over the shares. Such keys, fewer than four times the shuffle partitions, are broadcast.
+    """
+    share, hot = hot_keys(values, on, n)
+    rest = [c for c in values.columns if c not in (*on, n)]
+    copies = F.greatest(F.ceil(F.col(n) / share).cast("int"), F.lit(1))
+    placed = values.select(*[F.col(c).alias(f"_on_{c}") for c in on], *rest, F.explode(F.sequence(F.lit(0), copies - 1)).alias("_on_salt"))
+    dealt = salted(rows, hot, on)
+    same = F.col("_salt") == F.col("_on_salt")
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return dealt.join(placed, same).select(*rows.columns, *rest)
+
+
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> tuple[int, DataFrame]:
+    """The rows of a share, and (_hot_..., _copies) of the keys with more rows than that: fewer than four times the shuffle partitions."""
+    spark = counts.sparkSession
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    share = max(1, -(-int(total) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    hot = counts.where(F.col(n) > share).select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.ceil(F.col(n) / share).cast("int").alias("_copies"))
+    return share, hot
+
+
+def salted(rows: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` and _salt: 0, or for rows of a hot key a number below its _copies, dealt out by the rows' places."""
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
+    place = F.monotonically_increasing_id()
+    return rows.join(F.broadcast(hot), same, "left").select(*rows.columns, F.pmod(place, F.coalesce(F.col("_copies"), F.lit(1))).cast("int").alias("_salt"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language_id, line_dedup, near_dedup, nearest, packing, pieces, secret_scan, token_counts
+from . import exact_dedup, fill_in_middle, html_text, language_id, license_scan, line_dedup, near_dedup, nearest, packing, pieces, secret_scan, token_counts, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": nearest.op8_nearest,
     "op9_html_text": html_text.op9_html_text,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
