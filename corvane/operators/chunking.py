@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,20 +33,6 @@ def page_for_char(positions: DataFrame, spans: DataFrame, doc: str = "doc_id", p
     return positions.join(held, doc, "left").withColumn(page, F.coalesce(at, F.element_at("_spans", -1)["page"], F.lit(1))).drop("_spans")
 
 
-def fixed_windows(tokens: Column, size: int = 512, overlap: int = 50) -> Column:
-    """Structs (at, tokens) of windows of ``size`` tokens; the last is the one that reaches the end."""
-    step = max(1, size - overlap)
-    n = F.size(tokens)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
-    return F.when(n > 0, F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(tokens, s + 1, F.lit(size)).alias("tokens"))))
-
-
-def chunk_fixed(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 512, overlap: int = 50) -> DataFrame:
-    """doc, chunk_index, n_tokens, text of each window of white-space tokens."""
-    at = F.posexplode(fixed_windows(words(F.col(text)), size, overlap)).alias("chunk_index", "_w")
-    return docs.select(doc, at).select(doc, "chunk_index", F.size("_w.tokens").cast("long").alias("n_tokens"), F.array_join("_w.tokens", " ").alias("text"))
-
-
 def sentences(text: Column) -> Column:
     """Sentences, without blank ones."""
     return F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(r"(?U)\S"))
@@ -91,29 +75,6 @@ def pack_plan(sizes: list[int], sentence: list[int], size: int, overlap: int, br
     return plan
 
 
-def chunk_sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 512, overlap: int = 50, breaks: str | None = None, least: int = 64) -> DataFrame:
-    """doc, chunk_index, n_tokens, text: chunks of whole sentences.
-
-    ``breaks``: a column of sentence numbers behind which a topic ends. Packing is sequential within a
-    document, so it runs in Arrow batches of documents.
-    """
-    kind = dict(docs.dtypes)[doc]
-    rows = docs.select(doc, F.transform(sentences(F.col(text)), words).alias("_s"), (F.col(breaks) if breaks else F.array().cast("array<int>")).alias("_b"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for key, sents, own in zip(part[doc], part["_s"], part["_b"], strict=True):
-                units = [(k, list(s[i : i + size])) for k, s in enumerate(sents if sents is not None else []) for i in range(0, len(s), size)]
-                plan = pack_plan([len(u) for _, u in units], [k for k, _ in units], size, overlap, set(own if own is not None else []), least)
-                for i, (a, b) in enumerate(plan):
-                    tokens = [t for _, u in units[a : b + 1] for t in u]
-                    out.append((key, i, len(tokens), " ".join(tokens)))
-            yield pd.DataFrame(out, columns=[doc, "chunk_index", "n_tokens", "text"])
-
-    return rows.mapInPandas(run, f"{doc} {kind}, chunk_index int, n_tokens bigint, text string")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -8,7 +8,9 @@ from corvane.catalog import query
 from corvane.functions import text as T
 from corvane.operators import chunking as C
 from corvane.operators import enrich as E
-from corvane.plans.text import QUOTE, STRIP, WORDS
+from corvane.operators import spans as P
+from corvane.operators.models import embedder
+from corvane.plans.text import _DENSITY, QUOTE, WORDS
 from corvane.session import Fixture, table
 
 PAGES = "(SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_no, text FROM conversations)"
@@ -37,14 +39,52 @@ def page_for_char(spark, sf_dir):
     return C.page_for_char(positions, spans)
 
 
-@query(
-    "chunk_fixed",
-    f"""WITH t AS (SELECT doc_id, {WORDS('text')} AS w FROM documents),
-s AS (SELECT doc_id, w, unnest(list_filter(range(0, greatest(len(w), 1), 462), lambda s: s = 0 OR s - 462 + 512 < len(w))) AS pos FROM t WHERE len(w) > 0)
-SELECT doc_id, CAST(pos // 462 AS INTEGER) AS chunk_index, len(w[pos + 1:pos + 512]) AS n_tokens, array_to_string(w[pos + 1:pos + 512], ' ') AS text FROM s""",
-)
+def sql_windows(texts: str, size: int, overlap: int) -> str:
+    """CTEs that end in ``chunks`` (doc_id, chunk_index, n_tokens, char_start, char_end, text) from ``texts`` (doc_id, text)."""
+    step = size - overlap
+    return f"""f AS ({texts}), p AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\s*\\S+')) AS piece, generate_subscripts(regexp_extract_all(text, '\\s*\\S+'), 1) - 1 AS i FROM f),
+t AS (SELECT doc_id, i, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, length(regexp_replace(piece, '^\\s+', '')) AS n FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+w AS (SELECT doc_id, n, unnest(list_filter(range(0, n, {step}), lambda s: s = 0 OR s - {step} + {size} < n)) AS lo FROM n),
+chunks AS (SELECT w.doc_id, CAST(lo // {step} AS INTEGER) AS chunk_index, least({size}, w.n - lo) AS n_tokens, a.e - a.n AS char_start, b.e AS char_end, substring(f.text, a.e - a.n + 1, b.e - a.e + a.n) AS text
+  FROM w JOIN t a ON a.doc_id = w.doc_id AND a.i = lo JOIN t b ON b.doc_id = w.doc_id AND b.i = least(lo + {size}, w.n) - 1 JOIN f ON f.doc_id = w.doc_id)"""
+
+
+@query("chunk_fixed", f"WITH {sql_windows('SELECT doc_id, text FROM documents', 512, 50)} SELECT * FROM chunks")
 def chunk_fixed(spark, sf_dir):
-    return C.chunk_fixed(table(spark, sf_dir, "documents"))
+    """Windows of white-space tokens, as exact pieces of the text."""
+    return P.chunk_spans(table(spark, sf_dir, "documents"))
+
+
+RUNNING = f"SELECT doc_id, string_agg(text || ' ', '' ORDER BY page_no) AS text FROM {PAGES} WHERE length(text) > 0 GROUP BY doc_id"
+_PAGED = f"""WITH {sql_windows(RUNNING, 64, 8)}, s AS {SPANS},
+paged AS (SELECT c.*, a.page_no AS page_start, z.page_no AS page_end FROM chunks c JOIN s a ON a.doc_id = c.doc_id AND a.start <= char_start AND char_start < a."end" JOIN s z ON z.doc_id = c.doc_id AND z.start <= char_end - 1 AND char_end - 1 < z."end")"""
+
+
+@query("chunk_pages", f"{_PAGED} SELECT doc_id, chunk_index, page_start, page_end, {_DENSITY} >= 0.25 AS is_reference, n_tokens, char_start, char_end, text FROM paged")
+def chunk_pages(spark, sf_dir):
+    """Windows over the running text of a document's pages, with the pages they stand on."""
+    return P.chunk_pages(pages(spark, sf_dir), size=64, overlap=8)
+
+
+def _hashed():
+    """The built-in stand-in for an embedding model: words hashed to 64 places."""
+    import zlib
+
+    def embed(texts: list[str]) -> list[list[int]]:
+        out = [[0] * 64 for _ in texts]
+        for row, text in zip(out, texts, strict=True):
+            for word in text.lower().split():
+                row[zlib.crc32(word.encode()) % 64] += 1
+        return out
+
+    return embed
+
+
+@query("chunk_pages_semantic")
+def chunk_pages_semantic(spark, sf_dir):
+    """Whole sentences of the running text; a chunk ends where the topic shifts."""
+    return P.chunk_pages(pages(spark, sf_dir), "semantic", embed=embedder(_hashed), size=96, overlap=16, least=24)
 
 
 _SENTENCES = "list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(9246) || '\\2', 'g'), chr(9246)), lambda s: regexp_matches(s, '\\S'))"
@@ -67,7 +107,8 @@ def token_units(spark, sf_dir):
 
 @query("chunk_sentence")
 def chunk_sentence(spark, sf_dir):
-    return C.chunk_sentences(table(spark, sf_dir, "documents"), size=256, overlap=32)
+    """Chunks of whole sentences, as exact pieces of the text."""
+    return P.chunk_spans(table(spark, sf_dir, "documents"), "sentence", size=256, overlap=32)
 
 
 @query(
@@ -145,13 +186,12 @@ def expand_split_tables(spark, sf_dir):
     return out.select("qid", "rank", "paper", "idx", "page_start", "page_end", "text", T.present(F.array_join(F.transform("expanded_with", lambda i: T.chunk_name(F.col("paper"), i)), ",")).alias("expanded_with"))
 
 
-@query("upload_chunk_ids", f"""WITH t AS (SELECT doc_id, source, {WORDS('text')} AS w FROM documents), s AS (SELECT doc_id, source, unnest(list_filter(range(0, greatest(len(w), 1), 462), lambda s: s = 0 OR s - 462 + 512 < len(w))) AS pos FROM t WHERE len(w) > 0)
-SELECT concat('upload:', source, '-', doc_id, '__', lpad(CAST(pos // 462 AS VARCHAR), 4, '0')) AS chunk_id, concat('upload:', source, '-', doc_id) AS arxiv_id, '' AS year, CAST(pos // 462 AS INTEGER) AS chunk_index FROM s""")
+@query("upload_chunk_ids", f"{_PAGED} SELECT concat('upload:', doc_id, '.pdf__', lpad(CAST(chunk_index AS VARCHAR), 4, '0')) AS chunk_id, concat('upload:', doc_id, '.pdf') AS arxiv_id, '' AS year, chunk_index, page_start, page_end FROM paged")
 def upload_chunk_ids(spark, sf_dir):
-    """Chunks of uploads, in the corpus' form (documents stand in for uploaded files)."""
-    name = F.concat(F.lit("upload:"), "source", F.lit("-"), F.col("doc_id").cast("string"))
-    chunks = C.chunk_fixed(table(spark, sf_dir, "documents").withColumn("doc_id", name))
-    return chunks.select(T.chunk_name(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("arxiv_id"), F.lit("").alias("year"), "chunk_index")
+    """Chunks of uploads, in the corpus' form (conversations stand in for uploaded files)."""
+    name = F.concat(F.lit("upload:"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    chunks = P.chunk_pages(pages(spark, sf_dir).withColumn("doc_id", name), size=64, overlap=8)
+    return chunks.select(T.chunk_name(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("arxiv_id"), F.lit("").alias("year"), "chunk_index", "page_start", "page_end")
 
 
 UPLOADS = Fixture("seq int, name string, found boolean, mb double, pages int", [(1, "a.pdf", True, 1.0, 5), (2, "a.pdf", True, 1.0, 5), (3, "b.txt", True, 1.0, 1), (4, "c.pdf", True, 31.0, 5), (5, "d.pdf", True, 2.0, 81), (6, "e.pdf", False, None, None), (7, "f.pdf", True, 3.0, None), (8, "a.pdf", True, 2.0, 3)])

@@ -8,6 +8,7 @@ from corvane.catalog import query
 from corvane.operators import sessions as S
 from corvane.session import Fixture, scratch, table
 from corvane.streaming import sessions as G
+from corvane.streaming.turns import in_order
 
 
 @query(
@@ -93,3 +94,16 @@ def stream_index(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("tokens"))
 
 
+@query(
+    "stream_turns",
+    """WITH t AS (SELECT *, row_number() OVER w AS n, coalesce(string_agg(CAST(length(text) AS VARCHAR), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS lengths FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, n, role, lengths FROM t WHERE turn = n - 1""",
+)
+def stream_turns(spark, sf_dir):
+    """Turns in order, each with those before it, from a stream in which they arrive shuffled: four batches, dealt out by hash."""
+    turns, path = table(spark, sf_dir, "conversations"), scratch(spark, "turns")
+    files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    turns.repartition(files, F.xxhash64("conv_id", "turn")).write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{path}/in")
+    rows = _drained(spark, in_order(arriving, "conv_id", "turn", "text"), "turns-in-order")
+    return rows.select("conv_id", "turn", "n", "role", F.array_join(F.transform("history", lambda t: F.length(t).cast("string")), ",").alias("lengths"))

@@ -26,22 +26,6 @@ def test_numbers_at_the_edges_only(spark):
     assert value(spark, T.clean_page(F.col("x")), x="1\n76\n84\nend\n2") == "76 84 end"
 
 
-def test_fixed_windows_stop_at_the_end(spark):
-    for n in range(0, 30):
-        for size, overlap in ((5, 2), (4, 0), (3, 9)):
-            tokens = [str(i) for i in range(n)]
-            step, want, at = max(1, size - overlap), [], 0
-            while at < n:
-                want.append(" ".join(tokens[at : at + size]))
-                if at + size >= n:
-                    break
-                at += step
-            df = spark.createDataFrame([(1, " ".join(tokens))], "doc_id int, text string")
-            if n in (0, 1, 5, 6, 17, 29):
-                got = [r.text for r in C.chunk_fixed(df, size=size, overlap=overlap).orderBy("chunk_index").collect()]
-                assert got == want
-
-
 def test_packing_of_sentences():
     assert C.pack_plan([3, 3, 3], [0, 1, 2], 6, 0, set(), 1) == [(0, 1), (2, 2)]
     assert C.pack_plan([3, 3, 3], [0, 1, 2], 6, 3, set(), 1) == [(0, 1), (1, 2)]
