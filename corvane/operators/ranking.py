@@ -95,32 +95,40 @@ def shared_tokens(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("double")
 
 
-def demote(rows: DataFrame, by: list[str], penalty: float, tagged: str = "is_reference") -> DataFrame:
-    """Tagged rows moved towards the least score of their query: low + (score - low) x penalty."""
-    if penalty >= 1:
+def _column(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def demote(rows: DataFrame, by: list[str], penalty: float | Column, tagged: str = "is_reference") -> DataFrame:
+    """Tagged rows moved towards the least score of their query: low + (score - low) x penalty (a column: one value a query)."""
+    if not isinstance(penalty, Column) and penalty >= 1:
         return rows
     low = F.min("score").over(Window.partitionBy(*by))
-    moved = rows.withColumn("score", F.when(F.col(tagged), low + (F.col("score") - low) * penalty).otherwise(F.col("score")))
+    moves = F.col(tagged) & (_column(penalty) < 1)
+    moved = rows.withColumn("score", F.when(moves, low + (F.col("score") - low) * penalty).otherwise(F.col("score")))
     return ranked(moved.withColumnRenamed("rank", "_before"), by, ties=("_before",)).drop("_before")
 
 
-def diversity_cap(rows: DataFrame, by: list[str], k: int, most: int = 2, share: float = 0.25, hard: bool = False, group: str = "paper") -> DataFrame:
+def diversity_cap(rows: DataFrame, by: list[str], k: int, most: int | Column = 2, share: float | Column = 0.25, hard: bool | Column = False, group: str = "paper") -> DataFrame:
     """The k first rows with at most ``most`` of a group and a score of ``share`` of the best at least.
 
     Where these do not fill k, the strongest of the others do, those below the floor before those beyond the cap;
-    a hard cap takes only the former, as far as their group has room. ``rows`` has rank, group and score.
+    a hard cap takes only the former, as far as their group has room. ``rows`` has rank, group and score. Without a
+    cap (0) the k first rows are taken. The parameters may be columns, with one value a query.
     """
-    if most <= 0:
+    if not isinstance(most, Column) and most <= 0:
         return rows.where(F.col("rank") <= k)
+    limit, floor = _column(most), _column(share)
     query, own = Window.partitionBy(*by), Window.partitionBy(*by, group)
     top = F.max("score").over(query)
-    above = F.col("score") >= F.when((F.lit(share) > 0) & (top > 0), top * share).otherwise(F.lit(float("-inf")))
+    above = F.col("score") >= F.when((floor > 0) & (top > 0), top * floor).otherwise(F.lit(float("-inf")))
     marked = rows.withColumn("_above", above)
     marked = marked.withColumn("_nth", F.sum(F.col("_above").cast("int")).over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-    kind = F.when(F.col("_above") & (F.col("_nth") <= most), 0).when(~F.col("_above") & (F.col("_nth") < most), 1).otherwise(2)
+    kind = F.when((limit <= 0) | (F.col("_above") & (F.col("_nth") <= limit)), 0).when(~F.col("_above") & (F.col("_nth") < limit), 1).otherwise(2)
     marked = marked.withColumn("_kind", kind)
-    if hard:
-        marked = marked.where("_kind < 2").withColumn("_room", F.row_number().over(own.orderBy("_kind", "rank"))).where(F.col("_room") <= most).drop("_room")
+    if isinstance(hard, Column) or hard:
+        free = ~_column(hard) | (limit <= 0)
+        marked = marked.where(free | (F.col("_kind") < 2)).withColumn("_room", F.row_number().over(own.orderBy("_kind", "rank"))).where(free | (F.col("_room") <= limit)).drop("_room")
     # those admitted come first; then the others by score
     order = [F.when(F.col("_kind") == 0, 0).otherwise(1), F.when(F.col("_kind") == 0, F.col("rank")).otherwise(0), F.desc(F.round("score", 9)), "_kind", "rank"]
     taken = marked.withColumn("_n", F.row_number().over(query.orderBy(*order))).where(F.col("_n") <= k)
@@ -128,16 +136,19 @@ def diversity_cap(rows: DataFrame, by: list[str], k: int, most: int = 2, share:
     return taken.withColumn("_final", final).drop("rank", "_above", "_nth", "_kind", "_n").withColumnRenamed("_final", "rank")
 
 
-def mmr(rows: DataFrame, by: list[str], k: int, weight: float = 0.7, vector: str = "vector") -> DataFrame:
+def mmr(rows: DataFrame, by: list[str], k: int, weight: float | Column = 0.7, vector: str = "vector") -> DataFrame:
     """k rows a query, each the best by weight x relevance - (1 - weight) x likeness to those picked before.
 
-    Sequential within a query's candidates, of which there are few; ``rows`` has rank, score and vector.
+    Sequential within a query's candidates, of which there are few; ``rows`` has rank, score and vector. The weight
+    may be a column, with one value a query.
     """
-    kept = [f for f in rows.schema if f.name not in ("rank", vector)]
+    rows = rows.withColumn("_weight", _column(weight).cast("double"))
+    kept = [f for f in rows.schema if f.name not in ("rank", vector, "_weight")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", rank int"
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").reset_index(drop=True)
+        weight = group["_weight"].iloc[0]
         scores = group["score"].to_numpy(dtype=np.float64)
         spread = scores.max() - scores.min()
         relevance = (scores - scores.min()) / spread if spread > 1e-12 else np.ones(len(scores))
@@ -151,6 +162,6 @@ def mmr(rows: DataFrame, by: list[str], k: int, weight: float = 0.7, vector: str
             likeness = np.maximum(likeness, near) if order else near
             order.append(best)
             open_[best] = False
-        return group.iloc[order].drop(columns=["rank", vector]).assign(rank=range(1, len(order) + 1))
+        return group.iloc[order].drop(columns=["rank", vector, "_weight"]).assign(rank=range(1, len(order) + 1))
 
     return rows.groupBy(*by).applyInPandas(pick, schema)

@@ -8,9 +8,10 @@ from corvane.catalog import query
 from corvane.operators import retrieval_metrics as M
 from corvane.operators import statistics as S
 from corvane.operators.index import containing
-from corvane.plans.retrieval import sql_search
+from corvane.plans.retrieval import SWEEP, sql_search, sql_swept
 from corvane.plans.search import CONFIGS, corpus, search
-from corvane.session import Fixture, table
+from corvane.plans.sweep import sweep as swept
+from corvane.session import Fixture, table, written
 
 LABELS = "labels_ AS (SELECT item_id AS qid, doc_id AS chunk_id, 1.0::DOUBLE AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text)), queries_ AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'exact_term' ELSE 'multi_paper' END AS category FROM benchmark)"
 KS = (1, 3, 5, 10)
@@ -84,20 +85,15 @@ def ndcg_graded(spark, sf_dir):
     return out.select("qid", F.round("ndcg_3", 9).alias("ndcg_3"))
 
 
-_SWEEP = ("dense", "bm25", "hybrid", "hybrid_rerank")
-_ALL = " UNION ALL ".join(f"SELECT '{c}' AS config, * FROM ({sql_search(CONFIGS[c])} SELECT * FROM final)" for c in _SWEEP)
-_CONFIGS = ", ".join(f"('{c}')" for c in _SWEEP)
-SWEPT = f"WITH runs AS ({_ALL}), {LABELS}, judged_ AS (SELECT config, qid FROM queries_ CROSS JOIN (VALUES {_CONFIGS}) AS v(config)), {sql_metrics('runs', 'config, qid')}"
+_ALL = " UNION ALL ".join(f"SELECT '{name}' AS config, * FROM ({sql_swept(c)} SELECT * FROM final)" for name, c in CONFIGS.items())
+_CONFIGS = ", ".join(f"('{c}')" for c in CONFIGS)
+SWEPT = f"{SWEEP}, runs AS MATERIALIZED ({_ALL}), {LABELS}, judged_ AS (SELECT config, qid FROM queries_ CROSS JOIN (VALUES {_CONFIGS}) AS v(config)), {sql_metrics('runs', 'config, qid')}"
 
 
-def sweep(spark, sf_dir, names=_SWEEP):
+def sweep(spark, sf_dir, configs=CONFIGS):
     """config, qid, category, top_score and the metrics of every query under every configuration."""
-    c = corpus(spark, sf_dir)
-    runs = None
-    for name in names:
-        rows = search(c, CONFIGS[name]).select(F.lit(name).alias("config"), "qid", "chunk_id", "score", "rank")
-        runs = rows if runs is None else runs.unionByName(rows)
-    asked = questions(spark, sf_dir).withColumn("config", F.explode(F.array(*[F.lit(n) for n in names])))
+    runs = written(swept(corpus(spark, sf_dir), configs), "sweep-runs")
+    asked = questions(spark, sf_dir).withColumn("config", F.explode(F.array(*[F.lit(n) for n in configs])))
     top = runs.where("rank = 1").select("config", "qid", F.col("score").alias("top_score"))
     return M.per_query(runs, labels(spark, sf_dir), asked, ["config", "qid"]).join(asked, ["config", "qid"]).join(top, ["config", "qid"], "left")
 
@@ -203,16 +199,35 @@ def paired_bootstrap(spark, sf_dir):
     return rounded(S.bootstrap(rows, [], "delta", "doc_id"), ["delta", "ci_low", "ci_high"])
 
 
-@query("significance")
+_DELTAS = "SELECT c.config, unnest(['recall_5', 'mrr']) AS metric, unnest([c.recall_5 - b.recall_5, c.mrr - b.mrr]) AS x, c.qid FROM metrics c JOIN metrics b ON b.qid = c.qid AND b.config = 'dense' WHERE c.config <> 'dense' AND c.n_relevant > 0"
+
+
+@query(
+    "significance",
+    f"""{SWEPT}, d AS (SELECT config, metric, list(x ORDER BY qid) AS d FROM ({_DELTAS}) GROUP BY config, metric),
+i AS MATERIALIZED (SELECT n, boot, list_transform(range(1, n + 1), lambda k: 1 + CAST(('0x' || left(md5('0:' || boot || ':' || k), 8)) AS BIGINT) % n) AS drawn FROM (SELECT DISTINCT len(d) AS n FROM d), range(1, 2001) AS r(boot)),
+m AS (SELECT config, metric, list_sum(list_transform(drawn, lambda k: d[k])) / n AS mean FROM d JOIN i ON n = len(d)),
+o AS (SELECT *, row_number() OVER (PARTITION BY config, metric ORDER BY mean) AS n FROM m),
+e AS (SELECT config, metric, max(mean) FILTER (WHERE n = 51) AS low, max(mean) FILTER (WHERE n = 1950) AS high FROM o GROUP BY ALL)
+SELECT config, metric, len(d) AS n, round(list_sum(d) / len(d), 9) AS delta, CASE WHEN len(d) >= 8 THEN round(low, 9) END AS ci_low, CASE WHEN len(d) >= 8 THEN round(high, 9) END AS ci_high, CASE WHEN len(d) >= 8 THEN round(low, 12) > 0 OR round(high, 12) < 0 END AS significant FROM d JOIN e USING (config, metric)""",
+)
 def significance(spark, sf_dir):
     """Intervals of every configuration against the baseline, for recall and reciprocal rank."""
-    long = deltas(spark, sf_dir).unpivot(["config", "qid"], ["recall_5", "mrr"], "metric", "delta")
+    long = written(deltas(spark, sf_dir), "sweep-deltas").unpivot(["config", "qid"], ["recall_5", "mrr"], "metric", "delta")
     return rounded(S.bootstrap(long, ["config", "metric"], "delta", "qid"), ["delta", "ci_low", "ci_high"])
 
 
-@query("abstention_by_config")
+@query(
+    "abstention_by_config",
+    f"""{SWEPT}, s AS (SELECT config, round(coalesce(t.score, 0), 9) AS score, n_relevant > 0 AS answerable FROM metrics LEFT JOIN (SELECT config, qid, score FROM runs WHERE rank = 1) t USING (config, qid)),
+t AS (SELECT DISTINCT config, score AS threshold FROM s UNION ALL SELECT DISTINCT config, CAST('Infinity' AS DOUBLE) FROM s),
+j AS (SELECT config, threshold, avg(((score >= threshold) = answerable)::INT) AS accuracy, avg((score >= threshold)::INT) FILTER (WHERE NOT answerable) AS false_answer, avg((score < threshold)::INT) FILTER (WHERE answerable) AS false_abstain FROM t JOIN s USING (config) GROUP BY config, threshold),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY config ORDER BY round(accuracy, 12) DESC, threshold) = 1), a AS ({sql_auroc('s', 'score', 'answerable', 'config')})
+SELECT config, round(auroc, 9) AS auroc, threshold, round(accuracy, 9) AS accuracy, round(false_answer, 9) AS false_answer, round(false_abstain, 9) AS false_abstain FROM b JOIN a USING (config)""",
+)
 def abstention_by_config(spark, sf_dir):
     """How well the first result's score tells answerable queries, by configuration."""
-    rows = sweep(spark, sf_dir).withColumn("score", F.coalesce("top_score", F.lit(0.0))).withColumn("answerable", F.col("n_relevant") > 0)
+    rows = written(sweep(spark, sf_dir).select("config", F.round(F.coalesce("top_score", F.lit(0.0)), 9).alias("score"), (F.col("n_relevant") > 0).alias("answerable")), "sweep-scores")
     best = S.best_threshold(rows, ["config"], F.col("score"), F.col("answerable"))
-    return S.auroc(rows, ["config"], F.col("score"), F.col("answerable")).join(best, "config")
+    told = S.auroc(rows, ["config"], F.col("score"), F.col("answerable"))
+    return rounded(told.join(best, "config"), ["auroc", "accuracy", "false_answer", "false_abstain"])

@@ -71,8 +71,13 @@ def sql_search(config: Config, k: int = 10) -> str:
         out += f", stage AS (SELECT *, rank AS pos FROM {'d' if config.mode == 'dense' else 's'})"
     else:
         out += f", {RRF if config.fusion == 'rrf' else sql_weighted(config.alpha)}, stage AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, seen, chunk_id) AS pos FROM fused)"
+    return f"{out}, {sql_behind(config, k)}"
+
+
+def sql_behind(config: Config, k: int = 10) -> str:
+    """CTEs from ``stage`` (qid, chunk_id, score, pos) to ``final``."""
     penalty = 1.0 if config.include_refs else config.ref_penalty
-    out += f", pool0 AS (SELECT qid, chunk_id, score, paper, ref, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pos) AS pos FROM stage JOIN docs USING (chunk_id) {'WHERE NOT ref' if penalty <= 0 else ''}), pool AS (SELECT * FROM pool0 WHERE pos <= {config.candidates})"
+    out = f"pool0 AS (SELECT qid, chunk_id, score, paper, ref, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pos) AS pos FROM stage JOIN docs USING (chunk_id) {'WHERE NOT ref' if penalty <= 0 else ''}), pool AS (SELECT * FROM pool0 WHERE pos <= {config.candidates})"
     if config.mode == "hybrid_rerank":
         out += ", scored AS (SELECT p.qid, p.chunk_id, p.paper, p.ref, p.pos, CAST(len(list_intersect(list_distinct(docs.w), list_distinct(items.w))) AS DOUBLE) AS score FROM pool p JOIN docs USING (chunk_id) JOIN items ON items.qid = p.qid)"
     else:
@@ -84,7 +89,52 @@ def sql_search(config: Config, k: int = 10) -> str:
         out += ", rows AS (SELECT qid, chunk_id, paper, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pos) AS rank FROM scored)"
     if config.min_score is not None:
         out += f", floored AS (SELECT * FROM rows WHERE score >= {config.min_score})"
-    return f"{out}, {sql_cap('rows' if config.min_score is None else 'floored', k, config.per_paper, config.floor_share, config.hard_cap)}"
+    source = "rows" if config.min_score is None else "floored"
+    if config.mmr_weight is not None:
+        return f"{out}, {sql_mmr(source, k, config.mmr_weight)}"
+    return f"{out}, {sql_cap(source, k, config.per_paper, config.floor_share, config.hard_cap)}"
+
+
+def sql_mmr(source: str, k: int, weight: float) -> str:
+    """CTEs that end in ``final`` from ``source`` (qid, chunk_id, score, rank): one step after the other."""
+    spread = "max(score) OVER w - min(score) OVER w"
+    steps = [
+        f"rel AS MATERIALIZED (SELECT r.qid, r.chunk_id, r.score, r.rank AS spot, CASE WHEN {spread} > 1e-12 THEN (score - min(score) OVER w) / ({spread}) ELSE 1 END AS rel, CAST(e.embedding AS DOUBLE[]) AS e FROM {source} r JOIN embeddings e ON e.vec_id = r.chunk_id WINDOW w AS (PARTITION BY r.qid))",
+        f"m1 AS MATERIALIZED (SELECT qid, chunk_id, score, e, 1 AS rank FROM rel QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round({weight} * rel, 9) DESC, spot) = 1)",
+    ]
+    for n in range(2, k + 1):
+        like = f"SELECT p.qid, p.chunk_id, any_value(p.score) AS score, any_value(p.e) AS e, any_value(p.rel) AS rel, any_value(p.spot) AS spot, max(list_dot_product(p.e, c.e)) AS near FROM rel p JOIN m{n - 1} c ON c.qid = p.qid WHERE NOT EXISTS (SELECT 1 FROM m{n - 1} o WHERE o.qid = p.qid AND o.chunk_id = p.chunk_id) GROUP BY p.qid, p.chunk_id"
+        steps.append(f"m{n} AS MATERIALIZED (SELECT * FROM m{n - 1} UNION ALL (SELECT qid, chunk_id, score, e, {n} FROM ({like}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round({weight} * rel - {1 - weight} * near, 9) DESC, spot) = 1))")
+    return ", ".join(steps) + f", final AS (SELECT qid, chunk_id, score, rank FROM m{k})"
+
+
+#: Tables of a sweep: ``lists``, the deepest dense and lexical ranking of every query (variant -1) and rephrasing.
+SWEEP = f"""WITH {DOCS.replace(' AS (', ' AS MATERIALIZED (', 1)}, {ITEMS}, {STATS},
+half AS (SELECT qid, w, CAST(ceil(len(w) / 2) AS BIGINT) AS h FROM items),
+asked AS (SELECT qid * 10 AS qid, w FROM half UNION ALL SELECT qid * 10 + 1, w FROM half UNION ALL SELECT qid * 10 + 2, w[1:h] FROM half UNION ALL SELECT qid * 10 + 3, w[h + 1:] FROM half),
+{sql_bm25('asked', 'lex')}, {sql_rank('lex', 'lexical', 120)},
+vectors AS (SELECT i.qid * 10 + n AS qid, embedding FROM items i, range(0, 4) AS r(n) JOIN embeddings e ON e.vec_id = CASE WHEN n = 0 THEN i.qid ELSE i.qid + n - 1 + 100 END),
+near AS (SELECT q.qid, v.vec_id AS chunk_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 12) AS score FROM vectors q CROSS JOIN embeddings v), {sql_rank('near', 'dense', 120)},
+lists AS MATERIALIZED (SELECT qid // 10 AS qid, qid % 10 - 1 AS variant, 0 AS list, chunk_id, score, rank FROM dense UNION ALL SELECT qid // 10, qid % 10 - 1, 1, chunk_id, score, rank FROM lexical)"""
+
+
+def sql_swept(config: Config, k: int = 10) -> str:
+    """CTEs that end in ``final``, from the lists of SWEEP."""
+    fetch = config.candidates * (1 if config.include_refs else 3)
+    own = f"variant BETWEEN 0 AND {config.variants - 1}" if config.variants else "variant = -1"
+    of = {"dense": " AND list = 0", "bm25": " AND list = 1"}.get(config.mode, "")
+    scaled = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
+    score = "max(score)" if of else "sum(1 / (60.0::DOUBLE + rank))"
+    if not of and config.fusion == "weighted":
+        score = f"{config.alpha} * coalesce(max(x) FILTER (WHERE list = 0), 0) + {1 - config.alpha} * coalesce(max(x) FILTER (WHERE list = 1), 0)"
+    out = f"""members AS (SELECT *, {scaled} AS x FROM lists WHERE rank <= {fetch} AND {own}{of} WINDOW w AS (PARTITION BY qid, variant, list)),
+fused AS (SELECT qid, variant, chunk_id, {score} AS score, min(list * 1000000 + rank) AS seen FROM members GROUP BY ALL),
+one AS (SELECT *, row_number() OVER (PARTITION BY qid, variant ORDER BY round(score, 9) DESC, seen, chunk_id) AS pos FROM fused)"""
+    if config.variants:
+        out += ", several AS (SELECT qid, chunk_id, sum(1 / (60.0::DOUBLE + pos)) AS score, min(variant * 1000000 + pos) AS seen FROM one GROUP BY ALL), stage AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, seen, chunk_id) AS pos FROM several)"
+    else:
+        out += ", stage AS (SELECT * FROM one)"
+    return f"WITH {out}, {sql_behind(config, k)}"
 
 
 OUT = "SELECT qid, chunk_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM "
