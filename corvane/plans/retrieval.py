@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.catalog import query
-from corvane.functions.text import is_prose, plain_tokens
+from corvane.functions.text import is_prose, plain_tokens, search_tokens
 from corvane.operators import ranking as R
+from corvane.operators import segments as G
 from corvane.operators.index import bm25
 from corvane.plans.search import CONFIGS, Config, corpus, dense, first_stage, lexical, search
 from corvane.plans.text import TOKENS
-from corvane.session import Fixture, table
+from corvane.session import Fixture, scratch, table, written
+from corvane.sources.manifest import opened
 
 # SQL: base tables of every search
 DOCS = f"docs AS (SELECT doc_id AS chunk_id, source AS paper, doc_id % 7 = 0 AS ref, {TOKENS('text')} AS w FROM documents)"
@@ -292,6 +294,39 @@ def merged_corpus_bm25(spark, sf_dir):
     return shown(R.ranked(bm25(c.chunks.select("chunk_id", "tokens").unionByName(uploads), c.queries), ["qid"], 5))
 
 
+_SESSION = f"""docs AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN doc_id // 4 % 5 ELSE -1 END AS scope, {TOKENS('text')} AS w FROM documents WHERE doc_id % 4 <> 0 OR doc_id // 4 % 5 <> 4),
+items AS (SELECT item_id AS qid, item_id % 5 AS scope, {TOKENS('text')} AS w FROM benchmark),
+scopes AS (SELECT unnest(range(0, 5)) AS scope),
+tot AS (SELECT s.scope, count(*) AS n, avg(len(w)) AS mean_length FROM scopes s JOIN docs d ON d.scope = -1 OR d.scope = s.scope GROUP BY s.scope),
+tf AS MATERIALIZED (SELECT chunk_id, scope, dl, term, count(*) AS tf FROM (SELECT chunk_id, scope, len(w) AS dl, unnest(w) AS term FROM docs) GROUP BY ALL),
+owned AS (SELECT scope, term, count(*) AS df FROM tf GROUP BY scope, term),
+dfs AS (SELECT s.scope, term, sum(df) AS df FROM scopes s JOIN owned o ON o.scope = -1 OR o.scope = s.scope GROUP BY s.scope, term),
+raw AS (SELECT scope, term, ln((n - df + 0.5) / (df + 0.5)) AS v FROM dfs JOIN tot USING (scope)),
+idf AS (SELECT scope, term, CASE WHEN v < 0 THEN 0.25 * avg(v) OVER (PARTITION BY scope) ELSE v END AS idf FROM raw),
+asked AS (SELECT qid, scope, term, count(*) AS asked FROM (SELECT qid, scope, unnest(w) AS term FROM items) GROUP BY ALL),
+lex AS (SELECT * FROM (SELECT qid, chunk_id, sum(idf * asked * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean_length))) AS score FROM asked a JOIN idf USING (scope, term) JOIN tf ON tf.term = a.term AND (tf.scope = -1 OR tf.scope = a.scope) JOIN tot USING (scope) GROUP BY qid, chunk_id) WHERE score > 0),
+near AS (SELECT i.qid, d.chunk_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 12) AS score FROM items i JOIN embeddings q ON q.vec_id = i.qid JOIN docs d ON d.scope = -1 OR d.scope = i.scope JOIN embeddings v ON v.vec_id = d.chunk_id)"""
+
+
+@query("session_search", f"WITH {_SESSION}, {sql_rank('near', 'd', 20)}, {sql_rank('lex', 's', 20)}, {RRF}, {sql_rank('fused', 'r', 5, 'seen, chunk_id')} {OUT} r")
+def session_search(spark, sf_dir):
+    """Five sessions' questions, each over the corpus and the session's own uploads; the last session has ended, its uploads are retracted.
+
+    Three documents in four are the corpus, the others uploads, which come in two segments.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", search_tokens(F.col("text")).alias("tokens"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    owner = F.floor(F.col("doc_id") / 4) % 5
+    scope = F.when(F.col("doc_id") % 4 != 0, G.CORPUS).otherwise(owner.cast("string"))
+    chunks = written(docs.join(vectors, "doc_id", "left").select(scope.alias("scope"), F.col("doc_id").alias("chunk_id"), "tokens", "vector"), "session-chunks")
+    index = G.add(opened(spark, scratch(spark, "session-index")), chunks.where(F.col("scope") == G.CORPUS))
+    for part in (0, 1):
+        index = G.add(index, chunks.where((F.col("scope") != G.CORPUS) & (F.col("chunk_id") % 8 == 4 * part)))
+    index = G.retract(index, spark.createDataFrame([("4",)], "scope string"))
+    queries = corpus(spark, sf_dir).queries.withColumn("scope", (F.col("qid") % 5).cast("string"))
+    return shown(G.search(G.View(index), queries, 5, 20))
+
+
 @query("compare_modes", " UNION ALL ".join(f"SELECT '{m}' AS mode, qid, chunk_id, CAST(rank AS BIGINT) AS rank FROM ({sql_search(CONFIGS[m], 3)} SELECT * FROM final)" for m in ("dense", "bm25", "hybrid", "hybrid_rerank")))
 def compare_modes(spark, sf_dir):
     c = corpus(spark, sf_dir)

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources import manifest
+
 CHUNK = "chunk_id string, arxiv_id string, title string, year string, page_start int, page_end int, is_reference boolean, n_tokens int, chunk_index int, text string, table_note string, table_markdown string, table_grid_source string, figure_note string, figure_images string"
 QUERY = "qid string, category string, question string, source string, relevant array<struct<chunk_id:string,text_hash:string>>, evidence array<string>"
 TABLE = "array<struct<page:int,caption:string,markdown:string,n_rows:int,n_cols:int>>"
@@ -63,14 +65,22 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "part").parquet(path)
 
 
-def write_index(chunks: DataFrame, vectors: DataFrame, postings: DataFrame, path: str) -> None:
-    """The tables of an index in one folder."""
-    for name, rows in (("chunks", chunks), ("vectors", vectors), ("postings", postings)):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+def write_index(spark: SparkSession, root: str, chunks: DataFrame, vectors: DataFrame, postings: DataFrame, model: str, dimensions: int) -> manifest.Version:
+    """The tables of an index and what they were made with, published at once (see manifest.py): readers see all of it or the version before.
+
+    Facts: model, dim, chunks, and how many chunks have a table note, a rebuilt table, a figure note.
+    """
+    noted = [c for c in ("table_note", "table_markdown", "figure_note") if c in chunks.columns]
+    counts = chunks.agg(F.count(F.lit(1)).alias("chunks"), *[F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(c) for c in noted]).first().asDict()
+    return manifest.publish(manifest.opened(spark, root), replace={"chunks": chunks, "vectors": vectors, "postings": postings}, facts={"model": model, "dim": dimensions, **counts})
 
 
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "postings")}
+def read_index(spark: SparkSession, root: str, version: int | None = None) -> manifest.Version:
+    """The newest version of an index, or one of this number: tables chunks, vectors, postings, and facts."""
+    found = manifest.opened(spark, root, version)
+    if not found.number:
+        raise FileNotFoundError(f"no index at {root}")
+    return found
 
 
 def report(rows: DataFrame, columns: list[str], percent: tuple[str, ...] = ()) -> str:

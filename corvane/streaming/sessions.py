@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.functions.text import search_tokens
+from corvane.operators.segments import add_and_retract
+from corvane.sources.manifest import opened
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -36,3 +38,23 @@ def index_chunks(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return postings.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_sessions(events: DataFrame, root: str, checkpoint: str, name: str = "sessions") -> StreamingQuery:
+    """Keeps the segmented index at ``root`` (operators/segments.py) up with a stream of (scope, at, action, chunk_id, text) and vector, if there.
+
+    ``upload`` adds a chunk to its scope, ``end`` retracts what the scope has uploaded before ``at``. A batch is one version of
+    the index; its number goes with the version, so a batch that runs again after a failure changes nothing.
+    """
+    spark = events.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        base = opened(spark, root)
+        if base.facts.get(f"batch {name}", -1) >= number:
+            return
+        ended = batch.where(F.col("action") == "end").groupBy("scope").agg(F.max("at").alias("_ended"))
+        came = batch.where(F.col("action") == "upload").join(ended, "scope", "left").where(F.col("_ended").isNull() | (F.col("at") > F.col("_ended")))
+        chunks = came.select("scope", "chunk_id", search_tokens(F.col("text")).alias("tokens"), *(["vector"] if "vector" in batch.columns else []))
+        add_and_retract(base, chunks, ended.select("scope"), **{f"batch {name}": number})
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
