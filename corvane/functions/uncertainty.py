@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from corvane.functions.text import let
+
 LEAST = 1e-12
 
 
@@ -128,9 +131,91 @@ def clamped(values: Column) -> Column:
 
 
 def contrast(values: Column, p: Column) -> Column:
-    mean = total(values) / F.size(values)
-    return clamped(F.transform(values, lambda x: (x - mean) * p + mean))
+    return clamped(let(total(values) / F.size(values), lambda mean: F.transform(values, lambda x: (x - mean) * p + mean)))
 
 
 def brightness(values: Column, p: Column) -> Column:
     return clamped(F.transform(values, lambda x: x + p))
+
+
+def normal_draws(row: Column, n: int, seed: int = 0) -> Column:
+    """``n`` standard normal numbers of a row, each from the digest of seed, row and its place: no partitioning changes them."""
+
+    def draw(i: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), i.cast("string")).cast("binary"))
+        whole = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double")
+        return F.sqrt(-2 * F.log((whole(1) + 1) / float(2**32 + 1))) * F.cos(2 * math.pi * whole(9) / float(2**32))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)
+
+
+def noise(values: Column, draws: Column, deviation: Column) -> Column:
+    """Noise of this deviation on top."""
+    return clamped(F.zip_with(values, draws, lambda x, z: x + z * deviation))
+
+
+def blur_weights(n: int, sigma: float) -> np.ndarray:
+    """What each of ``n`` pixels in a line takes of the others: a Gaussian of three deviations on either side, mirrored at the ends."""
+    reach = round(3 * sigma)
+    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    out = np.zeros((n, n))
+    turn = max(1, 2 * (n - 1))
+    for i in range(n):
+        for k, weight in enumerate(taps):
+            at = (i + k - reach) % turn
+            out[i, min(at, turn - at)] += weight
+    return out
+
+
+def box_weights(n: int, factor: float) -> np.ndarray:
+    """The same for blocks: a line averaged down to ``factor`` of its length by overlapping boxes, and blown up again."""
+    small = max(1, int(n * factor))
+    out = np.zeros((n, n))
+    for i in range(n):
+        box = i * small // n
+        first, last = box * n // small, -(-(box + 1) * n // small)
+        out[i, first:last] = 1 / (last - first)
+    return out
+
+
+def resampled(weights: Callable[[int, float], np.ndarray], parameter: float, shape: tuple[int, int, int]) -> Callable[[Column], Column]:
+    """A column function: pixels (channels, height, width, in one array) mixed along both axes, each channel by itself.
+
+    Arrays of another length give null.
+    """
+    channels, height, width = shape
+    mixed = np.kron(np.eye(channels), np.kron(weights(height, parameter), weights(width, parameter)))
+
+    def run(parts: pd.Series) -> pd.Series:
+        there = [i for i, v in enumerate(parts) if v is not None and len(v) == len(mixed)]
+        out: list = [None] * len(parts)
+        if there:
+            rows = np.stack([np.asarray(parts.iloc[i], dtype=np.float64) for i in there]) @ mixed.T
+            for i, row in zip(there, np.clip(rows, 0.0, 1.0), strict=True):
+                out[i] = row
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")
+
+
+def corrupted(rows: DataFrame, row: str, values: str, shape: tuple[int, int, int], levels: dict[str, tuple[float, ...]], seed: int = 0) -> DataFrame:
+    """``rows`` under each kind and severity (from 1): kind, severity and the changed ``values``, all in 0 to 1.
+
+    Kinds: gaussian_noise (deviation), gaussian_blur (sigma), contrast (factor), brightness (what is added), pixelate (factor).
+    Arrays of another length than the shape's give null.
+    """
+    channels, height, width = shape
+    e, size = F.col("_e"), channels * height * width
+    channel = lambda i: F.slice(e, i * height * width + 1, height * width)
+    each = F.sequence(F.lit(0), F.lit(channels - 1))
+    drawn = rows.withColumns({"_e": F.when(F.size(values) == size, F.col(values)), "_draws": normal_draws(F.col(row), size, seed)})
+    make = {
+        "gaussian_noise": lambda p: noise(e, F.col("_draws"), F.lit(p)),
+        "gaussian_blur": lambda p: resampled(blur_weights, p, shape)(e),
+        "contrast": lambda p: F.flatten(F.transform(each, lambda i: contrast(channel(i), F.lit(p)))),
+        "brightness": lambda p: brightness(e, F.lit(p)),
+        "pixelate": lambda p: resampled(box_weights, p, shape)(e),
+    }
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("severity"), make[kind](p).alias(values)) for kind, own in levels.items() for i, p in enumerate(own, 1)])
+    return drawn.select(*[c for c in rows.columns if c != values], F.inline(kinds))

@@ -29,6 +29,30 @@ def lru_evict(spark, sf_dir):
     return S.evicted(used, "user_id", "used", F.lit(now), 36000, 10)
 
 
+def _sql_lru(ttl: int, most: int) -> str:
+    """By another road than the operator: how many other users came between a use and the next one of the same user."""
+    return f"""WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events),
+u AS MATERIALIZED (SELECT *, lead(pos) OVER w AS after, lead(t) OVER w AS after_t, row_number() OVER w AS nth FROM a WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+c AS (SELECT x.pos, count(DISTINCT o.user_id) AS others FROM u x JOIN u o ON o.pos > x.pos AND o.pos < coalesce(x.after, 1000000000) AND o.t <= x.t + {ttl * 1_000_000} GROUP BY x.pos),
+f AS (SELECT u.*, coalesce(others, 0) >= {most} AS closed FROM u LEFT JOIN c USING (pos)),
+n AS (SELECT *, coalesce(lag(closed) OVER w OR t - lag(t) OVER w > {ttl * 1_000_000}, true) AS fresh FROM f WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+s AS (SELECT *, CAST(sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY pos) AS BIGINT) AS session FROM n)
+SELECT user_id, session, make_timestamp(min(t)) AS started, make_timestamp(max(t)) AS ended, count(*) AS n,
+  CASE WHEN arg_max(closed, pos) THEN 'over capacity' WHEN (SELECT max(t) FROM a) - max(t) > {ttl * 1_000_000} THEN 'idle' ELSE 'open' END AS reason FROM s GROUP BY user_id, session"""
+
+
+@query("lru_sessions", _sql_lru(3600, 50))
+def lru_sessions(spark, sf_dir):
+    """Sessions of all users when fifty may be open and an hour idle."""
+    return S.lru_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+
+
+@query("lru_sessions_crowded", _sql_lru(86400, 10))
+def lru_sessions_crowded(spark, sf_dir):
+    """The same with ten places and a day, so that most sessions are closed for others."""
+    return S.lru_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86400, 10, block_rows=2_000)
+
+
 @query("history_window", "SELECT conv_id, turn, coalesce(string_agg(CAST(length(text) AS VARCHAR), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS lengths FROM conversations")
 def history_window(spark, sf_dir):
     turns = S.history(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")

@@ -8,11 +8,15 @@ from corvane.catalog import query
 from corvane.functions import uncertainty as U
 from corvane.operators import statistics as S
 from corvane.plans.evaluation import rounded, sql_auroc
-from corvane.session import Fixture, table
+from corvane.session import Fixture, table, written
 
 # fixed values: factors of the corruptions by severity
+NOISE = (0.04, 0.06, 0.08, 0.09, 0.10)
+BLUR = (0.4, 0.6, 0.7, 0.8, 1.0)
 CONTRAST = (0.75, 0.5, 0.4, 0.3, 0.15)
 BRIGHTNESS = (0.05, 0.1, 0.15, 0.2, 0.3)
+PIXELATE = (0.95, 0.9, 0.85, 0.75, 0.65)
+CORRUPTIONS = {"gaussian_noise": NOISE, "gaussian_blur": BLUR, "contrast": CONTRAST, "brightness": BRIGHTNESS, "pixelate": PIXELATE}
 PRIMARY = {"softmax": "msp", "ensemble": "mutual_information", "edl": "vacuity"}
 
 
@@ -278,34 +282,45 @@ def _clamp(x: str) -> str:
     return f"greatest(0.0, least(1.0, {x}))"
 
 
-_VALUES = lambda values: "[" + ", ".join(map(repr, values)) + "]"
-_CON = f"list_transform(e, lambda x: {_clamp('(x - list_sum(e) / len(e)) * f + list_sum(e) / len(e)')})"
-_BRI = f"list_transform(e, lambda x: {_clamp('x + f')})"
-_DIMS = "SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS e FROM embeddings"
+#: Vectors stand in for images: one channel of eight by eight pixels, moved to about the middle of 0 to 1.
+SHAPE = (1, 8, 8)
+_PIXELS = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE + 0.5) AS e FROM embeddings"
+_MATRIX = lambda m: "[" + ", ".join("[" + ", ".join(map(repr, row)) + "]" for row in m.tolist()) + "]::DOUBLE[][]"
+_LEVELS = "(VALUES " + ", ".join(f"('{kind}', {i}, {p}::DOUBLE, {_MATRIX(how(8, p)) if how else 'NULL'})" for kind, (values, how) in {"gaussian_noise": (NOISE, None), "gaussian_blur": (BLUR, U.blur_weights), "contrast": (CONTRAST, None), "brightness": (BRIGHTNESS, None), "pixelate": (PIXELATE, U.box_weights)}.items() for i, p in enumerate(values, 1)) + ") AS l(kind, severity, f, m)"
+_DRAW = "lambda x, i: " + _clamp("x + f * sqrt(-2 * ln((('0x' || left(md5(concat('0:', vec_id, ':', i - 1)), 8))::BIGINT + 1)::DOUBLE / 4294967297::DOUBLE)) * cos(2 * pi() * ('0x' || substr(md5(concat('0:', vec_id, ':', i - 1)), 9, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE)")
+_ACROSS = "list_transform(range(0, 64), lambda i: list_dot_product(m[i % 8 + 1], e[i // 8 * 8 + 1:i // 8 * 8 + 8]))"
+_DOWN = f"list_transform(range(0, 64), lambda i: {_clamp('list_dot_product(m[i // 8 + 1], list_transform(range(0, 8), lambda a: h[a * 8 + i % 8 + 1]))')})"
+_CHANGED = f"""v AS ({_PIXELS}), w AS (SELECT *, {_ACROSS} AS h FROM v, {_LEVELS}),
+x AS (SELECT vec_id, label, kind, severity, CASE kind WHEN 'gaussian_noise' THEN list_transform(e, {_DRAW})
+WHEN 'contrast' THEN list_transform(e, lambda x: {_clamp('(x - list_sum(e) / len(e)) * f + list_sum(e) / len(e)')}) WHEN 'brightness' THEN list_transform(e, lambda x: {_clamp('x + f')}) ELSE {_DOWN} END AS e FROM w)"""
+#: What stands for a changed vector in the queries: the sum of its pixels, and of pixels times their place.
+_SUMS = "round(list_sum(e), 6) AS total, round(list_sum(list_transform(e, lambda x, i: x * i)), 4) AS placed"
 
 
-@query("corrupt_contrast", f"WITH v AS ({_DIMS}) SELECT vec_id, severity, round(list_sum({_CON}), 9) AS total FROM (SELECT *, unnest(range(1, 6)) AS severity, unnest({_VALUES(CONTRAST)}::DOUBLE[]) AS f FROM v)")
-def corrupt_contrast(spark, sf_dir):
-    return corrupted(spark, sf_dir).where("kind = 'contrast'").select("vec_id", F.col("severity").cast("long").alias("severity"), F.round(U.total(F.col("e")), 9).alias("total"))
+def _corrupt(kind: str):
+    def run(spark, sf_dir):
+        rows = corrupted(spark, sf_dir).where(F.col("kind") == kind)
+        placed = U.total(F.transform("e", lambda x, i: x * (i + 1)))
+        return rows.select("vec_id", F.col("severity").cast("long").alias("severity"), F.round(U.total(F.col("e")), 6).alias("total"), F.round(placed, 4).alias("placed"))
+
+    return run
+
+
+for _kind in ("gaussian_noise", "gaussian_blur", "contrast", "brightness", "pixelate"):
+    query(f"corrupt_{_kind.removeprefix('gaussian_')}", f"WITH {_CHANGED} SELECT vec_id, CAST(severity AS BIGINT) AS severity, {_SUMS} FROM x WHERE kind = '{_kind}'")(_corrupt(_kind))
 
 
-@query("corrupt_brightness", f"WITH v AS ({_DIMS}) SELECT vec_id, severity, round(list_sum({_BRI}), 9) AS total FROM (SELECT *, unnest(range(1, 6)) AS severity, unnest({_VALUES(BRIGHTNESS)}::DOUBLE[]) AS f FROM v)")
-def corrupt_brightness(spark, sf_dir):
-    return corrupted(spark, sf_dir).where("kind = 'brightness'").select("vec_id", F.col("severity").cast("long").alias("severity"), F.round(U.total(F.col("e")), 9).alias("total"))
+def pixels(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") + 0.5).alias("e"))
 
 
 def corrupted(spark, sf_dir):
-    """vec_id, label, kind, severity, e: the first ten dimensions under each corruption."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("_e"))
-    make = {"contrast": (CONTRAST, U.contrast), "brightness": (BRIGHTNESS, U.brightness)}
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("severity"), how(F.col("_e"), F.lit(p)).alias("e")) for k, (values, how) in make.items() for i, p in enumerate(values, 1)])
-    return rows.select("vec_id", "label", F.inline(kinds))
+    """vec_id, label, kind, severity, e: whole vectors under each corruption."""
+    return U.corrupted(pixels(spark, sf_dir), "vec_id", "e", SHAPE, CORRUPTIONS)
 
 
-_COR = f"""WITH v AS ({_DIMS}), x AS (SELECT vec_id, label, 'contrast' AS kind, severity, {_CON} AS e FROM (SELECT *, unnest(range(1, 6)) AS severity, unnest({_VALUES(CONTRAST)}::DOUBLE[]) AS f FROM v)
-UNION ALL SELECT vec_id, label, 'brightness', severity, {_BRI} FROM (SELECT *, unnest(range(1, 6)) AS severity, unnest({_VALUES(BRIGHTNESS)}::DOUBLE[]) AS f FROM v)
-UNION ALL SELECT vec_id, label, 'none', 0, e FROM v),
-s AS (SELECT vec_id, label, kind, severity, list_transform(e, lambda u: 5 * u) AS l FROM x), q AS (SELECT *, {_sm('l')} AS probs FROM s),
+_COR = f"""WITH {_CHANGED.replace('AS e FROM w)', "AS e FROM w UNION ALL SELECT vec_id, label, 'none', 0, e FROM v)")},
+s AS (SELECT vec_id, label, kind, severity, list_transform(e[1:10], lambda u: 5 * u) AS l FROM x), q AS (SELECT *, {_sm('l')} AS probs FROM s),
 r AS (SELECT *, 1 - list_max(probs) AS unc, list_position(probs, list_max(probs)) - 1 = label AS correct, {_BIN} AS bin FROM q),
 b AS (SELECT kind, severity, bin, count(*) AS n, sum(correct::INT) AS c, sum(list_max(probs)) AS conf, sum(unc) AS u FROM r GROUP BY ALL),
 m AS (SELECT kind, severity, sum(c) / sum(n) AS accuracy, sum(abs(c - conf)) / sum(n) AS ece, sum(u) / sum(n) AS uncertainty FROM b GROUP BY ALL),
@@ -317,12 +332,14 @@ _SHIFT = ("accuracy", "ece", "uncertainty", "shift_auroc")
 
 
 def corruption_rows(spark, sf_dir):
-    plain = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit("none").alias("kind"), F.lit(0).alias("severity"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("e"))
-    rows = plain.unionByName(corrupted(spark, sf_dir)).withColumn("probs", U.softmax(F.transform("e", lambda x: x * 5)))
+    """Ten classes are read from the first ten pixels."""
+    plain = pixels(spark, sf_dir).withColumns({"kind": F.lit("none"), "severity": F.lit(0)})
+    rows = plain.unionByName(corrupted(spark, sf_dir)).withColumn("probs", U.softmax(F.transform(F.slice("e", 1, 10), lambda x: x * 5)))
+    rows = written(rows.drop("e"), "corrupted-predictions")
     rows = rows.withColumn("unc", U.msp(F.col("probs"))).withColumn("correct", U.argmax(F.col("probs")) == F.col("label"))
     out = calibration(rows, ["kind", "severity"]).select("kind", "severity", "accuracy", "ece").join(rows.groupBy("kind", "severity").agg(F.avg("unc").alias("uncertainty")), ["kind", "severity"])
     # the clean rows stand beside those of each corruption and severity
-    every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("severity")) for k in ("contrast", "brightness") for i in range(1, 6)]))
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("severity")) for k in CORRUPTIONS for i in range(1, 6)]))
     clean = rows.where("severity = 0").select("unc", every.alias("_k")).select("_k.*", "unc", F.lit(False).alias("shifted"))
     both = clean.unionByName(rows.where("severity > 0").select("kind", "severity", "unc", F.lit(True).alias("shifted")))
     shift = S.auroc(both, ["kind", "severity"], F.round("unc", 9), F.col("shifted"))
