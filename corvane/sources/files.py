@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.sources import manifest
@@ -55,6 +55,37 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
+#: fixed values: how whole numbers and others are written (with underscores between digits, signs, and the names of those that are none)
+WHOLE = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+NUMBER = r"^\s*[+-]?(([0-9]+(_[0-9]+)*)?\.[0-9]+(_[0-9]+)*|[0-9]+(_[0-9]+)*\.?)([eE][+-]?[0-9]+(_[0-9]+)*)?\s*$"
+NO_NUMBER = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
+
+
+def own_type(text: Column) -> Column:
+    """A text as a VARIANT of its own type: a boolean (True, False), a whole number, another number, or the text itself.
+
+    Whole numbers of more than 38 digits are kept as text.
+    """
+    plain = F.regexp_replace(F.trim(text), "_", "")
+    digits = F.length(F.regexp_replace(plain, "[^0-9]", ""))
+    special = F.when(F.lower(plain).contains("nan"), F.lit(float("nan"))).when(F.startswith(plain, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return (
+        F.when(text.isin("True", "False"), (text == "True").cast("variant"))
+        .when(text.rlike(WHOLE) & (digits <= 18), plain.try_cast("long").cast("variant"))
+        .when(text.rlike(WHOLE) & (digits <= 38), plain.try_cast("decimal(38,0)").cast("variant"))
+        .when(text.rlike(WHOLE), text.cast("variant"))
+        .when(text.rlike(NUMBER), plain.try_cast("double").cast("variant"))
+        .when(text.rlike(NO_NUMBER), special.cast("variant"))
+        .otherwise(text.cast("variant"))
+    )
+
+
+def read_values(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header; each value has its own type, so all columns are VARIANT."""
+    rows = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\x00").option("emptyValue", "").csv(path)
+    return rows.select(*[own_type(F.col(f"`{c}`")).alias(c) for c in rows.columns])
+
+
 def read_run(spark: SparkSession, path: str, run: str) -> DataFrame:
     """One run's rows of a results table partitioned by ``run``: only its folder is read."""
     return spark.read.parquet(path).where(F.col("run") == run)
