@@ -243,6 +243,13 @@ PROBES = {
     "<!---><article><p>A b.</p><!-- x --!><p>c</p></article>": "A b.\nc",
     "<article><div class='tag-line'>Whole text of this.</div><div class='search-results-study'><p>Study text here.</p></div></article>": "Whole text of this.\nStudy text here.",
     "<article><p>x</p><svg><text>no</text></svg><p>y<script/>z</p></script>w <a href=/>l</a> a < b</article>": "x\ny w l a < b",
+    # teasers in articles, links that are never closed, names on paragraphs, names on what the page is about, hidden parts
+    "<nav><a href=/>Home</a></nav><div id=content><h1>Story</h1><p>The whole story stands here, with many words that tell of things that happened long ago.</p><p>It goes on.</p></div><article><h2><a href=1>Teaser one</a></h2></article><article><h2><a href=2>Teaser two</a></h2></article>": "Story\nThe whole story stands here, with many words that tell of things that happened long ago.\nIt goes on.",
+    "<article><p>One <a href=1>link</p><p>Two is a paragraph of text.</p></article>": "One link\nTwo is a paragraph of text.",
+    "<article><p>Some text that is here to be read by all.</p><p class=advert>Buy this now.</p><p id=cookie-notice>We use cookies.</p><p>More text to read here.</p></article>": "Some text that is here to be read by all.\nMore text to read here.",
+    "<article><section id=legal><p>First paragraph about the law of the land.</p><p>Second one.</p><p>Last one of them.</p></section></article>": "First paragraph about the law of the land.\nSecond one.\nLast one of them.",
+    "<article><p>Before.</p><section class=promotion><p>First paragraph about the law of the land.</p><p>Second one is here.</p><p>Last one of them.</p></section></article>": "Before.\nFirst paragraph about the law of the land.\nSecond one is here.\nLast one of them.",
+    "<article><p>Seen by all of us.</p><p hidden>Not seen.</p><div style='display:none'>Nor this <p>or that</p></div><p>A <span hidden>secret</span> word.</p><p style='color:red; display : none'>x</p><p data-hidden=1 title='hidden'>Shown.</p></article>": "Seen by all of us.\nA word.\nShown.",
     "<article><p title=a=\"b>One</p><p>Two \"quoted\" words</p></article>": 'One\nTwo "quoted" words',
 }
 
@@ -269,6 +276,28 @@ HELD_OUT = (
 )
 
 
+# pages of the kinds that an article mark, a name or a link may mislead on; not in the tree's table
+HELD_OUT_2 = (
+    ("<header><a href=/>The Valley Post</a></header><div class='story-body'><h1>New bridge opens</h1><p>After four years of work the bridge over the Ilm was opened to traffic on Monday, a month before it was due.</p><p>The mayor cut a ribbon.</p><p>Lorries must still use the old road until the banks on the east side have been made firm.</p></div><div class=more><article><a href=1>School gets new roof</a></article><article><a href=2>Swimming pool closed</a></article><article><a href=3>Choir seeks tenors</a></article></div><footer>Imprint and contact</footer>", "0 1111 000 0"),
+    ("<div id=page><h2>Counting swifts</h2><p>Each July we stand on the roof of the library at dusk and count the swifts as they come in to roost.</p><p>There were eighty-two.</p></div><article class=teaser><h3><a href=9>Owls in the barn</a></h3><p>A camera shows the nest.</p></article>", "111 00"),
+    ("<article><h1>Bread prices</h1><p>A loaf now costs twice what it did ten years ago, and bakers say that flour is only part of the reason.</p><p class='ad-slot'>Fresh rolls to your door each morning, first week free.</p><p>Power is the other part.</p><p class=subscribe>Never miss a story again.</p></article>", "11 0 1 0"),
+    ("<article><p id=intro>The library lends tools as well as books, and the drill is out more often than any novel.</p><p role=note>Ladders may be kept for three days.</p><p class='sponsor'>Supported by Miller and Sons, makers of fine saws.</p></article>", "11 0"),
+    ("<main><h1>Copyright in songs</h1><section id=copyright><p>A tune of four bars may be free to use while the words to it are not, and the other way round.</p><p>Courts differ.</p><p>Who sings for money should ask first, and who sings at home need not ask at all.</p></section></main><div class=cookie-layer>Accept all cookies</div>", "1111 0"),
+    ("<article><h1>Why adverts work</h1><div class=advertisement-history><p>The first of them were painted on walls, and some can still be read in the old town after rain.</p><p>Nobody buys that soap now.</p></div></article><div class=advertisement>Soap like it used to be, three bars for two.</div>", "111 0"),
+    ("<article><p>See the <a href=1>old map<p>On it the river bends twice before the mill, and a ford is drawn where the bridge is today.<p>The ford is gone.</article>", "111"),
+    ("<nav><a href=1>One</a></nav><article><p>Some of the stones bear marks that nobody has been able to read so far.</p><p hidden>Draft: check with the museum.</p><div style='display: none'><p>Old text.</p></div><p>They may be numbers.</p></article>", "0 11"),
+    ("<article><h2>Tuesday</h2><p>Fog until noon, then sun, with light winds from the south and no frost at night.</p></article><article><h2>Wednesday</h2><p>Rain from the west in the morning, and by evening snow above nine hundred metres.</p></article><aside><p>The weather desk is open from six to ten on all days.</p></aside>", "1111 0"),
+    ("<ul class=breadcrumbs><li><a href=1>Home</a></li><li>Gardens</li></ul><div class=entry><h1>Pruning pears</h1><p>Cut in late winter, on a dry day, and leave no stub on which water can stand.</p><ol><li>Dead wood first</li><li>Then what crosses</li></ol></div><div class=share-bar>Tell your friends</div><div id=disqus><p>Mine bore nothing after I did this, so take care.</p></div>", "00 1111 0 0"),
+)
+
+
+def test_tree_on_pages_that_mislead():
+    tree = html_text.train(*html_text.labelled())
+    rows, labels = html_text.labelled(HELD_OUT_2)
+    right = [(html_text.score(tree, r) >= 0.5) == bool(y) for r, y in zip(rows, labels)]
+    assert sum(right) >= 46 and len(right) == 50
+
+
 def test_tree_on_pages_it_has_not_seen():
     tree = html_text.train(*html_text.labelled())
     rows, labels = html_text.labelled(HELD_OUT)
