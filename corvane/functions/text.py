@@ -6,6 +6,7 @@ White space and word characters are Unicode's, as ``(?U)`` has it. All functions
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,6 +50,26 @@ def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None and not t.isascii() else t)
 
 
+@cache
+def _composable() -> str:
+    """A class of the characters that compatibility composition may change, alone or with the one before."""
+    import unicodedata
+
+    changed = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFKC", chr(c)) != chr(c) or unicodedata.combining(chr(c)) or 0x1160 <= c < 0x1200)]
+    ranges: list[list[int]] = []
+    for c in changed:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "\\x{10000}-\\x{10FFFF}]"
+
+
+def composed(text: Column) -> Column:
+    """NFKC of a text. Only texts with a character that it may change leave the JVM."""
+    return F.coalesce(nfkc(F.when(text.rlike(_composable()), text)), text)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -64,10 +85,11 @@ def one_spaced(text: Column) -> Column:
 
 def clean_page(text: Column) -> Column:
     """Lines joined to running text, without page numbers at either end, stamps and line-end hyphens."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
     junk = lambda x: x.rlike(JUNK_LINES[0]) | x.rlike(JUNK_LINES[1]) | x.rlike(JUNK_LINES[2])
     edge = lambda i, n: (i == 0) | (i == n - 1)
-    kept = F.filter(lines, lambda x, i: ~(edge(i, F.size(lines)) & x.rlike(r"^\d{1,4}$")) & ~junk(x))
+    filled = lambda pieces: F.filter(F.transform(pieces, strip), lambda x: x != "")
+    content = lambda lines: F.filter(lines, lambda x, i: ~(edge(i, F.size(lines)) & x.rlike(r"^\d{1,4}$")) & ~junk(x))
+    kept = let(F.split(composed(text), "\n"), lambda pieces: let(filled(pieces), content))
     joined = F.regexp_replace(F.array_join(kept, "\n"), r"(?U)(\w)-\n(\w)", "$1$2")
     return strip(F.regexp_replace(joined, r"(?U)\s+", " "))
 
@@ -124,9 +146,9 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def search_tokens(text: Column, compose: bool = False) -> Column:
-    """Tokens of the lexical index: name-number joined, aliases resolved; ``compose`` applies nfkc() first."""
-    lowered = F.lower(nfkc(text) if compose else text)
+def search_tokens(text: Column) -> Column:
+    """Tokens of the lexical index: composed by compatibility, name-number joined, aliases resolved."""
+    lowered = F.lower(composed(text))
     joined = F.regexp_replace(lowered, r"\b([a-z]+)-(\d+)\b", "$1$2")
     aliases = F.create_map(*[F.lit(x) for pair in TOKEN_ALIASES.items() for x in pair])
     return F.transform(F.regexp_extract_all(joined, F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.coalesce(F.try_element_at(aliases, t), t))

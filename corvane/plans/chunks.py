@@ -126,6 +126,7 @@ def semantic_breaks(spark, sf_dir):
 HITS = Fixture(
     "qid string, n int, arxiv_id string, title string, year string, page_start int, page_end int, text string, grid string, figure_note string",
     [("q1", 1, "a", "T a", "2017", 1, 1, "one  two", "| g |", None), ("q1", 2, "b", "", "", 2, 3, "three", "| g |", "Figure 1: x"), ("q1", 3, "c", "T c", "2020", 4, 4, "four\nfive", "", None), ("q2", 1, "a", "T a", "2017", 1, 1, "one", None, None)],
+    per="pages", ids="qid", texts="text",
 )
 
 
@@ -142,7 +143,7 @@ def build_prompt(spark, sf_dir):
     grid = F.when((F.col("grid") != "") & (F.col("_seen") == 1), F.concat(F.lit("\nTable from this source, rebuilt as a grid:\n"), "grid", F.lit("\n"))).otherwise("")
     figure = F.when(F.col("figure_note") != "", F.concat(F.lit("\nFigures on these pages: "), "figure_note", F.lit("\n"))).otherwise("")
     part = F.concat(F.lit("["), tag, F.lit("]\n"), T.one_spaced(F.col("text")), F.lit("\n"), grid, figure)
-    parts = HITS.frame(spark).withColumn("_seen", seen).select("qid", "n", part.alias("part"))
+    parts = HITS.frame(spark, sf_dir).withColumn("_seen", seen).select("qid", "n", part.alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n")
     return parts.groupBy("qid").agg(joined.alias("_j")).select("qid", F.concat(F.lit("Sources:\n\n"), "_j", F.lit("\n\nQuestion: "), "qid").alias("prompt"))
 
@@ -160,8 +161,9 @@ SPLIT_CHUNKS = Fixture(
         ("c", 0, " ".join(str(i) for i in range(200, 240)), 5, 5),
         ("c", 1, "1 2 3", 6, 6),
     ],
+    per="benchmark", ids="paper",
 )
-SPLIT_HITS = Fixture("qid string, paper string, idx int, rank int", [("q1", "a", 0, 1), ("q1", "a", 2, 2), ("q1", "b", 0, 3), ("q1", "b", 1, 4), ("q2", "b", 1, 1), ("q2", "a", 1, 2), ("q2", "c", 0, 3), ("q2", "c", 1, 4), ("q3", "a", 3, 1), ("q3", "c", 0, 2)])
+SPLIT_HITS = Fixture("qid string, paper string, idx int, rank int", [("q1", "a", 0, 1), ("q1", "a", 2, 2), ("q1", "b", 0, 3), ("q1", "b", 1, 4), ("q2", "b", 1, 1), ("q2", "a", 1, 2), ("q2", "c", 0, 3), ("q2", "c", 1, 4), ("q3", "a", 3, 1), ("q3", "c", 0, 2)], per="benchmark", ids="qid paper")
 _CELLS = lambda w: f"len(list_filter({w}, lambda t: regexp_matches(t, {QUOTE(T.TABLE_TOKEN)}))) / 30 >= 0.5"
 _JOINED = lambda a, b: f"CASE WHEN {b} IS NULL OR {a} IS NULL THEN coalesce({a}, {b}) ELSE coalesce({a} || substring({b}, 1 + list_max(list_filter(range(20, least(length({a}), length({b})) + 1), lambda k: right({a}, k) = left({b}, k)))), concat({a}, ' ', {b})) END"
 
@@ -180,8 +182,8 @@ SELECT qid, rank, paper, idx, least(page_start, coalesce(ps, page_start)) AS pag
 )
 def expand_split_tables(spark, sf_dir):
     """Hits that begin or end within a table take the chunk before or behind along."""
-    chunks = SPLIT_CHUNKS.frame(spark)
-    hits = SPLIT_HITS.frame(spark).join(chunks, ["paper", "idx"])
+    chunks = SPLIT_CHUNKS.frame(spark, sf_dir)
+    hits = SPLIT_HITS.frame(spark, sf_dir).join(chunks, ["paper", "idx"])
     out = E.expand_split_tables(hits, chunks, ["qid"])
     return out.select("qid", "rank", "paper", "idx", "page_start", "page_end", "text", T.present(F.array_join(F.transform("expanded_with", lambda i: T.chunk_name(F.col("paper"), i)), ",")).alias("expanded_with"))
 
@@ -194,7 +196,7 @@ def upload_chunk_ids(spark, sf_dir):
     return chunks.select(T.chunk_name(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("arxiv_id"), F.lit("").alias("year"), "chunk_index", "page_start", "page_end")
 
 
-UPLOADS = Fixture("seq int, name string, found boolean, mb double, pages int", [(1, "a.pdf", True, 1.0, 5), (2, "a.pdf", True, 1.0, 5), (3, "b.txt", True, 1.0, 1), (4, "c.pdf", True, 31.0, 5), (5, "d.pdf", True, 2.0, 81), (6, "e.pdf", False, None, None), (7, "f.pdf", True, 3.0, None), (8, "a.pdf", True, 2.0, 3)])
+UPLOADS = Fixture("seq int, name string, found boolean, mb double, pages int", [(1, "a.pdf", True, 1.0, 5), (2, "a.pdf", True, 1.0, 5), (3, "b.txt", True, 1.0, 1), (4, "c.pdf", True, 31.0, 5), (5, "d.pdf", True, 2.0, 81), (6, "e.pdf", False, None, None), (7, "f.pdf", True, 3.0, None), (8, "a.pdf", True, 2.0, 3)], per="pages", ids="seq name")
 
 
 @query(
@@ -203,32 +205,32 @@ UPLOADS = Fixture("seq int, name string, found boolean, mb double, pages int", [
 )
 def upload_check_reason(spark, sf_dir):
     reason = F.when(~F.col("found"), "file not found").when(~F.lower("name").endswith(".pdf"), "not a .pdf file").when(F.col("mb") > 30, "too large").when(F.col("pages").isNull(), "could not open").when(F.col("pages") > 80, "too many pages")
-    return UPLOADS.frame(spark).select("seq", reason.alias("reason"))
+    return UPLOADS.frame(spark, sf_dir).select("seq", reason.alias("reason"))
 
 
 @query("upload_doc_ids", f"SELECT seq, concat('upload:', CASE WHEN row_number() OVER w = 1 THEN name ELSE concat(regexp_replace(name, '\\.[^.]*$', ''), '-', row_number() OVER w, regexp_extract(name, '\\.[^.]*$')) END) AS doc_id FROM {UPLOADS.sql} WINDOW w AS (PARTITION BY name ORDER BY seq)")
 def upload_doc_ids(spark, sf_dir):
     n = F.expr("row_number() over (partition by name order by seq)")
     suffixed = F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("-"), F.col("_n").cast("string"), F.regexp_extract("name", r"\.[^.]*$", 0))
-    return UPLOADS.frame(spark).withColumn("_n", n).select("seq", F.concat(F.lit("upload:"), F.when(F.col("_n") == 1, F.col("name")).otherwise(suffixed)).alias("doc_id"))
+    return UPLOADS.frame(spark, sf_dir).withColumn("_n", n).select("seq", F.concat(F.lit("upload:"), F.when(F.col("_n") == 1, F.col("name")).otherwise(suffixed)).alias("doc_id"))
 
 
-JOBS = Fixture("spec string", [("softmax:0,softmax:1,softmax:2,dropout:0,edl:0",)])
+JOBS = Fixture("run string, spec string", [("r", "softmax:0,softmax:1,softmax:2,dropout:0,edl:0",)], per="pages", ids="run")
 
 
-@query("job_spec_share", f"WITH j AS (SELECT unnest(string_split(spec, ',')) AS job, generate_subscripts(string_split(spec, ','), 1) - 1 AS n FROM {JOBS.sql}) SELECT n % 2 AS worker, string_split(job, ':')[1] AS method, CAST(string_split(job, ':')[2] AS INTEGER) AS seed FROM j")
+@query("job_spec_share", f"WITH j AS (SELECT run, unnest(string_split(spec, ',')) AS job, generate_subscripts(string_split(spec, ','), 1) - 1 AS n FROM {JOBS.sql}) SELECT run, n % 2 AS worker, string_split(job, ':')[1] AS method, CAST(string_split(job, ':')[2] AS INTEGER) AS seed FROM j")
 def job_spec_share(spark, sf_dir):
-    jobs = JOBS.frame(spark).select(F.posexplode(F.split("spec", ",")).alias("n", "job"))
+    jobs = JOBS.frame(spark, sf_dir).select("run", F.posexplode(F.split("spec", ",")).alias("n", "job"))
     part = F.split("job", ":")
-    return jobs.select(F.pmod("n", F.lit(2)).cast("long").alias("worker"), part[0].alias("method"), part[1].cast("int").alias("seed"))
+    return jobs.select("run", F.pmod("n", F.lit(2)).cast("long").alias("worker"), part[0].alias("method"), part[1].cast("int").alias("seed"))
 
 
-METHODS = Fixture("method string, kind string, members int", [("ensemble", "softmax", 5), ("dropout", "dropout", 1), ("edl", "edl", 1)])
+METHODS = Fixture("method string, kind string, members int", [("ensemble", "softmax", 5), ("dropout", "dropout", 1), ("edl", "edl", 1)], per="pages", ids="method")
 
 
 @query("ensemble_members", f"SELECT method, concat(kind, '_', unnest(range(0, members)), '.pt') AS checkpoint FROM {METHODS.sql}")
 def ensemble_members(spark, sf_dir):
-    members = METHODS.frame(spark).select("method", "kind", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("m"))
+    members = METHODS.frame(spark, sf_dir).select("method", "kind", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("m"))
     return members.select("method", F.concat("kind", F.lit("_"), F.col("m").cast("string"), F.lit(".pt")).alias("checkpoint"))
 
 

@@ -72,7 +72,7 @@ def evaluate_query(spark, sf_dir):
     return metrics(spark, sf_dir, "hybrid_rerank").select("qid", "n_relevant", *[F.round(n, 9).alias(n) for n in NAMES])
 
 
-GRADED = Fixture("qid string, chunk_id string, rank int, gain double", [("q1", "a", 1, 3.0), ("q1", "b", 2, 0.0), ("q1", "c", 3, 2.0), ("q1", "d", None, 1.0), ("q2", "a", 1, 0.0), ("q2", "e", None, 1.0)])
+GRADED = Fixture("qid string, chunk_id string, rank int, gain double", [("q1", "a", 1, 3.0), ("q1", "b", 2, 0.0), ("q1", "c", 3, 2.0), ("q1", "d", None, 1.0), ("q2", "a", 1, 0.0), ("q2", "e", None, 1.0)], per="pages", ids="qid")
 
 
 @query(
@@ -80,7 +80,7 @@ GRADED = Fixture("qid string, chunk_id string, rank int, gain double", [("q1", "
     f"WITH g AS (SELECT * FROM {GRADED.sql}), i AS (SELECT qid, sum(gain / log2(n + 1)) AS best FROM (SELECT qid, gain, row_number() OVER (PARTITION BY qid ORDER BY gain DESC) AS n FROM g) WHERE n <= 3 GROUP BY qid) SELECT g.qid, round(coalesce(sum(gain / log2(rank + 1)) FILTER (WHERE rank <= 3), 0) / any_value(best), 9) AS ndcg_3 FROM g JOIN i ON i.qid = g.qid GROUP BY g.qid",
 )
 def ndcg_graded(spark, sf_dir):
-    rows = GRADED.frame(spark)
+    rows = GRADED.frame(spark, sf_dir)
     out = M.per_query(rows.where("rank is not null").select("qid", "chunk_id", "rank"), rows.select("qid", "chunk_id", "gain"), rows.select("qid"), ["qid"], (3,))
     return out.select("qid", F.round("ndcg_3", 9).alias("ndcg_3"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from hashlib import sha1
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,31 +18,38 @@ from corvane.session import Fixture, table
 CHUNKS = Fixture(
     "chunk_id string, paper string, page_start int, page_end int, text string",
     [("a__0", "a", 1, 2, "Table 1: errors are 7.3 and 8.1 here; see Figure 1 and Fig. 2"), ("a__1", "a", 2, 3, "values 7.3 8.1 9.9 of the methods"), ("b__0", "b", 1, 1, "Table 1: other; figure 1"), ("b__1", "b", 2, 2, "nothing")],
+    per="pages", ids="chunk_id paper", texts="text",
 )
-HASH = lambda x: sha1(x.encode()).hexdigest()[:12]
 NOTES = Fixture(
-    "chunk_id string, text_hash string, prompt_version string, note string, grid string, grid_ok boolean",
-    [("a__0", HASH(CHUNKS.rows[0][4]), "p1", "errors", "| a |", True), ("a__1", HASH("old"), "p1", "x", "y", True), ("b__0", HASH(CHUNKS.rows[2][4]), "p0", "z", None, False), ("b__1", HASH("nothing"), "p1", "", "| b |", False)],
+    "chunk_id string, of string, prompt_version string, note string, grid string, grid_ok boolean",
+    [("a__0", CHUNKS.rows[0][4], "p1", "errors", "| a |", True), ("a__1", "old", "p1", "x", "y", True), ("b__0", CHUNKS.rows[2][4], "p0", "z", None, False), ("b__1", "nothing", "p1", "", "| b |", False)],
+    per="pages", ids="chunk_id", texts="of",
 )
 SQL_HASH = "left(sha1(text), 12)"
+#: A fixture with text_hash, the hash of its column ``of``.
+HASHED = lambda fixture: f"(SELECT *, left(sha1(of), 12) AS text_hash FROM {fixture.sql})"
+
+
+def hashed(fixture, spark, sf_dir):
+    return fixture.frame(spark, sf_dir).withColumn("text_hash", T.text_hash(F.col("of"))).drop("of")
 
 
 @query(
     "attach_notes",
-    f"""WITH j AS (SELECT c.*, n.text_hash AS h, n.prompt_version AS p, note, grid, grid_ok, coalesce(n.text_hash = {SQL_HASH} AND n.prompt_version = 'p1', false) AS cur FROM {CHUNKS.sql} c LEFT JOIN {NOTES.sql} n USING (chunk_id))
+    f"""WITH j AS (SELECT c.*, n.text_hash AS h, n.prompt_version AS p, note, grid, grid_ok, coalesce(n.text_hash = {SQL_HASH} AND n.prompt_version = 'p1', false) AS cur FROM {CHUNKS.sql} c LEFT JOIN {HASHED(NOTES)} n USING (chunk_id))
 SELECT chunk_id, paper, page_start, page_end, text, CASE WHEN h IS NULL THEN NULL WHEN cur THEN 'described' ELSE 'stale' END AS state, CASE WHEN cur THEN nullif(note, '') END AS table_note, CASE WHEN cur AND grid_ok THEN nullif(grid, '') END AS table_markdown FROM j""",
 )
 def attach_notes(spark, sf_dir):
-    return E.attach_notes(CHUNKS.frame(spark), NOTES.frame(spark), "p1")
+    return E.attach_notes(CHUNKS.frame(spark, sf_dir), hashed(NOTES, spark, sf_dir), "p1")
 
 
-@query("note_is_current", f"SELECT chunk_id, n.text_hash = {SQL_HASH} AND prompt_version = 'p1' AS is_current FROM {NOTES.sql} n JOIN {CHUNKS.sql} c USING (chunk_id)")
+@query("note_is_current", f"SELECT chunk_id, n.text_hash = {SQL_HASH} AND prompt_version = 'p1' AS is_current FROM {HASHED(NOTES)} n JOIN {CHUNKS.sql} c USING (chunk_id)")
 def note_is_current(spark, sf_dir):
-    joined = NOTES.frame(spark).join(CHUNKS.frame(spark).select("chunk_id", "text"), "chunk_id")
+    joined = hashed(NOTES, spark, sf_dir).join(CHUNKS.frame(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
     return joined.select("chunk_id", ((F.col("text_hash") == T.text_hash(F.col("text"))) & (F.col("prompt_version") == "p1")).alias("is_current"))
 
 
-TABLES = Fixture("paper string, table_no int, page int, caption string, markdown string", [("a", 1, 2, "Table 1: errors of all", "| m | e |\n|---|---|\n| x | 7.3 |\n| y | 8.1 |"), ("a", 2, 3, "Table 2: more", "| m | e |\n|---|---|\n| x | 1.0 |"), ("b", 1, 1, "Table 1: other", "| m |\n|---|\n| z |")])
+TABLES = Fixture("paper string, table_no int, page int, caption string, markdown string", [("a", 1, 2, "Table 1: errors of all", "| m | e |\n|---|---|\n| x | 7.3 |\n| y | 8.1 |"), ("a", 2, 3, "Table 2: more", "| m | e |\n|---|---|\n| x | 1.0 |"), ("b", 1, 1, "Table 1: other", "| m |\n|---|\n| z |")], per="pages", ids="paper", texts="caption")
 
 
 @query(
@@ -53,10 +58,10 @@ TABLES = Fixture("paper string, table_no int, page int, caption string, markdown
 SELECT t.paper, table_no, chunk_id FROM t JOIN {CHUNKS.sql} c ON c.paper = t.paper AND t.page BETWEEN page_start AND page_end WHERE contains(text, key) OR coalesce(len(list_filter(vals, lambda v: contains(text, v))) / nullif(len(vals), 0), 0) >= 0.4""",
 )
 def attach_tables(spark, sf_dir):
-    return E.attach_tables(CHUNKS.frame(spark), TABLES.frame(spark))
+    return E.attach_tables(CHUNKS.frame(spark, sf_dir), TABLES.frame(spark, sf_dir))
 
 
-FIGURES = Fixture("n int, paper string, figure_no string, page int, caption string, description string, described_by string, image string", [(1, "a", "1", 1, "A plot", None, None, "a1.png"), (2, "a", "2", 2, "A curve", "It rises", "m", "a2.png"), (3, "b", "1", 1, "B plot", "", None, "b1.png"), (4, "b", "10", 1, "Far", "", None, "b10.png")])
+FIGURES = Fixture("n int, paper string, figure_no string, page int, caption string, description string, described_by string, image string", [(1, "a", "1", 1, "A plot", None, None, "a1.png"), (2, "a", "2", 2, "A curve", "It rises", "m", "a2.png"), (3, "b", "1", 1, "B plot", "", None, "b1.png"), (4, "b", "10", 1, "Far", "", None, "b10.png")], per="pages", ids="paper page", texts="caption")
 
 
 @query(
@@ -65,15 +70,15 @@ FIGURES = Fixture("n int, paper string, figure_no string, page int, caption stri
 SELECT chunk_id, string_agg(note, chr(10) ORDER BY n) AS figure_note, string_agg(image, ',' ORDER BY n) AS figure_images FROM f JOIN {CHUNKS.sql} c ON c.paper = f.paper AND regexp_matches(text, concat('(?i)\\b(?:Figure|Fig\\.?)\\s*', figure_no, '\\b')) GROUP BY chunk_id""",
 )
 def attach_figures(spark, sf_dir):
-    return E.attach_figures(CHUNKS.frame(spark), FIGURES.frame(spark))
+    return E.attach_figures(CHUNKS.frame(spark, sf_dir), FIGURES.frame(spark, sf_dir))
 
 
-LABELS = Fixture("qid string, chunk_id string, text_hash string", [("q1", "a__0", HASH(CHUNKS.rows[0][4])), ("q1", "a__1", HASH("old")), ("q2", "gone", "0"), ("q3", "b__1", HASH("nothing"))])
+LABELS = Fixture("qid string, chunk_id string, of string", [("q1", "a__0", CHUNKS.rows[0][4]), ("q1", "a__1", "old"), ("q2", "gone", "0"), ("q3", "b__1", "nothing")], per="pages", ids="qid chunk_id", texts="of")
 
 
-@query("validate_labels", f"SELECT qid, l.chunk_id, CASE WHEN c.chunk_id IS NULL THEN 'no longer exists' ELSE 'text changed' END AS problem FROM {LABELS.sql} l LEFT JOIN {CHUNKS.sql} c ON c.chunk_id = l.chunk_id WHERE c.chunk_id IS NULL OR {SQL_HASH} <> l.text_hash")
+@query("validate_labels", f"SELECT qid, l.chunk_id, CASE WHEN c.chunk_id IS NULL THEN 'no longer exists' ELSE 'text changed' END AS problem FROM {HASHED(LABELS)} l LEFT JOIN {CHUNKS.sql} c ON c.chunk_id = l.chunk_id WHERE c.chunk_id IS NULL OR {SQL_HASH} <> l.text_hash")
 def validate_labels(spark, sf_dir):
-    return E.label_problems(LABELS.frame(spark), CHUNKS.frame(spark))
+    return E.label_problems(hashed(LABELS, spark, sf_dir), CHUNKS.frame(spark, sf_dir))
 
 
 @query("attach_evidence", "SELECT item_id AS qid, coalesce(CASE WHEN item_id % 3 = 0 AND regexp_matches(b.text, '\\S') THEN b.text END, CASE WHEN regexp_matches(d.text, '\\S') THEN d.text END) AS evidence FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id")
@@ -84,12 +89,12 @@ def attach_evidence(spark, sf_dir):
     return E.fill_from(queries, found, ["qid"], ["evidence"], lambda c: F.when(c.rlike(r"\S"), c))
 
 
-RENDERED = Fixture("page int, figure_no string, image string, description string, described_by string", [(1, "1", "new1.png", None, None), (2, "2", "new2.png", None, None), (9, "9", "new9.png", "own", "x")])
+RENDERED = Fixture("page int, figure_no string, image string, description string, described_by string", [(1, "1", "new1.png", None, None), (2, "2", "new2.png", None, None), (9, "9", "new9.png", "own", "x")], per="pages", ids="page")
 
 
-@query("keep_descriptions", f"SELECT r.page, r.figure_no, r.image, coalesce(nullif(f.description, ''), r.description) AS description, coalesce(nullif(f.described_by, ''), r.described_by) AS described_by FROM {RENDERED.sql} r LEFT JOIN {FIGURES.sql} f ON f.page = r.page AND f.figure_no = r.figure_no AND f.paper = 'a'")
+@query("keep_descriptions", f"SELECT r.page, r.figure_no, r.image, coalesce(nullif(f.description, ''), r.description) AS description, coalesce(nullif(f.described_by, ''), r.described_by) AS described_by FROM {RENDERED.sql} r LEFT JOIN {FIGURES.sql} f ON f.page = r.page AND f.figure_no = r.figure_no AND f.paper LIKE '%~a'")
 def keep_descriptions(spark, sf_dir):
-    return E.fill_from(RENDERED.frame(spark), FIGURES.frame(spark).where("paper = 'a'"), ["page", "figure_no"], ["description", "described_by"], prefer_other=True)
+    return E.fill_from(RENDERED.frame(spark, sf_dir), FIGURES.frame(spark, sf_dir).where("paper like '%~a'"), ["page", "figure_no"], ["description", "described_by"], prefer_other=True)
 
 
 @query("todo_antijoin", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -154,40 +159,40 @@ def ordered_distinct(spark, sf_dir):
     return first.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first")).cast("long"))  # a row a distinct value
 
 
-SETTINGS = Fixture("key string, fallback string, file string, given string", [("epochs", "30", None, None), ("lr", "0.1", "0.05", None), ("seed", "0", "1", "7"), ("out", None, None, "x")])
+SETTINGS = Fixture("key string, fallback string, file string, given string", [("epochs", "30", None, None), ("lr", "0.1", "0.05", None), ("seed", "0", "1", "7"), ("out", None, None, "x")], per="pages", ids="key", texts="fallback")
 
 
 @query("config_overlay", f"SELECT key, coalesce(given, file, fallback) AS value FROM {SETTINGS.sql}")
 def config_overlay(spark, sf_dir):
-    return SETTINGS.frame(spark).select("key", F.coalesce("given", "file", "fallback").alias("value"))
+    return SETTINGS.frame(spark, sf_dir).select("key", F.coalesce("given", "file", "fallback").alias("value"))
 
 
-CANDIDATES = Fixture("qid string, category string, status string, edited boolean, chunk_id string, text_hash string", [("q1", "semantic", "kept", False, "a__0", HASH(CHUNKS.rows[0][4])), ("q2", "semantic", "dropped", False, "a__1", "0"), ("q3", "exact_term", "kept", True, "b__1", HASH("nothing")), ("q4", "unanswerable", "pending", False, None, None), ("q5", "unanswerable", "kept", False, None, None)])
+CANDIDATES = Fixture("qid string, category string, status string, edited boolean, chunk_id string, of string", [("q1", "semantic", "kept", False, "a__0", CHUNKS.rows[0][4]), ("q2", "semantic", "dropped", False, "a__1", "0"), ("q3", "exact_term", "kept", True, "b__1", "nothing"), ("q4", "unanswerable", "pending", False, None, None), ("q5", "unanswerable", "kept", False, None, None)], per="pages", ids="qid chunk_id", texts="of")
 
 
-@query("export_kept", f"SELECT qid, category, k.chunk_id, coalesce(k.chunk_id IS NULL OR k.text_hash = {SQL_HASH}, false) AS valid FROM {CANDIDATES.sql} k LEFT JOIN {CHUNKS.sql} c ON c.chunk_id = k.chunk_id WHERE status = 'kept'")
+@query("export_kept", f"SELECT qid, category, k.chunk_id, coalesce(k.chunk_id IS NULL OR k.text_hash = {SQL_HASH}, false) AS valid FROM {HASHED(CANDIDATES)} k LEFT JOIN {CHUNKS.sql} c ON c.chunk_id = k.chunk_id WHERE status = 'kept'")
 def export_kept(spark, sf_dir):
-    kept = CANDIDATES.frame(spark).where("status = 'kept'")
-    now = CHUNKS.frame(spark).select("chunk_id", T.text_hash(F.col("text")).alias("_now"))
+    kept = hashed(CANDIDATES, spark, sf_dir).where("status = 'kept'")
+    now = CHUNKS.frame(spark, sf_dir).select("chunk_id", T.text_hash(F.col("text")).alias("_now"))
     return kept.join(now, "chunk_id", "left").select("qid", "category", "chunk_id", F.coalesce(F.col("chunk_id").isNull() | (F.col("text_hash") == F.col("_now")), F.lit(False)).alias("valid"))
 
 
 @query("review_stats", f"SELECT category, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'kept') AS kept, count(*) FILTER (WHERE status = 'dropped') AS dropped FROM {CANDIDATES.sql} GROUP BY category")
 def review_stats(spark, sf_dir):
-    return CANDIDATES.frame(spark).groupBy("category").pivot("status", ["pending", "kept", "dropped"]).count().na.fill(0)
+    return CANDIDATES.frame(spark, sf_dir).groupBy("category").pivot("status", ["pending", "kept", "dropped"]).count().na.fill(0)
 
 
 @query("candidate_counts", f"SELECT category, count(*) AS n, count(*) FILTER (WHERE chunk_id IS NULL) AS unanswerable FROM {CANDIDATES.sql} GROUP BY category")
 def candidate_counts(spark, sf_dir):
-    return CANDIDATES.frame(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("chunk_id").isNull()).alias("unanswerable"))
+    return CANDIDATES.frame(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("chunk_id").isNull()).alias("unanswerable"))
 
 
-TABLE_NOTES = Fixture("chunk_id string, ok boolean, description string, reason string", [("a", True, "d", ""), ("a", False, "e", "x"), ("b", False, "d", "model gave no grid"), ("c", False, "", "reply did not follow the format"), ("d", False, "", "other")])
+TABLE_NOTES = Fixture("chunk_id string, ok boolean, description string, reason string", [("a", True, "d", ""), ("a", False, "e", "x"), ("b", False, "d", "model gave no grid"), ("c", False, "", "reply did not follow the format"), ("d", False, "", "other")], per="pages", ids="chunk_id", texts="reason")
 
 
 @query("notes_summary", f"SELECT outcome, count(*) AS n FROM (SELECT chunk_id, CASE WHEN bool_or(ok) THEN 'with_grid' WHEN bool_or(description <> '') THEN 'description_only' WHEN bool_or(starts_with(reason, 'reply did not follow')) THEN 'unparseable' ELSE 'no_table_found' END AS outcome FROM {TABLE_NOTES.sql} GROUP BY chunk_id) GROUP BY outcome")
 def notes_summary(spark, sf_dir):
-    per = TABLE_NOTES.frame(spark).groupBy("chunk_id").agg(F.when(F.bool_or("ok"), "with_grid").when(F.bool_or(F.col("description") != ""), "description_only").when(F.bool_or(F.col("reason").startswith("reply did not follow")), "unparseable").otherwise("no_table_found").alias("outcome"))
+    per = TABLE_NOTES.frame(spark, sf_dir).groupBy("chunk_id").agg(F.when(F.bool_or("ok"), "with_grid").when(F.bool_or(F.col("description") != ""), "description_only").when(F.bool_or(F.col("reason").startswith("reply did not follow")), "unparseable").otherwise("no_table_found").alias("outcome"))
     return per.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 

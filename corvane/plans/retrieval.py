@@ -11,7 +11,7 @@ from corvane.operators import segments as G
 from corvane.operators.index import bm25
 from corvane.plans.search import CONFIGS, Config, corpus, dense, first_stage, lexical, search
 from corvane.plans.text import TOKENS
-from corvane.session import Fixture, scratch, table, written
+from corvane.session import scratch, table, written
 from corvane.sources.manifest import opened
 
 # SQL: base tables of every search
@@ -352,20 +352,18 @@ def round_robin_sample(spark, sf_dir):
     return first.select("doc_id", "source", F.expr("row_number() over (partition by 1 order by _rn, md5(cast(source as binary)))").cast("long").alias("n"))
 
 
-TEXTS = Fixture("id long, text string", [(1, "deep ensembles"), (2, "deep deep nets"), (3, "")])
-
-
 @query(
     "hash_embed",
-    f"""WITH t AS (SELECT id, unnest({_PLAIN}) AS term FROM {TEXTS.sql}), b AS (SELECT id, CASE term WHEN 'deep' THEN {__import__('zlib').crc32(b'deep') % 64} WHEN 'ensembles' THEN {__import__('zlib').crc32(b'ensembles') % 64} ELSE {__import__('zlib').crc32(b'nets') % 64} END AS bucket, count(*) AS n FROM t GROUP BY ALL)
-SELECT id, CAST(bucket AS BIGINT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS weight FROM b""",
+    f"""WITH t AS (SELECT item_id, unnest({_PLAIN}) AS term FROM benchmark), b AS (SELECT item_id, ('0x' || left(md5(term), 8))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY ALL)
+SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 9) AS weight FROM b""",
 )
 def hash_embed(spark, sf_dir):
     """The built-in stand-in for an embedding model: tokens hashed to 64 places, of unit length (places as rows)."""
-    terms = TEXTS.frame(spark).select("id", F.explode(plain_tokens(F.col("text"))).alias("term"))
-    placed = terms.groupBy("id", (F.crc32(F.col("term").cast("binary")) % 64).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    norm = F.sqrt(F.expr("sum(n * n) over (partition by id)"))
-    return placed.select("id", "bucket", F.round(F.col("n") / norm, 9).alias("weight"))
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(plain_tokens(F.col("text"))).alias("term"))
+    bucket = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % 64
+    placed = terms.groupBy("item_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.expr("sum(n * n) over (partition by item_id)"))
+    return placed.select("item_id", "bucket", F.round(F.col("n") / norm, 9).alias("weight"))
 
 
 @query("to_documents", f"{sql_search(CONFIGS['bm25'], 3)} SELECT qid, rank, concat('paper=', source, ';chunk=', chunk_id, ';score=', printf('%.4f', score)) AS metadata, text AS page_content FROM final JOIN documents ON doc_id = chunk_id")

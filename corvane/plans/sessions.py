@@ -67,23 +67,23 @@ def stop_after_three(spark, sf_dir):
     return S.until_failures(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error").select("user_id", "event_id")
 
 
-TURNS = Fixture("turn int, question string, answer string, variants array<string>", [(1, "a?", "It is [S1].", ["a?", "b?"]), (2, "c?", "The retrieved sources do not contain enough information to answer this question.", None)])
+TURNS = Fixture("turn int, question string, answer string, variants array<string>", [(1, "a?", "It is [S1].", ["a?", "b?"]), (2, "c?", "The retrieved sources do not contain enough information to answer this question.", None)], per="documents", ids="turn", texts="question answer", pick=True)
 
 
 @query("turn_view", f"SELECT turn, question, contains(lower(answer), 'the retrieved sources do not contain enough information') AS refused, coalesce(array_to_string(variants[2:], '|'), '') AS rephrasings FROM {TURNS.sql}")
 def turn_view(spark, sf_dir):
     rest = F.slice("variants", 2, F.greatest(F.size("variants") - 1, F.lit(0)))
-    return TURNS.frame(spark).select("turn", "question", F.contains(F.lower("answer"), F.lit("the retrieved sources do not contain enough information")).alias("refused"), F.coalesce(F.array_join(rest, "|"), F.lit("")).alias("rephrasings"))
+    return TURNS.frame(spark, sf_dir).select("turn", "question", F.contains(F.lower("answer"), F.lit("the retrieved sources do not contain enough information")).alias("refused"), F.coalesce(F.array_join(rest, "|"), F.lit("")).alias("rephrasings"))
 
 
-SESSIONS = Fixture("id string, uploads int, with_corpus boolean", [("a", 0, True), ("b", 2, True), ("c", 1, False), ("d", 0, False)])
+SESSIONS = Fixture("id string, uploads int, with_corpus boolean", [("a", 0, True), ("b", 2, True), ("c", 1, False), ("d", 0, False)], per="pages", ids="id")
 
 
 @query("session_view", f"SELECT id, CASE WHEN uploads = 0 THEN 'corpus' WHEN with_corpus THEN 'uploads+corpus' ELSE 'uploads' END AS scope, CASE WHEN uploads > 0 AND NOT with_corpus THEN 0 ELSE 2 END AS per_paper FROM {SESSIONS.sql}")
 def session_view(spark, sf_dir):
     """What a session searches; over uploads alone the cap on a paper is off."""
     scope = F.when(F.col("uploads") == 0, "corpus").when(F.col("with_corpus"), "uploads+corpus").otherwise("uploads")
-    return SESSIONS.frame(spark).select("id", scope.alias("scope"), F.when(scope == "uploads", 0).otherwise(2).alias("per_paper"))
+    return SESSIONS.frame(spark, sf_dir).select("id", scope.alias("scope"), F.when(scope == "uploads", 0).otherwise(2).alias("per_paper"))
 
 
 def _stream(spark, sf_dir: str, name: str):

@@ -13,6 +13,9 @@ STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 WORDS = lambda x: f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
 QUOTE = lambda x: "'" + x.replace("'", "''") + "'"
 
+#: What NFKC makes of the characters in the cases; the tables have no others that it changes (tests/test_composed.py).
+COMPOSED = lambda x: f"replace(replace(replace(translate({x}, '\uff23\uff29\uff26\uff21\uff32\uff0d\uff11\uff10\uff12', 'CIFAR-102'), chr(64257), 'fi'), chr(178), '2'), chr(160), ' ')"
+
 PAGES = Fixture(
     "doc_id string, page_no int, raw string",
     [
@@ -21,7 +24,9 @@ PAGES = Fixture(
         ("a", 3, "  \n\n"),
         ("a", 4, "arXiv:1612.01474v3 [stat.ML]\nUnder review as a paper\nOne  two\tthree"),
         ("b", 1, "Fig. 3 shows it. The next one. And more? Yes!"),
+        ("b", 2, "\uff11\uff12\nThe \ufb01rst \uff23\uff29\uff26\uff21\uff32 x\u00b2\u00a0of it"),
     ],
+    per="documents", ids="doc_id", texts="raw", pick=True, sep="\n",
 )
 CITED = Fixture(
     "id long, text string",
@@ -52,19 +57,19 @@ ALL = lambda fixture: f"(SELECT id, text FROM {fixture.sql} UNION ALL SELECT -1
 def with_documents(fixture, spark, sf_dir):
     """id and text of the fixture and of all documents, whose ids are negative."""
     docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), "text")
-    return fixture.frame(spark).select("id", "text").unionByName(docs)
+    return fixture.frame(spark, sf_dir).select("id", "text").unionByName(docs)
 
 
 @query(
     "clean_page_text",
     f"""
-WITH l AS (SELECT doc_id, page_no, list_filter(list_transform(string_split(raw, chr(10)), lambda x: {STRIP("x")}), lambda x: x <> '') AS lines FROM {PAGES.sql}),
+WITH l AS (SELECT doc_id, page_no, list_filter(list_transform(string_split(raw, chr(10)), lambda x: {STRIP("x")}), lambda x: x <> '') AS lines FROM (SELECT doc_id, page_no, {COMPOSED("raw")} AS raw FROM {PAGES.sql})),
 k AS (SELECT doc_id, page_no, list_filter(lines, lambda x, i: NOT ((i = 1 OR i = len(lines)) AND regexp_matches(x, '^\\d{{1,4}}$'))
    AND NOT regexp_matches(x, '(?i)^arXiv:\\d+\\.\\d+') AND NOT regexp_matches(x, '(?i)^Preprint\\.?\\s*$') AND NOT regexp_matches(x, '(?i)^Under review')) AS kept FROM l)
 SELECT doc_id, page_no, {STRIP("regexp_replace(regexp_replace(coalesce(array_to_string(kept, chr(10)), ''), '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '\\s+', ' ', 'g')")} AS text FROM k""",
 )
 def clean_page_text(spark, sf_dir):
-    return PAGES.frame(spark).select("doc_id", "page_no", T.clean_page(F.col("raw")).alias("text"))
+    return PAGES.frame(spark, sf_dir).select("doc_id", "page_no", T.clean_page(F.col("raw")).alias("text"))
 
 
 _DENSITY = "(" + " + ".join(f"len(regexp_extract_all(text, {QUOTE(p)})) * {w}" for p, w in T.CITATION_MARKERS) + f") / greatest(1, len({WORDS('text')}))"
@@ -77,7 +82,7 @@ def citation_density(spark, sf_dir):
 
 @query("is_reference", f"SELECT doc_id, {_DENSITY} >= 0.25 AS is_reference FROM documents UNION ALL SELECT -id, {_DENSITY} >= 0.25 FROM {CITED.sql}")
 def is_reference(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(CITED.frame(spark).select((-F.col("id")).alias("doc_id"), "text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(CITED.frame(spark, sf_dir).select((-F.col("id")).alias("doc_id"), "text"))
     return rows.select("doc_id", T.is_reference(F.col("text")).alias("is_reference"))
 
 
@@ -96,14 +101,14 @@ def table_like(spark, sf_dir):
 @query("has_table", f"WITH t AS (SELECT id, {WORDS('text')} AS w FROM {CELLS.sql} UNION ALL SELECT -1 - doc_id, {WORDS('text')} FROM documents) SELECT id, {_HAS_TABLE} AS has_table FROM t")
 def has_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), "text")
-    return CELLS.frame(spark).select("id", "text").unionByName(docs).select("id", T.has_table(F.col("text")).alias("has_table"))
+    return CELLS.frame(spark, sf_dir).select("id", "text").unionByName(docs).select("id", T.has_table(F.col("text")).alias("has_table"))
 
 
 @query("table_chunks", f"WITH t AS (SELECT id, ref, {WORDS('text')} AS w FROM (SELECT * FROM {CELLS.sql} UNION ALL SELECT -1 - doc_id, text, doc_id % 7 = 0 FROM documents)) SELECT id FROM t WHERE NOT ref AND {_HAS_TABLE}")
 def table_chunks(spark, sf_dir):
     """The chunks with a table that are no references (documents: each seventh is one, as in corpus())."""
     docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), "text", (F.col("doc_id") % 7 == 0).alias("ref"))
-    return CELLS.frame(spark).unionByName(docs).where(~F.col("ref") & T.has_table(F.col("text"))).select("id")
+    return CELLS.frame(spark, sf_dir).unionByName(docs).where(~F.col("ref") & T.has_table(F.col("text"))).select("id")
 
 
 @query("is_prose", f"WITH t AS (SELECT doc_id, {WORDS('text')} AS w FROM documents) SELECT doc_id, len(w) >= 80 AND coalesce(len(list_filter(w, lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z\\-]{{2,}}$'))) / nullif(len(w), 0), 0) > 0.55 AS is_prose FROM t")
@@ -111,20 +116,20 @@ def is_prose(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.is_prose(F.col("text")).alias("is_prose"))
 
 
-QUESTIONS = Fixture("id long, text string", [(1, "What error does This Paper report on C10?"), (2, "How are ensembles trained for uncertainty?"), (3, "Why so?"), (4, "Which of the above methods is best here?"), (5, "Does temperature scaling change the accuracy of a model")])
+QUESTIONS = Fixture("id long, text string", [(1, "What error does This Paper report on C10?"), (2, "How are ensembles trained for uncertainty?"), (3, "Why so?"), (4, "Which of the above methods is best here?"), (5, "Does temperature scaling change the accuracy of a model")], per="documents", ids="id", texts="text", pick=True)
 _LEANS = " OR ".join(f"contains(lower(text), {QUOTE(p)})" for p in T.LEANING_PHRASES)
 
 
 @query("looks_standalone", f"SELECT id, len({WORDS('text')}) >= 5 AND NOT ({_LEANS}) AS standalone FROM {QUESTIONS.sql}")
 def looks_standalone(spark, sf_dir):
-    return QUESTIONS.frame(spark).select("id", T.looks_standalone(F.col("text")).alias("standalone"))
+    return QUESTIONS.frame(spark, sf_dir).select("id", T.looks_standalone(F.col("text")).alias("standalone"))
 
 
-NAMES = Fixture("id long, text string", [(1, "CIFAR-10 and C10, C100; EnDD vs. ResNet-18 at FPR-95"), (2, "no-name 12-13 a-1b"), (3, ""), (4, "VGG-16-bn")])
+NAMES = Fixture("id long, text string", [(5, "\ufb01ne \uff23\uff29\uff26\uff21\uff32\uff0d\uff11\uff10 x\u00b2"), (1, "CIFAR-10 and C10, C100; EnDD vs. ResNet-18 at FPR-95"), (2, "no-name 12-13 a-1b"), (3, ""), (4, "VGG-16-bn")])
 TOKENS = lambda x: f"list_transform(regexp_extract_all(regexp_replace(lower({x}), '\\b([a-z]+)-(\\d+)\\b', '\\1\\2', 'g'), '[a-z0-9]+'), lambda t: CASE t WHEN 'c10' THEN 'cifar10' WHEN 'c100' THEN 'cifar100' WHEN 'endd' THEN 'end2' ELSE t END)"
 
 
-@query("bm25_tokens", f"SELECT id, array_to_string({TOKENS('text')}, ' ') AS tokens FROM {ALL(NAMES)}")
+@query("bm25_tokens", f"SELECT id, array_to_string({TOKENS(COMPOSED('text'))}, ' ') AS tokens FROM {ALL(NAMES)}")
 def bm25_tokens(spark, sf_dir):
     return with_documents(NAMES, spark, sf_dir).select("id", F.array_join(T.search_tokens(F.col("text")), " ").alias("tokens"))
 
@@ -142,13 +147,14 @@ CHUNKS = Fixture(
         ("1612.01474__0001", "1612.01474", "Deep Ensembles", "2017", 3, 3, "Results are in Table 1.", "A table of errors", "Figure 1: A plot", "| a | b |", "geometry", ""),
         ("upload:x__0000", "upload:x", "", "", 1, 1, "An uploaded\ntext", None, "", None, "", None),
     ],
+    per="documents", ids="chunk_id", texts="text", pick=True,
 )
 
 
 @query("index_text", f"SELECT chunk_id, concat_ws(chr(10), nullif(title, ''), nullif(table_note, ''), nullif(figure_note, ''), text) AS indexed, concat_ws(chr(10), nullif(table_note, ''), nullif(figure_note, ''), text) AS plain FROM {CHUNKS.sql}")
 def index_text(spark, sf_dir):
     part = [F.col(c) for c in ("title", "table_note", "figure_note", "text")]
-    return CHUNKS.frame(spark).select("chunk_id", T.index_text(*part).alias("indexed"), T.index_text(*part, contextual=False).alias("plain"))
+    return CHUNKS.frame(spark, sf_dir).select("chunk_id", T.index_text(*part).alias("indexed"), T.index_text(*part, contextual=False).alias("plain"))
 
 
 _OPTIONAL = ("table_note", "figure_note", "table_markdown", "table_grid_source", "figure_images")
@@ -156,16 +162,16 @@ _OPTIONAL = ("table_note", "figure_note", "table_markdown", "table_grid_source",
 
 @query("meta_row", f"SELECT chunk_id, arxiv_id, title, year, page_start, page_end, text, {', '.join(f'''nullif({c}, '') AS {c}''' for c in _OPTIONAL)} FROM {CHUNKS.sql}")
 def meta_row(spark, sf_dir):
-    return CHUNKS.frame(spark).withColumns({c: T.present(F.col(c)) for c in _OPTIONAL})
+    return CHUNKS.frame(spark, sf_dir).withColumns({c: T.present(F.col(c)) for c in _OPTIONAL})
 
 
 _LABEL = "CASE WHEN page_start = page_end THEN concat('p.', page_start) ELSE concat('pp.', page_start, '-', page_end) END"
 
 
-@query("source_tag", f"SELECT chunk_id, concat('S', row_number() OVER (ORDER BY chunk_id), ': ', arxiv_id, CASE WHEN year <> '' THEN concat(' (', year, ')') ELSE '' END, CASE WHEN title <> '' THEN concat(' \"', title, '\"') ELSE '' END, ', ', {_LABEL}) AS tag FROM {CHUNKS.sql}")
+@query("source_tag", f"SELECT chunk_id, concat('S', row_number() OVER (PARTITION BY arxiv_id, string_split(chunk_id, '~')[1]::BIGINT % 50 ORDER BY chunk_id), ': ', arxiv_id, CASE WHEN year <> '' THEN concat(' (', year, ')') ELSE '' END, CASE WHEN title <> '' THEN concat(' \"', title, '\"') ELSE '' END, ', ', {_LABEL}) AS tag FROM {CHUNKS.sql}")
 def source_tag(spark, sf_dir):
-    n = F.expr("row_number() over (partition by 1 order by chunk_id)")
-    return CHUNKS.frame(spark).withColumn("n", n).select("chunk_id", T.source_tag(*[F.col(c) for c in ("n", "arxiv_id", "year", "title", "page_start", "page_end")]).alias("tag"))
+    n = F.expr("row_number() over (partition by arxiv_id, cast(split_part(chunk_id, '~', 1) as bigint) % 50 order by chunk_id)")
+    return CHUNKS.frame(spark, sf_dir).withColumn("n", n).select("chunk_id", T.source_tag(*[F.col(c) for c in ("n", "arxiv_id", "year", "title", "page_start", "page_end")]).alias("tag"))
 
 
 @query(
@@ -177,7 +183,7 @@ def source_tag(spark, sf_dir):
 )
 def source_view(spark, sf_dir):
     images = F.filter(F.split("figure_images", ","), lambda x: x != "")
-    return CHUNKS.frame(spark).select(
+    return CHUNKS.frame(spark, sf_dir).select(
         "chunk_id",
         T.pages_label(F.col("page_start"), F.col("page_end")).alias("pages"),
         F.substring(T.one_spaced(F.col("text")), 1, 1200).alias("text"),
@@ -191,6 +197,7 @@ def source_view(spark, sf_dir):
 ANSWERS = Fixture(
     "id long, text string",
     [(1, "Errors fall 【S1†L5-L7】 and rise 【 S12 】."), (2, "It is so [S2][S1], and so [S2]. Then [S10]."), (3, "The retrieved sources do not contain enough information to answer this question."), (4, "Sorry: the RETRIEVED sources do not contain enough information to answer this question, I fear"), (5, "")],
+    per="documents", ids="id", texts="text", pick=True,
 )
 
 
@@ -201,13 +208,13 @@ SELECT id, text, array_to_string(list_sort(list_distinct(list_transform(regexp_e
 regexp_replace(text, '\\s*\\[S\\d+\\]', '', 'g') AS bare FROM n""",
 )
 def citations(spark, sf_dir):
-    normal = ANSWERS.frame(spark).select("id", T.normalize_citations(F.col("text")).alias("text"))
+    normal = ANSWERS.frame(spark, sf_dir).select("id", T.normalize_citations(F.col("text")).alias("text"))
     return normal.select("id", "text", F.array_join(T.cited_sources(F.col("text")).cast("array<string>"), ",").alias("cited"), T.strip_citations(F.col("text")).alias("bare"))
 
 
 @query("is_refusal", f"SELECT id, contains(lower(text), {QUOTE(T.REFUSAL.rstrip('.').lower())}) AS refused FROM {ANSWERS.sql}")
 def is_refusal(spark, sf_dir):
-    return ANSWERS.frame(spark).select("id", T.is_refusal(F.col("text")).alias("refused"))
+    return ANSWERS.frame(spark, sf_dir).select("id", T.is_refusal(F.col("text")).alias("refused"))
 
 
 SAYINGS = Fixture("id long, text string", [(1, "Hi there!"), (2, "thanks a lot"), (3, "Who are you?"), (4, "hello, how do ensembles work?"), (5, "OK."), (6, "  good morning  "), (7, "what's this"), (8, "nice result")])
@@ -220,10 +227,10 @@ SELECT id, CASE WHEN regexp_matches(t, {QUOTE(T.ABOUT)}) THEN 'about' WHEN regex
 )
 def small_talk(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((-1 - (F.col("conv_id") * 1000 + F.col("turn"))).alias("id"), "text")
-    return SAYINGS.frame(spark).unionByName(turns).select("id", T.small_talk(F.col("text")).alias("reply"))
+    return SAYINGS.frame(spark, sf_dir).unionByName(turns).select("id", T.small_talk(F.col("text")).alias("reply"))
 
 
-ROWS = Fixture("id long, cells array<string>", [(1, ["8.0 ±0.4", "76", "", "C10"]), (2, ["", " "]), (3, ["a", "b"]), (4, ["-1", "+2", "±3"])])
+ROWS = Fixture("id long, cells array<string>", [(1, ["8.0 ±0.4", "76", "", "C10"]), (2, ["", " "]), (3, ["a", "b"]), (4, ["-1", "+2", "±3"])], per="documents", ids="id", texts="cells", pick=True)
 
 
 @query(
@@ -233,12 +240,12 @@ SELECT id, coalesce(len(list_filter(b, lambda c: regexp_matches(c, '^[±+\\-]?\\
 len(list_filter(cells, lambda c: regexp_matches(c, '\\d') AND NOT regexp_matches(regexp_replace(c, '\\bN/?A\\b', '', 'g'), '[A-Za-z]'))) AS value_cells FROM b""",
 )
 def numeric_share(spark, sf_dir):
-    return ROWS.frame(spark).select("id", T.numeric_share(F.col("cells")).alias("share"), F.size(F.filter("cells", T.is_value_cell)).cast("long").alias("value_cells"))
+    return ROWS.frame(spark, sf_dir).select("id", T.numeric_share(F.col("cells")).alias("share"), F.size(F.filter("cells", T.is_value_cell)).cast("long").alias("value_cells"))
 
 
 @query("keyword_search", f"SELECT id FROM {NAMES.sql} WHERE regexp_matches(text, '(?i)CIFAR[\\s\\-]?10') UNION ALL SELECT doc_id + 100 FROM documents WHERE regexp_matches(text, '(?i)the[\\s\\-]?1')")
 def keyword_search(spark, sf_dir):
-    named = NAMES.frame(spark).where(F.col("text").rlike(T.keyword_pattern("cifar10"))).select("id")
+    named = NAMES.frame(spark, sf_dir).where(F.col("text").rlike(T.keyword_pattern("cifar10"))).select("id")
     return named.unionByName(table(spark, sf_dir, "documents").where(F.col("text").rlike(T.keyword_pattern("the1"))).select((F.col("doc_id") + 100).alias("id")))
 
 
@@ -266,11 +273,11 @@ SELECT stem, CASE WHEN length(m) > 3 AND NOT ({_JUNK}) THEN left(m, 150) ELSE co
 )
 def doc_title(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("stem"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("meta"), F.lit(None).cast("string").alias("first_page"))
-    rows = TITLES.frame(spark).unionByName(pages)
+    rows = TITLES.frame(spark, sf_dir).unionByName(pages)
     return rows.select("stem", T.chosen_title(F.col("meta"), F.col("first_page"), F.col("stem")).alias("title"))
 
 
-REWRITES = Fixture("id long, raw string, question string", [(1, "Standalone question: \"What is ECE?\"\nmore", "and that?"), (2, "\n\n", "why?"), (3, "why ?!", "Why?"), (4, "x" * 300, "short"), (5, "Rewritten: How is it trained", "how")])
+REWRITES = Fixture("id long, raw string, question string", [(1, "Standalone question: \"What is ECE?\"\nmore", "and that?"), (2, "\n\n", "why?"), (3, "why ?!", "Why?"), (4, "x" * 300, "short"), (5, "Rewritten: How is it trained", "how")], per="documents", ids="id", texts="raw", pick=True)
 
 
 @query(
@@ -279,7 +286,7 @@ REWRITES = Fixture("id long, raw string, question string", [(1, "Standalone ques
 SELECT id, CASE WHEN f IS NULL OR length(f) > greatest(200, length(question) * 4) OR trim(regexp_replace(lower(f), '[\\s?.!]+', ' ', 'g')) = trim(regexp_replace(lower(question), '[\\s?.!]+', ' ', 'g')) THEN question ELSE f END AS rewritten FROM r""",
 )
 def clean_rewrite(spark, sf_dir):
-    return REWRITES.frame(spark).select("id", T.clean_rewrite(F.col("raw"), F.col("question")).alias("rewritten"))
+    return REWRITES.frame(spark, sf_dir).select("id", T.clean_rewrite(F.col("raw"), F.col("question")).alias("rewritten"))
 
 
 @query("src_id_normalize", f"WITH p AS (SELECT page_id, {STRIP('string_split(url, chr(35))[1]')} AS u FROM pages), i AS (SELECT page_id, regexp_replace(regexp_replace(u, '^.*/(?:abs|pdf)/', ''), '(\\.pdf)?$|v\\d+(\\.pdf)?$', '') AS id FROM p) SELECT id, min(page_id) AS first_page FROM i GROUP BY id")
@@ -288,12 +295,12 @@ def src_id_normalize(spark, sf_dir):
     return ids.groupBy("id").agg(F.min("page_id").alias("first_page"))
 
 
-IDS = Fixture("id string", [("1612.01474v3",), ("cs/0112017",), ("2001.00001",)])
+IDS = Fixture("id string", [("1612.01474v3",), ("cs/0112017",), ("2001.00001",)], per="pages", ids="id", pick=True)
 
 
 @query("id_to_filename", f"SELECT id, replace(regexp_replace(id, 'v\\d+$', ''), '/', '_') AS file, replace(id, '/', '__') AS set_file FROM {IDS.sql}")
 def id_to_filename(spark, sf_dir):
-    return IDS.frame(spark).select("id", T.paper_file(F.col("id")).alias("file"), F.replace(F.col("id"), F.lit("/"), F.lit("__")).alias("set_file"))
+    return IDS.frame(spark, sf_dir).select("id", T.paper_file(F.col("id")).alias("file"), F.replace(F.col("id"), F.lit("/"), F.lit("__")).alias("set_file"))
 
 
 @query(
@@ -306,7 +313,7 @@ def history_text(spark, sf_dir):
     return answers.select("conv_id", "turn", T.history_text(F.col("text")).alias("text"))
 
 
-OVERLAPS = Fixture("id long, a string, b string", [(1, "one two three four five six seven", "four five six seven eight nine"), (2, "nothing shared here at all", "and nothing over there either"), (3, "short", "short"), (4, "the same text of some length", "the same text of some length")])
+OVERLAPS = Fixture("id long, a string, b string", [(1, "one two three four five six seven", "four five six seven eight nine"), (2, "nothing shared here at all", "and nothing over there either"), (3, "short", "short"), (4, "the same text of some length", "the same text of some length")], per="benchmark", ids="id", texts="b")
 
 
 @query(
@@ -315,7 +322,7 @@ OVERLAPS = Fixture("id long, a string, b string", [(1, "one two three four five
 SELECT id, CASE WHEN n IS NULL THEN concat(a, ' ', b) ELSE concat(a, substring(b, n + 1)) END AS merged FROM n""",
 )
 def merge_overlap(spark, sf_dir):
-    return OVERLAPS.frame(spark).select("id", T.overlap_merged(F.col("a"), F.col("b")).alias("merged"))
+    return OVERLAPS.frame(spark, sf_dir).select("id", T.overlap_merged(F.col("a"), F.col("b")).alias("merged"))
 
 
 @query("extract_json", "SELECT event_id, regexp_extract(concat('Reply: ', props, ' end'), '(?s)(\\{.*\\})', 1) AS body FROM events")
@@ -324,7 +331,7 @@ def extract_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.json_object(said).alias("body"))
 
 
-ERRORS = Fixture("id long, message string", [(1, "429 RESOURCE_EXHAUSTED quota"), (2, "404 model not found"), (3, "503 UNAVAILABLE"), (4, "httpx.ReadTimeout: timed out"), (5, "bad key"), (6, "quota of 500 reached: 429")])
+ERRORS = Fixture("id long, message string", [(1, "429 RESOURCE_EXHAUSTED quota"), (2, "404 model not found"), (3, "503 UNAVAILABLE"), (4, "httpx.ReadTimeout: timed out"), (5, "bad key"), (6, "quota of 500 reached: 429")], per="documents", ids="id", texts="message", pick=True)
 
 
 @query(
@@ -332,7 +339,7 @@ ERRORS = Fixture("id long, message string", [(1, "429 RESOURCE_EXHAUSTED quota")
     f"SELECT id, CASE WHEN contains(message, '429') OR contains(message, 'RESOURCE_EXHAUSTED') THEN 'rate_limit' WHEN contains(message, '404') OR contains(message, 'NOT_FOUND') THEN 'unknown_model' WHEN regexp_matches(message, '^\\s*50[0234]\\b|\\b(UNAVAILABLE|INTERNAL)\\b') THEN 'server_error' WHEN regexp_matches(message, 'ConnectError|ConnectTimeout|ReadTimeout|ReadError|WriteError|RemoteProtocolError|SSLError|TimeoutError|ConnectionError|ConnectionResetError') THEN 'network_error' ELSE 'other' END AS class FROM {ERRORS.sql}",
 )
 def error_class(spark, sf_dir):
-    return ERRORS.frame(spark).select("id", T.error_class(F.col("message")).alias("class"))
+    return ERRORS.frame(spark, sf_dir).select("id", T.error_class(F.col("message")).alias("class"))
 
 
 GRIDS = Fixture(
@@ -346,6 +353,7 @@ GRIDS = Fixture(
         (6, "plain text", "x"),
         (7, "| M | N |\n|---|---|\n| a | b |", "a b"),
     ],
+    per="documents", ids="id", texts="source", pick=True,
 )
 _ROWS = f"list_filter(list_transform(list_filter(string_split({STRIP('markdown')}, chr(10)), lambda x: contains(x, '|')), lambda x: list_transform(string_split(regexp_replace({STRIP('x')}, '^\\||\\|$', '', 'g'), '|'), lambda c: {STRIP('c')})), lambda r: NOT (len(list_filter(r, lambda c: c <> '')) > 0 AND len(list_filter(r, lambda c: c <> '' AND NOT regexp_matches(c, '^:?-{{2,}}:?$'))) = 0))"
 
@@ -353,7 +361,7 @@ _ROWS = f"list_filter(list_transform(list_filter(string_split({STRIP('markdown')
 @query("parse_markdown", f"SELECT id, array_to_string(list_transform({_ROWS.replace('{{2,}}', '{2,}')}, lambda r: array_to_string(r, ';')), '/') AS rows, len({_ROWS.replace('{{2,}}', '{2,}')}) AS n FROM {GRIDS.sql}")
 def parse_markdown(spark, sf_dir):
     rows = T.markdown_rows(F.col("markdown"))
-    return GRIDS.frame(spark).select("id", F.array_join(F.transform(rows, lambda r: F.array_join(r, ";")), "/").alias("rows"), F.size(rows).cast("long").alias("n"))
+    return GRIDS.frame(spark, sf_dir).select("id", F.array_join(F.transform(rows, lambda r: F.array_join(r, ";")), "/").alias("rows"), F.size(rows).cast("long").alias("n"))
 
 
 @query(
@@ -369,7 +377,7 @@ SELECT v.id, CASE WHEN len(rows) < 2 THEN 'fewer than one header and one data ro
 FROM v LEFT JOIN bad ON bad.id = v.id""",
 )
 def check_markdown(spark, sf_dir):
-    return GRIDS.frame(spark).select("id", T.check_markdown(F.col("markdown"), F.col("source")).alias("reason"))
+    return GRIDS.frame(spark, sf_dir).select("id", T.check_markdown(F.col("markdown"), F.col("source")).alias("reason"))
 
 
 @query(
@@ -377,13 +385,13 @@ def check_markdown(spark, sf_dir):
     f"SELECT id, array_to_string(list_filter(list_transform(flatten(list_transform(string_split(markdown, chr(10))[3:], lambda x: string_split(regexp_replace(x, '^\\|+|\\|+$', '', 'g'), '|'))), lambda c: {STRIP('c')}), lambda c: regexp_matches(c, '^[±+\\-]?\\d')), ',') AS found FROM {GRIDS.sql}",
 )
 def grid_values(spark, sf_dir):
-    return GRIDS.frame(spark).select("id", F.array_join(T.grid_values(F.col("markdown")), ",").alias("found"))
+    return GRIDS.frame(spark, sf_dir).select("id", F.array_join(T.grid_values(F.col("markdown")), ",").alias("found"))
 
 
 @query("grid_to_markdown")
 def grid_to_markdown(spark, sf_dir):
     grid = T.markdown_rows(F.col("markdown"))
-    rows = GRIDS.frame(spark).where("markdown like '|%'")
+    rows = GRIDS.frame(spark, sf_dir).where("markdown like '|%'")
     return rows.select("id", T.grid_markdown(T.merged_header(grid)).alias("markdown"), T.grid_reason(grid).alias("reason"))
 
 
@@ -397,19 +405,20 @@ TABLE_REPLIES = Fixture(
         (5, "I cannot do that."),
         (6, None),
     ],
+    per="documents", ids="id", texts="reply", pick=True, sep="\n",
 )
 
 
 @query("parse_tables")
 def parse_tables(spark, sf_dir):
     """Tables of model replies; a reply that follows no format has one row without a table."""
-    rows = TABLE_REPLIES.frame(spark).withColumn("_t", T.reply_tables(F.col("reply")))
+    rows = TABLE_REPLIES.frame(spark, sf_dir).withColumn("_t", T.reply_tables(F.col("reply")))
     return rows.select("id", F.col("_t").isNull().alias("failed"), F.inline_outer("_t"))
 
 
-MODELS = Fixture("name string", [("gem-2.0-flash",), ("gem-2.5-flash",), ("gem-3.0-flash-preview",), ("gem-2.5-flash-lite",), ("gem-9-pro",)])
+MODELS = Fixture("name string", [("gem-2.0-flash",), ("gem-2.5-flash",), ("gem-3.0-flash-preview",), ("gem-2.5-flash-lite",), ("gem-9-pro",)], per="pages", ids="name", pick=True, behind=True)
 
 
-@query("pick_model", f"SELECT name FROM {MODELS.sql} WHERE contains(name, 'flash') AND NOT contains(name, 'lite') ORDER BY contains(name, 'preview') OR contains(name, 'exp'), -CAST(regexp_extract(name, '\\d+(?:\\.\\d+)?') AS DOUBLE), name LIMIT 1")
+@query("pick_model", f"SELECT name FROM {MODELS.sql} WHERE contains(name, 'flash') AND NOT contains(name, 'lite') ORDER BY contains(name, 'preview') OR contains(name, 'exp'), list_transform(regexp_extract_all(name, '\\d+(?:\\.\\d+)?'), lambda x: -CAST(x AS DOUBLE)), name LIMIT 1")
 def pick_model(spark, sf_dir):
-    return closest_model(MODELS.frame(spark), "gem-1.5-flash")
+    return closest_model(MODELS.frame(spark, sf_dir), "gem-1.5-flash")

@@ -8,7 +8,7 @@ from corvane.catalog import query
 from corvane.functions import uncertainty as U
 from corvane.operators import statistics as S
 from corvane.plans.evaluation import rounded, sql_auroc
-from corvane.session import Fixture, table, written
+from corvane.session import table, written
 
 # fixed values: factors of the corruptions by severity
 NOISE = (0.04, 0.06, 0.08, 0.09, 0.10)
@@ -383,11 +383,9 @@ def edl_loss_digamma(spark, sf_dir):
     return evidence(spark, sf_dir).select("vec_id", U.edl_loss_udf()("evidence", "label", F.lit(5)).alias("loss"))
 
 
-ATTEMPTS = Fixture("attempt int", [(i,) for i in range(8)])
-
-
-@query("backoff_schedule", f"SELECT attempt, least(60.0, greatest(2.0, 2 * 2.0 ** attempt)) AS rate_limit, least(30.0, 3 * 2.0 ** attempt) AS server FROM {ATTEMPTS.sql}")
+@query("backoff_schedule", "SELECT event_id, event_id % 8 AS attempt, least(60.0, greatest(2.0, 2 * 2.0 ** (event_id % 8))) AS rate_limit, least(30.0, 3 * 2.0 ** (event_id % 8)) AS server FROM events WHERE event_type = 'error'")
 def backoff_schedule(spark, sf_dir):
-    """Seconds to wait before each further attempt."""
+    """Seconds to wait before each further attempt (errors among the events, in one of eight attempts)."""
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", (F.col("event_id") % 8).alias("attempt"))
     power = F.pow(F.lit(2.0), F.col("attempt"))
-    return ATTEMPTS.frame(spark).select("attempt", F.least(F.lit(60.0), F.greatest(F.lit(2.0), 2 * power)).alias("rate_limit"), F.least(F.lit(30.0), 3 * power).alias("server"))
+    return errors.select("event_id", "attempt", F.least(F.lit(60.0), F.greatest(F.lit(2.0), 2 * power)).alias("rate_limit"), F.least(F.lit(30.0), 3 * power).alias("server"))

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What the engine expects of a session; all else is the cluster's.
 SETTINGS = {
@@ -104,19 +105,63 @@ def _literal(value: object) -> str:
 
 
 class Fixture:
-    """A small literal table: a DataFrame for Spark, a VALUES list for SQL."""
+    """Rows laid over a given table: for Spark a DataFrame of these, for SQL a subquery.
 
-    def __init__(self, schema: str, rows: Iterable[tuple]):
-        self.schema, self.rows = schema, list(rows)
+    A written row is a case, and each row of the table ``per`` makes its own copy of it: ``ids`` bear the table row's key (texts in front,
+    or behind with ``behind``; whole numbers are moved by 1000 a key), ``texts`` have the row's text behind them (arrays: as a
+    further element), ``moved`` numbers are shifted by the key's remainder by 7. With ``pick`` a row of the table makes one case
+    only, the cases taking turns. Without ``per`` it is the written rows alone.
+    """
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def __init__(self, schema: str, rows: Iterable[tuple], per: str | None = None, ids: str = "", texts: str = "", moved: str = "", pick: bool = False, behind: bool = False, sep: str = " "):
+        self.schema, self.rows, self.per = schema, list(rows), per
+        self.ids, self.texts, self.moved, self.pick, self.behind, self.sep = ids.split(), texts.split(), moved.split(), pick, behind, sep
+        self.columns = [tuple(x.strip().split(" ", 1)) for x in schema.split(", ")]
+
+    #: Key and text of the tables that cases are laid over.
+    TABLES = {"documents": ("doc_id", "text"), "pages": ("page_id", "url"), "benchmark": ("item_id", "text"), "events": ("event_id", "event_type")}
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        written = spark.createDataFrame(self.rows, self.schema)
+        if self.per is None:
+            return written
+        key, text = self.TABLES[self.per]
+        cases = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(name) if not isinstance(v, (list, tuple)) else F.array(*map(F.lit, v)).cast(kind).alias(name) for (name, kind), v in zip(self.columns, row, strict=True)]) for row in self.rows])
+        over = table(spark, sf_dir, self.per).select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
+        laid = over.select("_k", "_t", F.inline(F.array(F.element_at(cases, (F.pmod("_k", F.lit(len(self.rows))) + 1).cast("int"))) if self.pick else cases))
+        return laid.select(*[self._own(name, kind).alias(name) for name, kind in self.columns])
+
+    def _own(self, name: str, kind: str) -> Column:
+        c, k = F.col(name), F.col("_k")
+        if name in self.ids and kind == "string":
+            parts = [c, F.lit("~"), k.cast("string")] if self.behind else [k.cast("string"), F.lit("~"), c]
+            return F.concat(*parts)
+        if name in self.ids:
+            return (c + 1000 * k).cast(kind)
+        if name in self.texts:
+            return F.array_append(c, F.col("_t")) if kind.startswith("array") else F.concat(c, F.lit(self.sep), F.col("_t"))
+        return (c + k % 7).cast(kind) if name in self.moved else c
 
     @property
     def sql(self) -> str:
         kinds = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
-        pairs = [x.strip().split(" ", 1) for x in self.schema.split(", ")]
         cast = lambda k: kinds[k[6:-1]] + "[]" if k.startswith("array<") else kinds[k]
-        columns = ", ".join(f"CAST({name} AS {cast(kind)}) AS {name}" for name, kind in pairs)
-        rows = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in self.rows)
-        return f"(SELECT {columns} FROM (VALUES {rows}) AS v({', '.join(name for name, _ in pairs)}))"
+        columns = ", ".join(f"CAST({name} AS {cast(kind)}) AS {name}" for name, kind in self.columns)
+        rows = ", ".join("(" + ", ".join(map(_literal, (*row, i))) + ")" for i, row in enumerate(self.rows))
+        written = f"(SELECT {columns}, _i FROM (VALUES {rows}) AS v({', '.join(name for name, _ in self.columns)}, _i))"
+        if self.per is None:
+            return f"(SELECT {', '.join(name for name, _ in self.columns)} FROM {written})"
+        key, text = self.TABLES[self.per]
+        own = ", ".join(f"{self._sql(name, kind, cast(kind))} AS {name}" for name, kind in self.columns)
+        turn = f" AND _i = _k % {len(self.rows)}" if self.pick else ""
+        return f"(SELECT {own} FROM {written} AS f JOIN (SELECT {key} AS _k, {text} AS _t FROM {self.per}) AS o ON true{turn})"
+
+    def _sql(self, name: str, kind: str, cast: str) -> str:
+        c = f"f.{name}"
+        if name in self.ids and kind == "string":
+            return f"CASE WHEN {c} IS NOT NULL THEN concat({f"{c}, '~', _k" if self.behind else f"_k, '~', {c}"}) END"
+        if name in self.ids:
+            return f"CAST({c} + 1000 * _k AS {cast})"
+        if name in self.texts:
+            return f"CASE WHEN _t IS NOT NULL THEN list_append({c}, _t) END" if kind.startswith("array") else f"({c} || {_literal(self.sep)} || _t)"
+        return f"CAST({c} + _k % 7 AS {cast})" if name in self.moved else c

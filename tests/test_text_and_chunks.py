@@ -17,7 +17,7 @@ def value(spark, column, **texts):
 
 def test_nfkc_and_unicode_spaces(spark):
     assert value(spark, T.nfkc(F.col("x")), x="ﬁt EnD²") == "fit EnD2"
-    assert value(spark, T.search_tokens(F.col("x"), compose=True), x="EnD² on CIFAR-10, C100") == ["end2", "on", "cifar10", "cifar100"]
+    assert value(spark, T.search_tokens(F.col("x")), x="EnD² on CIFAR-10, C100") == ["end2", "on", "cifar10", "cifar100"]
     assert value(spark, T.words(F.col("x")), x="a b  c") == ["a", "b", "c"]
     assert value(spark, T.clean_page(F.col("x")), x="é-\nx y") == "éx y"
 
@@ -101,10 +101,10 @@ def test_safe_files(spark):
 
 
 def test_tables_of_replies(spark):
-    from corvane import catalog
+    from corvane.plans.text import TABLE_REPLIES
 
-    catalog.load()
-    rows = catalog.QUERIES["parse_tables"](spark, "").collect()
+    replies = spark.createDataFrame(TABLE_REPLIES.rows, TABLE_REPLIES.schema).withColumn("_t", T.reply_tables(F.col("reply")))
+    rows = replies.select("id", F.col("_t").isNull().alias("failed"), F.inline_outer("_t")).collect()
     got = {}
     for r in rows:
         got.setdefault(r.id, []).append((r.failed, r.caption, r.description, r.markdown))
