@@ -68,13 +68,8 @@ def pattern(left: np.ndarray, capacity: int) -> dict[int, int]:
             gap -= k * int(n)
         if not gap:
             return used
-    if sum(used.values()) < 2:
-        least, room = 0, gap  # a lone document stays; it cannot be replaced by more than fits beside it
-    else:
-        least = min(used)
-        room = gap + least
-    if not least:
-        return used
+    least = min(used)
+    room = gap + least
     free = left.copy()
     for n, k in used.items():
         free[n] -= k

@@ -175,8 +175,11 @@ def scan(docs: DataFrame, model: list[float] | None = None, text: str = "text")
     with_base = docs.withColumn("base_spans", F.array_sort(F.concat(*base)))
     found = F.when(whole.rlike(CANDIDATE), _spans(whole, len(BASE), CANDIDATE, 0, 20, said=True)).otherwise(F.array().cast(SAID))
     random = F.filter(found, lambda c: ratio(c["said"], model) > MARGIN)
-    kept = F.transform(F.when(F.size("_random") > 0, apart(F.col("base_spans"), F.col("_random"))).otherwise(F.array().cast(SAID)), lambda s: s.dropFields("said"))
-    return with_base.withColumn("_random", random).withColumn("all_spans", F.array_sort(F.concat("base_spans", kept))).drop("_random")
+    held = "_random"
+    while held in docs.columns:
+        held += "_"
+    kept = F.transform(F.when(F.size(held) > 0, apart(F.col("base_spans"), F.col(held))).otherwise(F.array().cast(SAID)), lambda s: s.dropFields("said"))
+    return with_base.withColumn(held, random).withColumn("all_spans", F.array_sort(F.concat("base_spans", kept))).drop(held)
 
 
 def _joined(spans: str) -> Column:

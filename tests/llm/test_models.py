@@ -328,3 +328,9 @@ def test_tree_fits_its_table():
     rows, labels = html_text.labelled()
     tree = html_text.train(rows, labels)
     assert np.mean([(html_text.score(tree, r) >= 0.5) == bool(y) for r, y in zip(rows, labels)]) > 0.95
+
+
+def test_secret_scan_passes_on_columns_of_any_name(spark):
+    rows = [(1, "api_key = 'abcdefghijkl0123'", "a", "b"), (2, "zQ8xK2vB7nM4pL1jH6gF3dS9aW5e", "c", "d")]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string, _random string, _random_ string"), secret_scan.train(spark.createDataFrame(rows, "doc_id bigint, text string, x string, y string"))).collect()
+    assert sorted((r.doc_id, r["_random"], r["_random_"]) for r in got) == [(1, "a", "b"), (2, "c", "d")]

@@ -200,3 +200,53 @@ def test_sentencepiece_returns_ids_that_decode_spells(spark, tmp_path, monkeypat
     assert {r.doc_id: r.decoded for r in decode(rows, vocabulary(pieces.VOCABULARY)).collect()} == {1: "Some words, ünï 漢字 twice twice", 2: "", 3: "", 4: "a b  c\n"}
     monkeypatch.setattr(pieces, "decode", lambda *a: decode(*a).withColumn("decoded", F.lit("x")))
     assert not any(r.round_trip for r in pieces.op5_sentencepiece(spark, sf).collect())
+
+
+def test_two_documents_replace_a_lone_one():
+    left = np.zeros(2049, dtype=np.int64)
+    left[[1100, 1010, 1000]] = 1
+    assert packing.pattern(left, 2048) == {1010: 1, 1000: 1}
+    left[[1010, 1000]] = 0
+    assert packing.pattern(left, 2048) == {1100: 1}
+
+
+def test_packing_of_the_table(spark):
+    """Every token of every whole text is in one place, without gaps, in as few sequences as can be."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = packing.op2_best_fit_packing(spark, sf).collect()
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == set(texts)
+    for doc, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        own = sorted(pieces[doc], key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own)))
+        assert [r.start for r in own] == list(range(0, len(ids), 2048)) and all(r.length == min(2048, len(ids) - r.start) for r in own)
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes())
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
+
+
+def test_token_counts_of_the_table_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op7_token_counts(spark, sf).collect()}
+    want = {d: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for d, t in texts.items()}
+    assert got == {d: (b, n, n > 512) for d, (b, n) in want.items()}
