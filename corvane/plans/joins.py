@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.catalog import query
 from corvane.functions import text as T
 from corvane.operators import enrich as E
+from corvane.operators import overlay as O
 from corvane.operators import ranking as R
 from corvane.operators.index import bm25
 from corvane.plans.retrieval import DOCS, STATS, sql_bm25
@@ -167,6 +168,31 @@ def config_overlay(spark, sf_dir):
     return SETTINGS.frame(spark, sf_dir).select("key", F.coalesce("given", "file", "fallback").alias("value"))
 
 
+_LAYERS = """SELECT doc_id, json_object('source', source, 'stats', json_object('chars', n_chars, 'lang', lang), 'run', json_object('opt', json_object('lr', 1, 'by', 'sgd'), 'seed', 0)) AS low,
+CASE doc_id % 4 WHEN 0 THEN json_object('stats', json_object('lang', 'other'), 'run', json_object('opt', json_object('lr', doc_id))) WHEN 1 THEN json_object('run', json_object('opt', 'none')) WHEN 2 THEN json_object('stats', json('{}'), 'source', json('{}')) ELSE json('{}') END AS mid,
+CASE WHEN doc_id % 3 = 0 THEN json_object('run', json_object('opt', json_object('by', 'adam', 'beta', json_object('one', 9))), 'stats', doc_id) ELSE json_object('run', json_object('seed', doc_id % 5)) END AS high FROM documents"""
+
+
+@query(
+    "config_overlay_nested",
+    f"""WITH l AS ({_LAYERS}), m AS (SELECT doc_id, json_merge_patch(json_merge_patch(low, mid), high) AS j FROM l)
+SELECT doc_id, {', '.join(f"json_extract_string(j, '$.{p}') AS {c}" for c, p in (('lang', 'stats.lang'), ('chars', 'stats.chars'), ('lr', 'run.opt.lr'), ('by_', 'run.opt.by'), ('beta', 'run.opt.beta.one'), ('seed', 'run.seed')))}, replace(json_extract_string(j, '$.source'), ' ', '') AS source, CASE WHEN json_type(j, '$.stats') = 'UBIGINT' THEN json_extract_string(j, '$.stats') END AS stats, CASE WHEN json_type(j, '$.run.opt') = 'VARCHAR' THEN json_extract_string(j, '$.run.opt') END AS opt FROM m""",
+)
+def config_overlay_nested(spark, sf_dir):
+    """Three layers of nested settings for each document, merged whatever their depth."""
+    d, body = F.col("doc_id"), lambda **c: F.to_json(F.struct(*[v.alias(n) for n, v in c.items()]), {"ignoreNullFields": "false"})
+    nest = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    low = body(source=F.col("source"), stats=nest(chars=F.col("n_chars"), lang=F.col("lang")), run=nest(opt=nest(lr=F.lit(1), by=F.lit("sgd")), seed=F.lit(0)))
+    mid = F.when(d % 4 == 0, body(stats=nest(lang=F.lit("other")), run=nest(opt=nest(lr=d)))).when(d % 4 == 1, body(run=nest(opt=F.lit("none")))).when(d % 4 == 2, F.lit('{"stats": {}, "source": {}}')).otherwise(F.lit("{}"))
+    high = F.when(d % 3 == 0, body(run=nest(opt=nest(by=F.lit("adam"), beta=nest(one=F.lit(9)))), stats=d)).otherwise(body(run=nest(seed=d % 5)))
+    layers = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(low, mid, high)).alias("layer", "body"))
+    merged = O.overlay(layers, "doc_id")
+    at = lambda path: F.get_json_object("body", f"$.{path}")
+    names = {"lang": "stats.lang", "chars": "stats.chars", "lr": "run.opt.lr", "by_": "run.opt.by", "beta": "run.opt.beta.one", "seed": "run.seed", "source": "source"}
+    whole = F.when(~F.startswith(at("stats"), F.lit("{")), at("stats")).alias("stats"), F.when(~F.startswith(at("run.opt"), F.lit("{")), at("run.opt")).alias("opt")
+    return merged.select("doc_id", *[at(p).alias(c) for c, p in names.items()], *whole)
+
+
 CANDIDATES = Fixture("qid string, category string, status string, edited boolean, chunk_id string, of string", [("q1", "semantic", "kept", False, "a__0", CHUNKS.rows[0][4]), ("q2", "semantic", "dropped", False, "a__1", "0"), ("q3", "exact_term", "kept", True, "b__1", "nothing"), ("q4", "unanswerable", "pending", False, None, None), ("q5", "unanswerable", "kept", False, None, None)], per="pages", ids="qid chunk_id", texts="of")
 
 
