@@ -68,7 +68,8 @@ def bm25(index: Index | DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     """
     index = index if isinstance(index, Index) else build_index(index)
     asked = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("asked"))
-    weights = broadcast_if_small(asked).join(index.terms, "term")
+    # a table: what decides on the broadcast is then read from its footers, and terms are gone through once
+    weights = written(broadcast_if_small(asked).join(index.terms, "term"), "term-weights")
     tf, length = F.col("tf"), F.col("length") / F.col("mean_length")
     weight = F.col("idf") * F.col("asked") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
     met = index.postings.join(broadcast_if_small(weights), "term").crossJoin(F.broadcast(index.stats))  # one row

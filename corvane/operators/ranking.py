@@ -11,8 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from corvane.session import written
 
 RRF_K = 60
 
@@ -27,37 +31,54 @@ def ranked(scores: DataFrame, by: list[str], most: int | None = None, ties: tupl
     return out.where(F.col("rank") <= most) if most else out
 
 
+#: Vectors of a block.
+VECTOR_BLOCK = 1024
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, vector) put together to blocks: their ids, and their vectors end to end."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, VECTOR_BLOCK):
+            part = batch.slice(start, VECTOR_BLOCK)
+            ids, flat = part.column(0), part.column(1).flatten()
+            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([whole(ids), whole(flat)], names=["ids", "flat"])
+
+
+def _local(most: int):
+    """For mapInArrow: pairs of a block of queries and a block of vectors to the ``most`` best of each query there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                qids, chunks = (batch.column(c)[row].values for c in ("qids", "ids"))
+                asked, held = (batch.column(c)[row].values.to_numpy().reshape(n, -1) for c, n in (("asked", len(qids)), ("flat", len(chunks))))
+                near = np.round(asked @ held.T, 12)
+                order = np.argsort(chunks.to_numpy(zero_copy_only=False), kind="stable")
+                first = order[np.argsort(-np.round(near[:, order], 9), axis=1, kind="stable")[:, :most]]
+                scores = np.take_along_axis(near, first, axis=1).reshape(-1)
+                own = np.repeat(np.arange(len(qids)), first.shape[1])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(own)), chunks.take(pa.array(first.reshape(-1))), pa.array(scores)], names=["qid", "chunk_id", "score"])
+
+    return run
+
+
 def dense(vectors: DataFrame, queries: DataFrame, most: int, block: int = 4096) -> DataFrame:
     """qid, chunk_id, score, rank: the ``most`` largest inner products of (qid, vector) over (chunk_id, vector).
 
-    Queries go along in blocks; every batch of vectors keeps its own ``most`` for each, and only these meet.
+    Queries are put together to blocks of about ``block``, vectors to blocks of VECTOR_BLOCK as they are read; each pair of blocks
+    keeps its own ``most`` for each query, and only these meet. Blocks of queries are broadcast if there are few.
     """
-    spark = vectors.sparkSession
     held = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
-    out = None
-    n = held.count()
-    for part in range(max(1, -(-n // block))):  # a set of queries is a stated, bounded input; blocks bound what a task holds
-        own = held if n <= block else held.where(F.pmod(F.xxhash64("qid"), F.lit(-(-n // block))) == part)
-        rows = own.toPandas()
-        ids, matrix = rows["qid"].to_numpy(), np.array(rows["vector"].tolist(), dtype=np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def local(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                near = np.round(matrix @ np.array(batch["vector"].tolist(), dtype=np.float64).T, 12)
-                chunks = batch["chunk_id"].to_numpy()
-                order = np.argsort(chunks, kind="stable")
-                first = order[np.argsort(-np.round(near[:, order], 9), axis=1, kind="stable")[:, :most]]
-                yield pd.DataFrame({"qid": np.repeat(ids, first.shape[1]), "chunk_id": chunks[first].reshape(-1), "score": np.take_along_axis(near, first, axis=1).reshape(-1)})
-
-        kinds = dict(vectors.dtypes)
-        schema = f"qid {dict(queries.dtypes)['qid']}, chunk_id {kinds['chunk_id']}, score double"
-        near = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(local, schema)
-        out = near if out is None else out.unionByName(near)
-    return ranked(out, ["qid"], most)
+    blocks = max(1, -(-held.count() // block))
+    dealt = held.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_block")).agg(F.collect_list("qid").alias("qids"), F.flatten(F.collect_list("vector")).alias("asked")).drop("_block")
+    asked = F.broadcast(dealt) if blocks <= 8 else written(dealt, "query-blocks")
+    kinds = (queries.schema["qid"].dataType, vectors.schema["chunk_id"].dataType)
+    packed = StructType([StructField("ids", ArrayType(kinds[1])), StructField("flat", ArrayType(DoubleType()))])
+    there = vectors.where(F.col("vector").isNotNull()).select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_blocks, packed)
+    found = StructType([StructField("qid", kinds[0]), StructField("chunk_id", kinds[1]), StructField("score", DoubleType())])
+    # every block of queries meets every block of vectors: a stated set of queries against all rows
+    return ranked(there.crossJoin(asked).mapInArrow(_local(most), found), ["qid"], most)
 
 
 def rrf(rankings: list[DataFrame], by: list[str], k: int = RRF_K) -> DataFrame:

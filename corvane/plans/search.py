@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import search_tokens
 from corvane.operators import ranking as R
 from corvane.operators.index import Index, bm25, build_index
-from corvane.session import table, written
+from corvane.session import stored, table, written
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,7 @@ class Corpus:
     variants: DataFrame | None = None
     scorer: Callable[[Column, Column], Column] = R.shared_tokens
     scored: str = "tokens"
+    source: str | None = None  # the files that the chunks are made from: what is made of these is kept for other searches
     _index: Index | None = field(default=None, init=False, repr=False)
     _split: DataFrame | None = field(default=None, init=False, repr=False)
 
@@ -66,16 +67,22 @@ class Corpus:
     def split(self) -> DataFrame:
         """chunk_id, tokens, paper, is_reference of the chunks, as a table: texts are split into tokens once."""
         if self._split is None:
-            self._split = written(self.chunks.select("chunk_id", "tokens", "paper", "is_reference"), "chunk-tokens")
+            self._split = self._kept("chunk-tokens", lambda: written(self.chunks.select("chunk_id", "tokens", "paper", "is_reference"), "chunk-tokens"), lambda t: [t])
         return self._split
 
     @property
     def index(self) -> Index:
         """The lexical index of the chunks, built when it is first asked for."""
         if self._index is None:
-            self._index = build_index(self.split.select("chunk_id", "tokens"))
+            self._index = self._kept("index", lambda: build_index(self.split.select("chunk_id", "tokens")), lambda i: [i.postings, i.terms, i.stats])
         return self._index
 
+    def _kept(self, what: str, make: Callable, tables: Callable[..., list[DataFrame]]):
+        if self.source is None:
+            return make()
+        folders = lambda made: [f.rpartition("/")[0] for t in tables(made) for f in t.inputFiles()[:1]]
+        return stored(self.chunks.sparkSession, self.source, what, make, folders)
+
 
 def lexical(corpus: Corpus, queries: DataFrame, most: int | None) -> DataFrame:
     return R.ranked(bm25(corpus.index, queries.select("qid", "tokens")), ["qid"], most)
@@ -145,4 +152,4 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     half = F.ceil(F.size("tokens") / 2).cast("int")
     parts = F.array(F.col("tokens"), F.slice("tokens", 1, half), F.slice("tokens", half + 1, F.greatest(F.size("tokens") - half, F.lit(0))))
     variants = items.select("qid", F.posexplode(parts).alias("variant", "tokens")).join(vectors.select((F.col("chunk_id") - 100).alias("_v"), "vector"), F.col("_v") == F.col("qid") + F.col("variant"), "left").drop("_v")
-    return Corpus(docs, vectors, queries, variants)
+    return Corpus(docs, vectors, queries, variants, source=f"{sf_dir.rstrip('/')}/documents.parquet")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: What the engine expects of a session; all else is the cluster's.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -92,6 +95,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STORED: dict[str, tuple[list[str], object]] = {}
+
+
+def stored(spark: SparkSession, source: str, what: str, make: Callable[[], T], paths: Callable[[T], list[str]]) -> T:
+    """What ``make`` has made of the files at ``source``, once for an application while these stay as they are.
+
+    Known by the files' names, lengths and times, which a scan without contents tells; made again if its own files are gone.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    said = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    key = f"{spark.sparkContext.applicationId} {what} {source} {tuple(said)}"
+    if key in _STORED and all(_there(spark, p) for p in _STORED[key][0]):
+        return _STORED[key][1]  # type: ignore[return-value]
+    made = make()
+    _STORED[key] = (paths(made), made)
+    return made
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held)
+
+
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"
