@@ -11,7 +11,7 @@ from corvane.operators.index import containing
 from corvane.plans.retrieval import SWEEP, sql_search, sql_swept
 from corvane.plans.search import CONFIGS, corpus, search
 from corvane.plans.sweep import sweep as swept
-from corvane.session import Fixture, table, written
+from corvane.session import Fixture, stored, table, written
 
 LABELS = "labels_ AS (SELECT item_id AS qid, doc_id AS chunk_id, 1.0::DOUBLE AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text)), queries_ AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'exact_term' ELSE 'multi_paper' END AS category FROM benchmark)"
 KS = (1, 3, 5, 10)
@@ -90,12 +90,16 @@ _CONFIGS = ", ".join(f"('{c}')" for c in CONFIGS)
 SWEPT = f"{SWEEP}, runs AS MATERIALIZED ({_ALL}), {LABELS}, judged_ AS (SELECT config, qid FROM queries_ CROSS JOIN (VALUES {_CONFIGS}) AS v(config)), {sql_metrics('runs', 'config, qid')}"
 
 
-def sweep(spark, sf_dir, configs=CONFIGS):
-    """config, qid, category, top_score and the metrics of every query under every configuration."""
-    runs = written(swept(corpus(spark, sf_dir), configs), "sweep-runs")
-    asked = questions(spark, sf_dir).withColumn("config", F.explode(F.array(*[F.lit(n) for n in configs])))
-    top = runs.where("rank = 1").select("config", "qid", F.col("score").alias("top_score"))
-    return M.per_query(runs, labels(spark, sf_dir), asked, ["config", "qid"]).join(asked, ["config", "qid"]).join(top, ["config", "qid"], "left")
+def sweep(spark, sf_dir):
+    """config, qid, category, top_score and the metrics of every query under every configuration; kept for all queries over the same files."""
+
+    def make():
+        runs = written(swept(corpus(spark, sf_dir), CONFIGS), "sweep-runs")
+        asked = questions(spark, sf_dir).withColumn("config", F.explode(F.array(*[F.lit(n) for n in CONFIGS])))
+        top = runs.where("rank = 1").select("config", "qid", F.col("score").alias("top_score"))
+        return written(M.per_query(runs, labels(spark, sf_dir), asked, ["config", "qid"]).join(asked, ["config", "qid"]).join(top, ["config", "qid"], "left"), "sweep-metrics")
+
+    return stored(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("documents", "embeddings", "benchmark")], "sweep", make, lambda rows: [rows])
 
 
 def rounded(rows, names, digits=9):
@@ -213,7 +217,7 @@ SELECT config, metric, len(d) AS n, round(list_sum(d) / len(d), 9) AS delta, CAS
 )
 def significance(spark, sf_dir):
     """Intervals of every configuration against the baseline, for recall and reciprocal rank."""
-    long = written(deltas(spark, sf_dir), "sweep-deltas").unpivot(["config", "qid"], ["recall_5", "mrr"], "metric", "delta")
+    long = deltas(spark, sf_dir).unpivot(["config", "qid"], ["recall_5", "mrr"], "metric", "delta")
     return rounded(S.bootstrap(long, ["config", "metric"], "delta", "qid"), ["delta", "ci_low", "ci_high"])
 
 
@@ -227,7 +231,7 @@ SELECT config, round(auroc, 9) AS auroc, threshold, round(accuracy, 9) AS accura
 )
 def abstention_by_config(spark, sf_dir):
     """How well the first result's score tells answerable queries, by configuration."""
-    rows = written(sweep(spark, sf_dir).select("config", F.round(F.coalesce("top_score", F.lit(0.0)), 9).alias("score"), (F.col("n_relevant") > 0).alias("answerable")), "sweep-scores")
+    rows = sweep(spark, sf_dir).select("config", F.round(F.coalesce("top_score", F.lit(0.0)), 9).alias("score"), (F.col("n_relevant") > 0).alias("answerable"))
     best = S.best_threshold(rows, ["config"], F.col("score"), F.col("answerable"))
     told = S.auroc(rows, ["config"], F.col("score"), F.col("answerable"))
     return rounded(told.join(best, "config"), ["auroc", "accuracy", "false_answer", "false_abstain"])

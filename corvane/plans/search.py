@@ -80,8 +80,7 @@ class Corpus:
     def _kept(self, what: str, make: Callable, tables: Callable[..., list[DataFrame]]):
         if self.source is None:
             return make()
-        folders = lambda made: [f.rpartition("/")[0] for t in tables(made) for f in t.inputFiles()[:1]]
-        return stored(self.chunks.sparkSession, self.source, what, make, folders)
+        return stored(self.chunks.sparkSession, self.source, what, make, tables)
 
 
 def lexical(corpus: Corpus, queries: DataFrame, most: int | None) -> DataFrame:

@@ -98,7 +98,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _STORED: dict[str, tuple[list[str], object]] = {}
 
 
-def stored(spark: SparkSession, source: str, what: str, make: Callable[[], T], paths: Callable[[T], list[str]]) -> T:
+def stored(spark: SparkSession, source: str | list[str], what: str, make: Callable[[], T], tables: Callable[[T], list[DataFrame]]) -> T:
     """What ``make`` has made of the files at ``source``, once for an application while these stay as they are.
 
     Known by the files' names, lengths and times, which a scan without contents tells; made again if its own files are gone.
@@ -109,7 +109,7 @@ def stored(spark: SparkSession, source: str, what: str, make: Callable[[], T], p
     if key in _STORED and all(_there(spark, p) for p in _STORED[key][0]):
         return _STORED[key][1]  # type: ignore[return-value]
     made = make()
-    _STORED[key] = (paths(made), made)
+    _STORED[key] = ([f.rpartition("/")[0] for t in tables(made) for f in t.inputFiles()[:1]], made)
     return made
 
 

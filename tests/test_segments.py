@@ -2,11 +2,9 @@
 
 import random
 
-import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from corvane import catalog
 from corvane.functions.text import search_tokens
 from corvane.operators import ranking as R
 from corvane.operators import segments as G
@@ -15,13 +13,7 @@ from corvane.sources import manifest
 from corvane.sources.files import read_index, write_index
 from corvane.streaming.sessions import index_sessions
 
-SF = "/root/testdata/sf0.001"
 ROWS = "scope string, chunk_id int, tokens array<string>, vector array<double>"
-catalog.load()
-
-
-def test_sessions_of_the_tables_agree_with_sql(spark):
-    assert oracle.differences(catalog.QUERIES["session_search"](spark, SF), catalog.ORACLE_SQL["session_search"], oracle.connect(SF)) == []
 
 
 def chunks(own, scope, ids):

@@ -7,26 +7,17 @@ import sys
 import zlib
 
 import numpy as np
-import oracle
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from corvane import catalog
 from corvane.operators import spans as P
 from corvane.operators.models import embedder, tokenizer
 from corvane.operators.chunking import page_char_map
 
-SF = "/root/testdata/sf0.001"
-catalog.load()
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the models here travel to the workers
 
 
-@pytest.mark.parametrize("name", ["chunk_fixed", "chunk_pages", "upload_chunk_ids", "page_char_map", "page_for_char"])
-def test_queries_agree_with_sql(spark, name):
-    assert oracle.differences(catalog.QUERIES[name](spark, SF), catalog.ORACLE_SQL[name], oracle.connect(SF)) == []
-
-
 def letters_and_digits():
     """A tokenizer whose tokens are not runs without white space: letters, digits and marks apart, three letters at most."""
     return lambda texts: [[(k, *m.span()) for k, m in enumerate(re.finditer(r"[^\W\d]{1,3}|\d|[^\w\s]", t))] for t in texts]

@@ -3,19 +3,11 @@
 import random
 import time
 
-import oracle
 from pyspark.sql import functions as F
 
-from corvane import catalog
 from corvane.streaming.turns import in_order
 
-SF = "/root/testdata/sf0.001"
 SCHEMA = "conv string, turn int, text string"
-catalog.load()
-
-
-def test_turns_of_the_table_come_in_order(spark):
-    assert oracle.differences(catalog.QUERIES["stream_turns"](spark, SF), catalog.ORACLE_SQL["stream_turns"], oracle.connect(SF)) == []
 
 
 def drain(spark, folder, **kw):
