@@ -100,6 +100,25 @@ def closest_model(listed: DataFrame, wanted: str, family: str = "flash", variant
     return listed.select("name").orderBy(kin, trial, versions, "name").limit(1)
 
 
+#: fixed values: what a document's metadata may hold, in this order
+DOCUMENT_FIELDS = ("chunk_id", "arxiv_id", "title", "year", "page_start", "page_end", "score", "is_reference", "table_markdown", "table_grid_source", "figure_note", "figure_images")
+
+
+def as_documents(hits: DataFrame, *keys: str | Column) -> DataFrame:
+    """keys, page_content and metadata (a struct of those of DOCUMENT_FIELDS that ``hits`` has) of each hit."""
+    there = [c for c in DOCUMENT_FIELDS if c in hits.columns]
+    return hits.select(*keys, F.col("text").alias("page_content"), F.struct(*there).alias("metadata"))
+
+
+def judge_prompt(sources: Column, question: Column, sentences: Column, evidence: Column) -> Column:
+    """What a judge is asked: the numbered sources, the question, the answer's sentences, and the quotes that are not blank."""
+    numbered = F.transform(sentences, lambda s, i: F.concat(F.lit("SENTENCE "), (i + 1).cast("string"), F.lit(": "), s))
+    quotes = F.filter(F.coalesce(evidence, F.array().cast("array<string>")), lambda e: F.coalesce(e.rlike(r"(?U)\S"), F.lit(False)))
+    told = F.when(F.size(quotes) > 0, F.concat(F.array(F.lit("\nReference quote(s) the question was written from:")), F.transform(quotes, lambda q: F.concat(F.lit("- "), q)))).otherwise(F.array(F.lit("\nNo reference quote is given.")))
+    lines = F.concat(F.array(sources, F.concat(F.lit("\nQuestion: "), question, F.lit("\n")), F.lit("Answer, split into sentences:")), numbered, told)
+    return F.array_join(lines, "\n")
+
+
 def expand_split_tables(hits: DataFrame, chunks: DataFrame, by: list[str], most: int = 2, window: int = 30) -> DataFrame:
     """``hits`` with text and pages widened where a hit begins or ends within a table, and expanded_with.
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 TABLE_CAPTION = r"^\s*(?:TABLE|Table)\s+(\d+|[IVX]+)\s*[:.]\s"
 FIGURE_CAPTION = r"(?i)^\s*(?:Figure|Fig\.)\s+(\d+[a-z]?)\s*[:.]\s"
 LEAST_GAP, WORD_SPACE, WIDEST_SPACE = 6.0, 3.0, 8.0
+#: fixed value: the share of a page from which on a box is its background
+PAGE_SIZED = 0.9
 BAND_JUMP, FIGURE_HEIGHT, LEAST_FIGURE, AIR = 160.0, 420.0, 40.0, 4.0
 LEAST_HEIGHT, CAPTION_GAP, ROW_GAP, CONTINUED_GAP = 6.0, 5.0, 3.0, 1.6
 
@@ -62,10 +64,12 @@ def figure_areas(captions: DataFrame, boxes: DataFrame, page: list[str], keys: l
     """keys, x0, y0, x1, y1: the area of each caption's figure.
 
     The least rectangle around the boxes (bx0, by0, bx1, by1) of the page that end above the caption and not too
-    far up, else of those that begin below it; areas of less than LEAST_FIGURE either way are none. ``captions`` has
+    far up, else of those that begin below it; empty boxes and those of more than PAGE_SIZED of the page do not count; areas of less than LEAST_FIGURE either way are none. ``captions`` has
     y0, y1 and the page's width and height, at which areas end.
     """
-    met = captions.join(boxes, page)
+    area = (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0"))
+    # boxes as large as the page are its background
+    met = captions.join(boxes.where("bx1 > bx0 and by1 > by0"), page).where(area <= PAGE_SIZED * F.col("width") * F.col("height"))
     above = (F.col("by1") <= F.col("y0") + 2) & (F.col("by1") > F.col("y0") - FIGURE_HEIGHT)
     below = (F.col("by0") >= F.col("y1") - 2) & (F.col("by0") < F.col("y1") + FIGURE_HEIGHT)
     sided = met.withColumn("_side", F.explode(F.filter(F.array(F.when(above, 0), F.when(below, 1)), lambda s: s.isNotNull())))

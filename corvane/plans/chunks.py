@@ -149,6 +149,25 @@ def build_prompt(spark, sf_dir):
     return parts.groupBy("qid").agg(joined.alias("_j")).select("qid", F.concat(F.lit("Sources:\n\n"), "_j", F.lit("\n\nQuestion: "), "qid").alias("prompt"))
 
 
+_JUDGED = "CASE WHEN conv_id % 3 = 0 THEN [] WHEN conv_id % 3 = 1 THEN ['', ' '] ELSE [said[1], NULL, ' '] END"
+
+
+@query(
+    "judge_prompt",
+    f"""WITH t AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS said, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS asked FROM conversations GROUP BY conv_id),
+q AS (SELECT conv_id, said, asked[1] AS question, list_filter({_JUDGED}, lambda e: e IS NOT NULL AND regexp_matches(e, '\\S')) AS quotes FROM t WHERE len(said) > 0 AND len(asked) > 0)
+SELECT conv_id, concat('Sources:', chr(10), chr(10), conv_id, chr(10), chr(10), chr(10), 'Question: ', question, chr(10), chr(10), 'Answer, split into sentences:', chr(10), array_to_string(list_transform(said, lambda s, i: concat('SENTENCE ', i, ': ', s)), chr(10)), chr(10), CASE WHEN len(quotes) > 0 THEN concat(chr(10), 'Reference quote(s) the question was written from:', chr(10), array_to_string(list_transform(quotes, lambda e: concat('- ', e)), chr(10))) ELSE concat(chr(10), 'No reference quote is given.') END) AS prompt FROM q""",
+)
+def judge_prompt(spark, sf_dir):
+    """What a judge is asked of each conversation: its first question, the replies as sentences, and quotes for some."""
+    turns = table(spark, sf_dir, "conversations")
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    told = turns.groupBy("conv_id").agg(of("assistant").alias("said"), of("user").alias("asked")).where((F.size("said") > 0) & (F.size("asked") > 0))
+    quotes = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("conv_id") % 3 == 1, F.array(F.lit(""), F.lit(" "))).otherwise(F.array(F.get("said", F.lit(0)), F.lit(None).cast("string"), F.lit(" ")))
+    sources = F.concat(F.lit("Sources:\n\n"), F.col("conv_id").cast("string"), F.lit("\n"))
+    return told.select("conv_id", E.judge_prompt(sources, F.get("asked", F.lit(0)), F.col("said"), quotes).alias("prompt"))
+
+
 SPLIT_CHUNKS = Fixture(
     "paper string, idx int, text string, page_start int, page_end int",
     [

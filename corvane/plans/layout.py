@@ -83,12 +83,12 @@ def table_captions(spark, sf_dir):
 
 
 FIGURE_AT = Fixture("page int, figure_no string, y0 double, y1 double, width double, height double", [(1, "1", 300.0, 310.0, 600.0, 800.0), (1, "2", 700.0, 710.0, 600.0, 800.0), (2, "3", 20.0, 30.0, 600.0, 800.0), (3, "4", 500.0, 510.0, 600.0, 800.0)], per="pages", ids="page", moved="y0 y1")
-GRAPHICS = Fixture("page int, bx0 double, by0 double, bx1 double, by1 double", [(1, 50.0, 100.0, 200.0, 290.0), (1, 220.0, 120.0, 400.0, 301.0), (1, 10.0, 320.0, 90.0, 340.0), (1, 100.0, 500.0, 300.0, 690.0), (2, 30.0, 40.0, 700.0, 300.0), (2, 40.0, 0.0, 60.0, 10.0), (3, 0.0, 10.0, 300.0, 60.0), (3, 0.0, 520.0, 30.0, 700.0)], per="pages", ids="page", moved="by0 by1")
+GRAPHICS = Fixture("page int, bx0 double, by0 double, bx1 double, by1 double", [(1, 50.0, 100.0, 200.0, 290.0), (1, 220.0, 120.0, 400.0, 301.0), (1, 10.0, 320.0, 90.0, 340.0), (1, 100.0, 500.0, 300.0, 690.0), (2, 30.0, 40.0, 700.0, 300.0), (2, 40.0, 0.0, 60.0, 10.0), (3, 0.0, 10.0, 300.0, 60.0), (3, 0.0, 520.0, 30.0, 700.0), (1, 0.0, 0.0, 600.0, 300.0), (1, 0.0, 0.0, 600.0, 798.0), (2, 0.0, 40.0, 600.0, 795.0), (2, 9.0, 50.0, 9.0, 60.0)], per="pages", ids="page", moved="by0 by1")
 
 
 @query(
     "figure_area",
-    f"""WITH m AS (SELECT f.*, b.*, unnest([0, 1]) AS side FROM {FIGURE_AT.sql} f JOIN {GRAPHICS.sql} b ON b.page = f.page),
+    f"""WITH m AS (SELECT f.*, b.*, unnest([0, 1]) AS side FROM {FIGURE_AT.sql} f JOIN {GRAPHICS.sql} b ON b.page = f.page WHERE bx1 > bx0 AND by1 > by0 AND (bx1 - bx0) * (by1 - by0) <= 0.9 * width * height),
 s AS (SELECT figure_no, side, greatest(min(bx0), 0) AS x0, greatest(min(by0), 0) AS y0, least(max(bx1), any_value(width)) AS x1, least(max(by1), any_value(height)) AS y1 FROM m WHERE CASE side WHEN 0 THEN by1 <= y0 + 2 AND by1 > y0 - 420 ELSE by0 >= y1 - 2 AND by0 < y1 + 420 END GROUP BY figure_no, side)
 SELECT figure_no, x0 - 4 AS x0, y0 - 4 AS y0, x1 + 4 AS x1, y1 + 4 AS y1 FROM s WHERE x1 - x0 >= 40 AND y1 - y0 >= 40 QUALIFY row_number() OVER (PARTITION BY figure_no ORDER BY side) = 1""",
 )

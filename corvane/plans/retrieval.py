@@ -8,8 +8,9 @@ from corvane.catalog import query
 from corvane.functions.text import is_prose, plain_tokens, search_tokens
 from corvane.operators import ranking as R
 from corvane.operators import segments as G
+from corvane.operators.enrich import as_documents
 from corvane.operators.index import bm25
-from corvane.plans.search import CONFIGS, Config, corpus, dense, first_stage, lexical, search
+from corvane.plans.search import CONFIGS, Config, corpus, dense, first_stage, lexical, lexical_excluding, search
 from corvane.plans.text import TOKENS
 from corvane.session import scratch, table, written
 from corvane.sources.manifest import opened
@@ -272,15 +273,12 @@ _PLAIN = "regexp_extract_all(lower(text), '[a-z0-9]+')"
     f"WITH docs AS (SELECT doc_id AS chunk_id, {_PLAIN} AS w FROM documents WHERE doc_id % 7 <> 0), items AS (SELECT item_id AS qid, {_PLAIN} AS w FROM benchmark), {STATS}, {sql_bm25()}, kept AS (SELECT q.qid, d.chunk_id, coalesce(b.score, 0) AS score FROM items q CROSS JOIN docs d LEFT JOIN bm25 b ON b.qid = q.qid AND b.chunk_id = d.chunk_id WHERE d.chunk_id % 11 <> q.qid % 11), {sql_rank('kept', 'r', 5)} {OUT} r",
 )
 def bm25_exclude(spark, sf_dir):
-    """Lexical search over content chunks without those excluded for a query; chunks without a hit score 0."""
+    """Lexical search over content chunks without those excluded for a query (one in eleven); chunks without a hit score 0."""
     docs = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("chunk_id"), plain_tokens(F.col("text")).alias("tokens"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), plain_tokens(F.col("text")).alias("tokens"))
-    excluded = F.col("chunk_id") % 11 == F.col("qid") % 11
-    hits = R.ranked(bm25(docs, items).where(~excluded), ["qid"], 5)
-    # chunks without a hit: only the least ids can come up, five beyond those hit or excluded
-    least = docs.select("chunk_id").orderBy("chunk_id").limit(64)
-    fill = items.select("qid").join(F.broadcast(least), ~excluded).join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return shown(R.ranked(hits.drop("rank").unionByName(fill), ["qid"], 5))
+    turn = lambda c: F.col(c) % 11
+    excluded = items.select("qid", turn("qid").alias("_turn")).join(docs.select("chunk_id", turn("chunk_id").alias("_turn")), "_turn").drop("_turn")
+    return shown(lexical_excluding(docs, items, excluded, 5))
 
 
 @query(
@@ -366,10 +364,10 @@ def hash_embed(spark, sf_dir):
     return placed.select("item_id", "bucket", F.round(F.col("n") / norm, 9).alias("weight"))
 
 
-@query("to_documents", f"{sql_search(CONFIGS['bm25'], 3)} SELECT qid, rank, concat('paper=', source, ';chunk=', chunk_id, ';score=', printf('%.4f', score)) AS metadata, text AS page_content FROM final JOIN documents ON doc_id = chunk_id")
+@query("to_documents", f"{sql_search(CONFIGS['bm25'], 3)} SELECT qid, rank, chunk_id, source AS arxiv_id, round(score, 6) AS score, doc_id % 7 = 0 AS is_reference, n_chars AS page_end, text AS page_content FROM final JOIN documents ON doc_id = chunk_id")
 def to_documents(spark, sf_dir):
-    """Results as documents for another framework: whole content and metadata."""
+    """Results as documents for another framework: whole content, and the metadata that the chunks have."""
     rows = search(corpus(spark, sf_dir), CONFIGS["bm25"], 3)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
-    meta = F.concat(F.lit("paper="), "source", F.lit(";chunk="), F.col("chunk_id").cast("string"), F.lit(";score="), F.format_string("%.4f", "score"))
-    return rows.join(docs, "chunk_id").select("qid", F.col("rank").cast("long").alias("rank"), meta.alias("metadata"), F.col("text").alias("page_content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("arxiv_id"), (F.col("doc_id") % 7 == 0).alias("is_reference"), F.col("n_chars").alias("page_end"), "text")
+    found = as_documents(rows.withColumn("score", F.round("score", 6)).join(docs, "chunk_id"), "qid", F.col("rank").cast("long").alias("rank"))
+    return found.select("qid", "rank", "metadata.*", "page_content")

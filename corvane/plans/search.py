@@ -87,6 +87,22 @@ def lexical(corpus: Corpus, queries: DataFrame, most: int | None) -> DataFrame:
     return R.ranked(bm25(corpus.index, queries.select("qid", "tokens")), ["qid"], most)
 
 
+def lexical_excluding(chunks: DataFrame, queries: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
+    """qid, chunk_id, score, rank: the k best of (chunk_id, tokens) for each of (qid, tokens) without its (qid, chunk_id) excluded.
+
+    Chunks that share no term score 0 and fill up to k, the least ids first. For that only queries with fewer than k hits are looked
+    at, and only so many of the least ids as are excluded or hit for one query at most, and k more: no other can come up.
+    """
+    hits = written(R.ranked(bm25(chunks, queries).join(excluded, ["qid", "chunk_id"], "left_anti"), ["qid"], k), "hits")
+    few = written(queries.select("qid").join(hits.groupBy("qid").agg(F.count(F.lit(1)).alias("_n")), "qid", "left").where(F.coalesce("_n", F.lit(0)) < k).select("qid"), "few-hits")
+    most = excluded.join(few, "qid", "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    least = chunks.select("chunk_id").orderBy("chunk_id").limit(most + 2 * k)
+    known = excluded.select("qid", "chunk_id").unionByName(hits.select("qid", "chunk_id"))
+    # queries that need them beside the least ids: a bounded number of rows a query
+    fill = few.crossJoin(least).join(known, ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return R.ranked(hits.drop("rank").unionByName(fill), ["qid"], k)
+
+
 def dense(corpus: Corpus, queries: DataFrame, most: int) -> DataFrame:
     return R.dense(corpus.vectors, queries.where(F.col("vector").isNotNull()), most)
 
