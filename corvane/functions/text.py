@@ -27,6 +27,7 @@ CITATION_MARKERS = (
     (r",\s+and\s+[A-Z][a-z]+\s+[A-Z]\.?\s*[A-Z]?[a-z]*\.", 3),
 )
 REFERENCE_DENSITY = 0.25
+# fixed values: what counts as a table's token, names of one thing, phrases, replies and titles that the rules name
 TABLE_TOKEN = "^(?:[±+\\-]?\\d+(?:\\.\\d+)?%?|±|NA|N/A|-|–)$"
 TOKEN_ALIASES = {"c10": "cifar10", "c100": "cifar100", "endd": "end2"}
 LEANING_PHRASES = ("this paper", "the passage", "passage a", "passage b", "the authors", "the proposed", "this work", "this study", "the above")
@@ -273,6 +274,7 @@ def json_object(text: Column) -> Column:
     return F.when(F.try_parse_json(present(inner)).isNotNull(), inner)
 
 
+# fixed values: the names of errors and what tells them
 def error_class(message: Column) -> Column:
     return (
         F.when(message.contains("429") | message.contains("RESOURCE_EXHAUSTED"), "rate_limit")
@@ -297,6 +299,7 @@ def number_counts(texts: Column) -> Column:
     return F.transform(F.array_distinct(found), lambda n: F.struct(n.alias("number"), F.size(F.filter(found, lambda x: x == n)).alias("n")))
 
 
+# fixed values in the next functions: the reasons and the names of errors that they give
 def check_markdown(markdown: Column, source: Column) -> Column:
     """Why a rebuilt table cannot be shown; an empty string if it can."""
     rows = markdown_rows(markdown)

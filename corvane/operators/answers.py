@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import cited_sources, strip
 
+# fixed values in this module: the marks of bullets, rules and headings, and the lines of a judge's reply
 MOST_SENTENCES = 15
 
 

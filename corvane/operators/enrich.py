@@ -110,6 +110,7 @@ def as_documents(hits: DataFrame, *keys: str | Column) -> DataFrame:
     return hits.select(*keys, F.col("text").alias("page_content"), F.struct(*there).alias("metadata"))
 
 
+# fixed values: the lines of the prompt
 def judge_prompt(sources: Column, question: Column, sentences: Column, evidence: Column) -> Column:
     """What a judge is asked: the numbered sources, the question, the answer's sentences, and the quotes that are not blank."""
     numbered = F.transform(sentences, lambda s, i: F.concat(F.lit("SENTENCE "), (i + 1).cast("string"), F.lit(": "), s))
