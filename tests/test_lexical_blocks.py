@@ -57,3 +57,19 @@ def test_passages_by_their_inner_words(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d"), (3, "x a  b c\nd e f y"), (4, ""), (5, None), (6, "za b c d e fz"), (7, "a b c d e a b c d e")], "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "a b c d e"), (2, "b c"), (3, "c d e a b c")], "qid long, text string")
     assert {(r.qid, r.chunk_id) for r in containing(docs, asked).collect()} == {(1, 1), (1, 6), (1, 7), (2, 1), (2, 2), (2, 3), (2, 6), (2, 7), (3, 7)}
+
+
+def test_files_of_blocks_are_small(spark):
+    docs = spark.createDataFrame([(i, ["a", f"b{i}"]) for i in range(60)], "chunk_id long, tokens array<string>").repartition(60).cache()
+    index = build_index(docs.repartition(30).coalesce(1))
+    per_file = [r["count"] for r in index.blocks.groupBy("_metadata.file_path").count().collect()]
+    assert max(per_file) <= 8
+
+
+def test_whole_texts_of_results_are_not_shuffled(spark):
+    from corvane import catalog
+
+    catalog.load()
+    rows = catalog.QUERIES["to_documents"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
