@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -187,16 +189,13 @@ def resampled(weights: Callable[[int, float], np.ndarray], parameter: float, sha
     channels, height, width = shape
     mixed = np.kron(np.eye(channels), np.kron(weights(height, parameter), weights(width, parameter)))
 
-    def run(parts: pd.Series) -> pd.Series:
-        there = [i for i, v in enumerate(parts) if v is not None and len(v) == len(mixed)]
-        out: list = [None] * len(parts)
-        if there:
-            rows = np.stack([np.asarray(parts.iloc[i], dtype=np.float64) for i in there]) @ mixed.T
-            for i, row in zip(there, np.clip(rows, 0.0, 1.0), strict=True):
-                out[i] = row
-        return pd.Series(out)
+    def run(parts: pa.Array) -> pa.Array:
+        there = pc.fill_null(pc.equal(pc.list_value_length(parts), len(mixed)), False)
+        rows = parts.filter(there).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, len(mixed)) @ mixed.T
+        ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))]) * len(mixed)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.clip(rows, 0.0, 1.0, out=rows).reshape(-1)), mask=pc.invert(there))
 
-    return F.pandas_udf(run, "array<double>")
+    return F.arrow_udf(run, "array<double>")
 
 
 def corrupted(rows: DataFrame, row: str, values: str, shape: tuple[int, int, int], levels: dict[str, tuple[float, ...]], seed: int = 0) -> DataFrame:

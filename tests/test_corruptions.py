@@ -64,3 +64,15 @@ def test_noise_is_normal_and_the_same_however_rows_are_dealt_out(spark):
     assert abs(np.corrcoef(z[:-1].ravel(), z[1:].ravel())[0, 1]) < 0.02  # and so are rows
     other = np.array([r.z for r in spark.range(3000).select(U.normal_draws(F.col("id"), 20, seed=6).alias("z")).collect()])
     assert abs(np.corrcoef(z.ravel(), other.ravel())[0, 1]) < 0.02
+
+
+def test_resampling_works_on_columns_not_on_objects(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.functions import uncertainty as U
+
+    made = U.resampled(U.box_weights, 0.5, (1, 2, 2))
+    assert made.evalType == F.arrow_udf(lambda x: x, "int").evalType
+    rows = spark.createDataFrame([(0, [0.0, 1.0, 0.0, 1.0]), (1, None), (2, [1.0]), (3, [1.0, 1.0, 1.0, 1.0])], "i int, e array<double>").coalesce(1)
+    got = {r.i: r.x for r in rows.select("i", made("e").alias("x")).collect()}
+    assert got[1] is None and got[2] is None and got[3] == [1.0] * 4 and len(got[0]) == 4
