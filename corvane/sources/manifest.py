@@ -79,8 +79,8 @@ def opened(spark: SparkSession, root: str, number: int | None = None) -> Version
     return Version(spark, root, number, {name: tuple(Part(**p) for p in parts) for name, parts in said["tables"].items()}, said["facts"])
 
 
-def publish(base: Version, add: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, facts: dict[str, Any] | None = None) -> Version:
-    """A new version on top of ``base``: parts added to tables, tables replaced, facts set.
+def publish(base: Version, add: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, facts: dict[str, Any] | None = None, most: dict[str, int] | None = None) -> Version:
+    """A new version on top of ``base``: parts added to tables, tables replaced, facts set; ``most`` rows a file of a table at most.
 
     Raises Conflict if another version has been published on top of ``base``.
     """
@@ -93,7 +93,7 @@ def publish(base: Version, add: dict[str, DataFrame] | None = None, replace: dic
     tables = {name: list(parts) for name, parts in base.tables.items()}
     try:
         for name, rows in {**(add or {}), **(replace or {})}.items():
-            rows.write.parquet(f"{home}/{name}")
+            rows.write.option("maxRecordsPerFile", (most or {}).get(name, 0)).parquet(f"{home}/{name}")
             part = Part(f"{home}/{name}", rows._jdf.schema().toDDL(), number)
             tables[name] = [part] if name in (replace or {}) else [*tables.get(name, []), part]
         if not files.createNewFile(claim):

@@ -123,3 +123,17 @@ def test_a_stream_of_uploads_and_ends_leaves_what_is_open(spark, tmp_path):
         own = spark.createDataFrame([r for r in held if r[0] in ("", scope)], ROWS)
         want += [(r.qid, r.chunk_id, round(r.score, 9)) for r in bm25(own.select("chunk_id", "tokens"), spark.createDataFrame([(qid, tokens)], "qid int, tokens array<string>")).collect()]
     assert got == sorted(want)
+
+
+def test_postings_are_blocks_of_one_scope_and_only_the_best_leave_a_block(spark, tmp_path):
+    own = random.Random(5)
+    rows = chunks(own, "", range(300)) + chunks(own, "a", range(400, 460)) + chunks(own, "b", range(500, 560))
+    own.shuffle(rows)
+    version = G.add(manifest.opened(spark, str(tmp_path)), spark.createDataFrame(rows, ROWS).repartition(2))
+    # a row a block, not one a term of a chunk
+    assert version.table("postings").count() <= 6
+    assert version.table("postings").where(F.size(F.array_distinct("parts")) > 1).count() == 0
+    asked = spark.createDataFrame([(q, s, ["the", "w1", "w2", f"only {s}"]) for q, s in enumerate(["a", "b", "c"])], "qid int, scope string, tokens array<string>")
+    first = lambda found: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9)) for r in R.ranked(found, ["qid"], 3).collect())
+    every, best = G.View(version).lexical(asked), G.View(version).lexical(asked, most=3)
+    assert first(every) == first(best) and best.count() < every.count() / 4
