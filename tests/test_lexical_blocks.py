@@ -3,7 +3,11 @@
 import math
 from collections import Counter
 
-from corvane.operators.index import bm25, build_index, containing
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from corvane.functions.text import search_tokens, token_text
+from corvane.operators.index import _runs, bm25, build_index, containing, holding
 
 WORDS = "gradient model sparse attention tensor kernel dropout margin entropy lattice".split()
 
@@ -73,3 +77,32 @@ def test_whole_texts_of_results_are_not_shuffled(spark):
     rows = catalog.QUERIES["to_documents"](spark, "/root/testdata/sf0.001")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+ODD = ["", None, "EnD² on CIFAR-10, C100", "x-1-2 ab-12c a_b-3", "ﬁne ＡＢ１ İstanbul K9 ſ", "c10", "--", "日本語abc", "end end", "a\u0301b éa1", "é" * 3, "c10 cifar-10 endd c-100"]
+
+
+def test_texts_are_split_as_the_tokens_are(spark):
+    """Texts go into blocks with the tokens that search_tokens() makes of them, and no table of tokens is made."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD * 3)], "chunk_id long, text string").repartition(3)
+    own = build_index(docs.select("chunk_id", token_text(F.col("text")).alias("tokens")))
+    want = build_index(docs.select("chunk_id", search_tokens(F.col("text")).alias("tokens")))
+    assert sorted(map(tuple, own.terms.collect())) == sorted(map(tuple, want.terms.collect()))
+
+    def postings(index):
+        return sorted((b.ids[r], b.lengths[r], b.terms[c], n) for b in index.blocks.collect() for r, c, n in zip(b.row, b.code, b.tf, strict=True))
+
+    assert postings(own) == postings(want) and own.stats.collect() == want.stats.collect()
+    parts = pa.array(["zz zz", "ab", "c1", None, "", "d,", "e"]).slice(1)
+    assert _runs(parts).to_pylist() == [["ab"], ["c1"], [], [], ["d"], ["e"]]
+
+
+def test_passages_by_the_index(spark):
+    texts = [(1, "a b c d e f"), (2, "b c d"), (3, "x a  b c\nd e f y"), (4, ""), (5, None), (6, "za b c d e fz"), (7, "a b c d e a b c d e"), (8, "f e d c b a"), (9, "p é ü ö ä q"), (10, "u CIFAR-10 C100 ﬁne v w")]
+    docs = spark.createDataFrame(texts, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "a b c d e"), (2, "b c"), (3, "c d e a b c"), (4, "p é ü ö ä"), (5, "CIFAR-10 C100 ﬁne v"), (6, "C100 ﬁne v")], "qid long, text string")
+    index = build_index(docs.select("chunk_id", token_text(F.col("text")).alias("tokens")))
+    own = {(r.qid, r.chunk_id) for r in containing(docs, asked, index).collect()}
+    assert own == {(q, c) for q, p in map(tuple, asked.collect()) for c, t in texts if t is not None and p in t}
+    few = holding(index, asked.where("qid in (1, 5)").select("qid", token_text(F.col("text")).alias("tokens")))
+    assert {r.chunk_id for r in few.collect()} == {1, 3, 7, 8, 10}
