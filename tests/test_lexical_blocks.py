@@ -106,3 +106,23 @@ def test_passages_by_the_index(spark):
     assert own == {(q, c) for q, p in map(tuple, asked.collect()) for c, t in texts if t is not None and p in t}
     few = holding(index, asked.where("qid in (1, 5)").select("qid", token_text(F.col("text")).alias("tokens")))
     assert {r.chunk_id for r in few.collect()} == {1, 3, 7, 8, 10}
+
+
+def test_modes_are_searched_once(spark):
+    """compare_modes has one lexical search, not one for each mode; the sweep goes through whole texts for the pairs it scores only."""
+    from corvane import catalog
+    from corvane.plans import search, sweep
+
+    catalog.load()
+    calls = []
+    held = sweep.lexical
+    sweep.lexical = lambda *a: calls.append(1) or held(*a)
+    try:
+        rows = catalog.QUERIES["compare_modes"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        sweep.lexical = held
+    c = search.corpus(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and c._split is None
+    for mode in ("dense", "hybrid_rerank"):
+        assert {(r.qid, r.chunk_id, r["rank"]) for r in search.search(c, search.CONFIGS[mode], 3).collect()} == {(r.qid, r.chunk_id, r["rank"]) for r in rows if r["mode"] == mode}
+    assert c._split is None
