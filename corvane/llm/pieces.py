@@ -7,7 +7,8 @@ with Spark's higher-order ``aggregate``: for unigram models by Viterbi over the
 where the best sum of scores is not the model's segmentation, by the model's own order of merges, read
 off the same edges. Characters without a piece become their bytes' pieces.
 
-Texts are put together again in blocks of bounded size: each block meets the dictionary of its own words.
+Texts are put together again in blocks of bounded size: each block meets the dictionary of its own words. A block has texts of
+neighbouring doc_ids, which mostly lie together in the files, so that a reader has words of few blocks to tell apart.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text; the model's normalisation is
 the identity with a leading space (models with other rules are refused); very long texts and words are
@@ -231,6 +232,18 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids") -> DataFr
     return encoded.withColumn("decoded", F.coalesce(F.substring(whole, 2, 2147483647), F.lit("")))
 
 
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text, and range and share, which name a block of about ``block_bytes``: texts of a range of doc_ids, which is dealt out by hash if it has more."""
+    size, low, high = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    n = -(-(size or 0) * 5 // (4 * block_bytes))  # ranges differ in size: most of them are to be below a block's
+    span = min(max(1, -(-((high or 0) - (low or 0) + 1) // max(n, 1))), (1 << 63) - 1)
+    ranged = docs.select("doc_id", "text", F.coalesce(F.expr(f"doc_id div {span}"), F.lit(0)).alias("range"))
+    sizes = ranged.groupBy("range").agg(F.sum(F.octet_length("text")).alias("_size"))
+    shares = sizes.select("range", F.greatest(F.ceil(F.coalesce("_size", F.lit(0)) / block_bytes), F.lit(1)).alias("_shares"))
+    # the broadcast: a row for each range, which are about as many as blocks
+    return ranged.join(F.broadcast(shares), "range").select("doc_id", "text", "range", F.pmod(F.xxhash64("doc_id", "text"), F.col("_shares")).cast("int").alias("share"))
+
+
 def encode(docs: DataFrame, vocabulary_path: str, fold: str = "merge", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_tokens, ids, ids_crc32, round_trip (the ids spell the text again) of (doc_id, text)."""
     spark = docs.sparkSession
@@ -238,15 +251,14 @@ def encode(docs: DataFrame, vocabulary_path: str, fold: str = "merge", block_byt
     longest, pattern = max(len(p) for p, *_ in listed), word_pattern(listed)
     pieces = spark.createDataFrame(listed, PIECES)
 
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
-    used = dealt.select("block", F.explode(split_words(F.col("text"), pattern)).alias("word")).distinct()
+    block = ["range", "share"]
+    dealt = blocks(docs, block_bytes)
+    used = dealt.select(*block, F.explode(split_words(F.col("text"), pattern)).alias("word")).distinct()
     used = written(used, "words")
     encoded = encode_words(used.select("word").distinct(), pieces, of_byte, longest, fold)
     dictionary = used.join(encoded, "word")
     out = "doc_id bigint, n_words bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, text string"
-    encoded = dealt.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(encoder(pattern), out)
+    encoded = dealt.groupBy(*block).cogroup(dictionary.groupBy(*block)).applyInArrow(encoder(pattern), out)
     spelt = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
     return decode(encoded, vocabulary_path).select("doc_id", "n_words", "n_tokens", "ids", "ids_crc32", spelt.alias("round_trip"))
 

@@ -250,3 +250,17 @@ def test_token_counts_of_the_table_equal_the_library(spark):
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op7_token_counts(spark, sf).collect()}
     want = {d: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for d, t in texts.items()}
     assert got == {d: (b, n, n > 512) for d, (b, n) in want.items()}
+
+
+def test_blocks_are_of_neighbours_and_bounded(spark):
+    """Texts in order of their ids fall into runs, so a reader has words of few blocks; one id's many texts are dealt out."""
+    docs = spark.range(4000, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), F.lit(20)).alias("text"))
+    placed = pieces.blocks(docs, 20_000).withColumn("reader", F.spark_partition_id())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    cells = placed.groupBy("range", "share").agg(F.sum(F.octet_length("text")).alias("n"), F.count_distinct("reader").alias("readers")).collect()
+    assert size / 20_000 <= len(cells) <= 2 * size / 20_000 + 2
+    assert max(c.readers for c in cells) <= 2 and max(c.n for c in cells) < 40_000
+    same = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(-(1 << 63))).when(F.col("doc_id") % 3 == 0, F.lit((1 << 63) - 1)))
+    cells = pieces.blocks(same, 20_000).groupBy("range", "share").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert sum(c.n for c in cells) == size and max(c.n for c in cells) < 40_000
+    assert pieces.blocks(docs.limit(0)).collect() == []
