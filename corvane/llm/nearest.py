@@ -34,8 +34,8 @@ SAMPLE, SUB_SAMPLE, PARTITION_ROWS, LEAST_PARTITIONS, MOST_PARTITIONS, LABEL_ROW
 #: Partitions of so many times PARTITION_ROWS rows on average are cut again.
 CUT_AGAIN = 4
 NEIGHBOURS, RECALL, SEED = 10, 0.95, 7
-#: Rows of a block, queries of a group, blocks that a group of queries is sent to at once.
-BLOCK, QUERY_BLOCK, GRID = 4_096, 1_024, 16
+#: Rows of a block, queries of a group, blocks that a group of queries is sent to at once, rows that routing gives out at once.
+BLOCK, QUERY_BLOCK, GRID, ROUTED = 4_096, 1_024, 16, 65_536
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -204,8 +204,8 @@ def fit(vectors: DataFrame, sample_rows: int = SAMPLE, target: float = RECALL, p
     if router.parts > 1 and again >= CUT_AGAIN:
         # of each partition some SUB_SAMPLE rows, by the hash of their ids: the vectors of a partition are alike in number
         share = min(1.0, SUB_SAMPLE * router.parts / total)
-        chosen = vectors.where((F.size("embedding") == router.length) & (F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)))
-        placed = chosen.select("vec_id", "embedding").mapInArrow(_assign(router), _indexed(vectors))
+        chosen = vectors.where((F.size("embedding") == router.length) & (F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))).select("vec_id", "embedding")
+        placed = chosen.mapInArrow(_assign(router), _indexed(chosen))
         placed = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(F.col("n") <= 2 * SUB_SAMPLE)
         fitted = placed.select("part", "embedding").groupBy("part").applyInArrow(_sub_fit(min(MOST_PARTITIONS, again)), "part int, parts int, weights array<double>").collect()  # a row a partition
         router.cut_again({r["part"]: np.array(r["weights"]).reshape(-1, r["parts"]) for r in fitted if r["parts"] > 1})
@@ -236,8 +236,9 @@ def _route(router: Router, sizes: np.ndarray, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            step = max(1, min(1024, ROUTED // router.parts))  # a query may have as many rows as there are partitions
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 order = router.routes(_unit(_matrix(batch.column("embedding"), router.length)))
                 enough = np.cumsum(sizes[order], axis=1) >= k + 1
                 probes = np.maximum(router.probes, np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, router.parts))

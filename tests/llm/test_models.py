@@ -208,6 +208,22 @@ def test_partitions_that_are_cut_again(spark):
     assert hits >= 0.9 * 500
 
 
+def test_search_fits_partitions_that_are_cut_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 12))
+    x = centres[rng.integers(0, 60, 3000)] + 0.3 * rng.normal(size=(3000, 12))
+    ids = np.arange(3000)
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>").repartition(4)
+    made, whole = [], nearest.fit
+    monkeypatch.setattr(nearest, "fit", lambda vectors: made.append(whole(vectors, sample_rows=800, partition_rows=20)) or made[0])
+    monkeypatch.setattr(nearest, "ROUTED", 100, raising=False)  # fewer rows than a query has partitions
+    got = {}
+    for r in nearest.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert made[0].parts > len(made[0].subs) and set(got) == set(range(0, 3000, 50))
+    assert sum(len(got[q] & {v for v, _ in brute_nearest(ids, x, q, 5)}) for q in got) >= 0.9 * 300
+
+
 def test_html_on_the_table(spark):
     import html
 
