@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from corvane.operators import retrieval_metrics as M
 from corvane.plans.search import CONFIGS, Config, Corpus, search
-from corvane.plans.sweep import first_stages, sweep
+from corvane.plans.sweep import first_stages, sweep, sweep_apart
 
 
 
@@ -53,3 +54,24 @@ def test_without_rephrasings_configurations_search_the_query_itself(spark):
     corpus.variants = None
     rows = sweep(corpus, {"a": Config(mode="bm25", variants=3), "b": Config(mode="bm25")}, 4)
     assert rows.where(F.col("config") == "a").drop("config").exceptAll(rows.where(F.col("config") == "b").drop("config")).count() == 0
+
+
+def test_each_cutoff_is_a_search_of_its_own(spark):
+    corpus = small_corpus(spark)
+    chosen = {n: CHOSEN[n] for n in ("hybrid_rerank+mq3", "rerank_hardcap1", "rerank_mmr0.5", "floor")} | {"cap1": Config(per_paper=1)}
+    got = {}
+    for r in sweep_apart(corpus, chosen, (1, 3, 6)).collect():
+        got.setdefault((r.config, r.cutoff), []).append((r.qid, r["rank"], r.chunk_id, round(r.score, 9)))
+    for name, config in chosen.items():
+        for k in (1, 3, 6):
+            assert sorted(got[name, k]) == sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9)) for r in search(corpus, config, k).collect()), (name, k)
+    assert sorted(got["cap1", 3]) != sorted(r for r in got["cap1", 6] if r[1] <= 3)
+
+
+def test_metrics_at_k_are_of_the_search_for_k(spark):
+    runs = [("c", 1, 1, "y", 1), ("c", 1, 2, "x", 1), ("c", 1, 2, "y", 2), ("c", 1, 3, "y", 1), ("c", 1, 3, "z", 2), ("c", 1, 3, "x", 3)]
+    ranking = spark.createDataFrame(runs, "config string, qid int, cutoff int, chunk_id string, rank int")
+    labels = spark.createDataFrame([(1, "x"), (1, "w")], "qid int, chunk_id string")
+    row = M.per_query(ranking, labels, ranking.select("config", "qid"), ["config", "qid"], (1, 2, 3), "cutoff").first()
+    assert (row.recall_1, row.recall_2, row.recall_3) == (0.0, 0.5, 0.5) and row.success_2 == 1.0
+    assert abs(row.mrr - 1 / 3) < 1e-12 and abs(row.ndcg_2 - 1 / (1 + 1 / 1.584962500721156)) < 1e-9
